@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
-PREFIXES = (4, 5, 6)
+PREFIXES = range(4, 10)
 
 
 def held_out(ident: Column) -> Column:
@@ -60,7 +60,10 @@ def softplus(z):
 
 
 def fit(bags: list[tuple[int, int, list[int], list[int]]], n_features: int, steps: int = 400, rate: float = 0.1, decay: float = 2e-4) -> tuple[float, np.ndarray]:
-    """Gradient descent on noisy-or likelihood. A bag: (label, sentences, feature of each hit, sentence of each hit)."""
+    """Projected gradient descent on noisy-or likelihood; weights stay at 0 or above, so that no other word can excuse an insult.
+
+    A bag: (label, sentences, feature of each hit, sentence of each hit).
+    """
     y = np.array([b[0] for b in bags], float)
     weights, bias = np.zeros(n_features), -5.0
     if not len(bags) or not y.any():
@@ -86,7 +89,7 @@ def fit(bags: list[tuple[int, int, list[int], list[int]]], n_features: int, step
                                [at.sum() + (pull * plain).sum() / (1 + math.exp(-bias))]])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        weights, bias = weights - move[:-1], bias - move[-1]
+        weights, bias = np.maximum(weights - move[:-1], 0.0), bias - move[-1]
     return float(bias), weights
 
 
@@ -94,8 +97,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
           max_docs: int = 20_000, max_features: int = 20_000, min_gain: float = 12.0) -> Model:
     """Fits the sentence model on at most about max_docs labelled rows that are not held out, chosen by a hash of the id.
 
-    Null labels and null ids are left out; the largest label of an id holds. Features are chosen by the
-    likelihood ratio of their document counts in both classes.
+    Null labels and null ids are left out; the largest label of an id holds. Features that are more frequent
+    in toxic documents are chosen by the likelihood ratio of their document counts in both classes.
     """
     marks = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
              .groupBy(F.col(id_col).alias("_wl_id")).agg(F.max(label_col).cast("int").alias("_y")))
@@ -119,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
     share = F.lit(n1 / (n0 + n1))
     gain = 2 * (part(a, F.col("n") * share) + part(b, F.col("n") * (1 - share)) + part(n1 - a, (n0 + n1 - F.col("n")) * share) + part(n0 - b, (n0 + n1 - F.col("n")) * (1 - share)))
-    chosen = [r["f"] for r in counted.select("f", gain.alias("g")).where(F.col("g") >= min_gain).orderBy(F.desc("g"), "f").limit(max_features).collect()]
+    chosen = [r["f"] for r in counted.select("f", gain.alias("g"), (a > F.col("n") * share).alias("up")).where((F.col("g") >= min_gain) & (F.col("up"))).orderBy(F.desc("g"), "f").limit(max_features).collect()]
     number = {f: i for i, f in enumerate(chosen)}
     table = docs.sparkSession.sparkContext.broadcast(number)  # at most max_features
 
