@@ -102,7 +102,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
     uniform. An empty table gives an empty result.
     """
     ids = target_ids.select(F.col(target_ids.columns[0]).alias("_wl_id")).where("_wl_id is not null").distinct().withColumn("_wl_in", F.lit(True))
-    marked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(ids, F.col("_id") == F.col("_wl_id"), "left")
+    marked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(ids.hint("shuffle_hash"), F.col("_id") == F.col("_wl_id"), "left")
     model = docs.sparkSession.sparkContext.broadcast(dense_model(ngram_counts(marked, F.col("_wl_in"), "_text")))  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

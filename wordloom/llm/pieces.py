@@ -7,6 +7,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import cached_property
+from itertools import pairwise
 
 import pyarrow as pa
 import sentencepiece
@@ -17,7 +18,7 @@ from sentencepiece import sentencepiece_model_pb2
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Chunks that a worker remembers, and the length up to which it does.
-REMEMBERED, REMEMBERED_CHARS = 400_000, 64
+REMEMBERED, REMEMBERED_CHARS = 800_000, 64
 
 
 class MergeVocabulary:
@@ -37,54 +38,98 @@ class MergeVocabulary:
         self.bytes = {int(p.piece[1:-1], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
         self.end = next(i for i, p in enumerate(model.pieces) if p.piece == (model.trainer_spec.eos_piece or "</s>"))
         self.decoded = [b"" if p.type in (CONTROL, UNKNOWN) else bytes([int(p.piece[1:-1], 16)]) if p.type == BYTE else p.piece.replace(SPACE, " ").encode() for p in model.pieces]
+        self.shown = [b"%d" % i for i in range(len(self.pieces))]
         self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.parts: dict[str, list[int]] = {}
 
     @cached_property
     def chunks(self) -> re.Pattern:
-        """Splits a text where no merge can reach across: before a space mark, and around characters that no longer piece has."""
+        """Splits a text where no merge can reach across: before a space mark, around characters that no longer piece has, after a word if the next character follows no letter in a piece."""
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             return re.compile(r"(?s).+")
-        inner = "".join(sorted({c for p in self.ids if len(p) > 1 for c in p} - {SPACE}))
-        return re.compile(f"{SPACE}*[{re.escape(inner)}]+|{SPACE}+|(?s:.)")
+        inner = {c for p in self.ids if len(p) > 1 for c in p} - {SPACE}
+        letters = {c for c in inner if c.isalpha()}
+        ends_word = {c for c in inner - letters if not any((a, c) in self.neighbours for a in letters)}
+        one_of = lambda chars: re.escape("".join(sorted(chars)))
+        return re.compile(f"{SPACE}*[{one_of(letters)}]+(?![{one_of(inner - ends_word)}])|{SPACE}*[{one_of(inner)}]+|{SPACE}+|(?s:.)")
 
     @cached_property
     def library(self) -> sentencepiece.SentencePieceProcessor:
         return sentencepiece.SentencePieceProcessor(model_file=self.path)
 
+    @cached_property
+    def ranks(self) -> dict[str, int]:
+        """Place of each piece's score among all scores, the highest first."""
+        place = {x: i for i, x in enumerate(sorted(set(self.scores.values()), reverse=True))}
+        return {p: place[x] for p, x in self.scores.items()}
+
+    @cached_property
+    def neighbours(self) -> frozenset[tuple[str, str]]:
+        """Characters next to each other in some piece; no merge reaches across any others."""
+        return frozenset(pair for p in self.ids for pair in pairwise(p))
+
     def merge(self, chunk: str) -> list[int]:
-        """Merges adjacent symbols, highest score first and leftmost among equals; what remains unknown becomes bytes."""
+        """Merges adjacent symbols, highest score first and leftmost among equals; what remains unknown becomes bytes.
+
+        An entry of the agenda is the rank of a pair and the place of its left symbol in one number. It
+        is stale if the symbols at that place no longer make a piece of that rank.
+        """
         symbols: list[str] = list(chunk)
-        if len(symbols) > 1:
-            scores, n = self.scores, len(symbols)
-            before, behind = list(range(-1, n - 1)), [*range(1, n), -1]
-            agenda = [(-scores[p], i, i + 1, p) for i in range(n - 1) if (p := symbols[i] + symbols[i + 1]) in scores]
+        n, rank = len(symbols), self.ranks.get
+        shift = n.bit_length()
+        agenda = [r << shift | i for i, pair in enumerate(pairwise(chunk)) if (r := rank(pair[0] + pair[1])) is not None]
+        if agenda:
+            before, behind, low = list(range(-1, n - 1)), [*range(1, n), -1], (1 << shift) - 1
             heapq.heapify(agenda)
             while agenda:
-                _, left, right, piece = heapq.heappop(agenda)
-                if not symbols[left] or not symbols[right] or behind[left] != right or len(symbols[left]) + len(symbols[right]) != len(piece):
-                    continue  # a symbol of the pair was merged since
+                entry = heapq.heappop(agenda)
+                left = entry & low
+                right = behind[left]
+                if right < 0 or not symbols[left] or rank(piece := symbols[left] + symbols[right]) != entry >> shift:
+                    continue
                 symbols[left], symbols[right] = piece, ""
                 follow = behind[left] = behind[right]
                 if follow >= 0:
                     before[follow] = left
-                    if (p := piece + symbols[follow]) in scores:
-                        heapq.heappush(agenda, (-scores[p], left, follow, p))
-                if (lead := before[left]) >= 0 and (p := symbols[lead] + piece) in scores:
-                    heapq.heappush(agenda, (-scores[p], lead, left, p))
+                    if (r := rank(piece + symbols[follow])) is not None:
+                        heapq.heappush(agenda, r << shift | left)
+                if (lead := before[left]) >= 0 and (r := rank(symbols[lead] + piece)) is not None:
+                    heapq.heappush(agenda, r << shift | lead)
         out: list[int] = []
         for s in symbols:
             if s:
-                out += [self.ids[s]] if s in self.ids else [self.bytes[b] for b in s.encode()]
+                if (i := self.ids.get(s)) is not None:
+                    out.append(i)
+                else:
+                    out += [self.bytes[b] for b in s.encode()]
         return out
 
     def learn(self, chunks: set[str]) -> dict[str, tuple[bytes, bytes]]:
-        """Ids and decoded bytes of new chunks, after comparing the ids with the library's in one batch."""
-        ids = {c: self.merge(c) for c in chunks}
-        leading = [c for c in ids if c[0] == SPACE and len(c) > 1]  # of the text before it, the library adds the first space itself
-        for c, theirs in zip(leading, self.library.encode([c[1:] for c in leading], num_threads=1) if leading else [], strict=True):
-            if theirs != ids[c]:
-                raise ValueError(f"the library encodes {c!r} as {theirs}, not {ids[c]}")
-        return {c: (b" ".join(b"%d" % i for i in x), b"".join(self.decoded[i] for i in x)) for c, x in ids.items()}
+        """Ids and decoded bytes of new chunks, after comparing the ids with the library's in one call.
+
+        A chunk is cut once more where its characters are never neighbours in a piece, so that a word
+        is merged once, whatever marks surround it.
+        """
+        pairs, parts_of, merged = self.neighbours, {}, {}
+        for c in chunks:
+            cuts = [i for i, pair in enumerate(pairwise(c), 1) if pair not in pairs]
+            parts = [c[i:j] for i, j in pairwise([0, *cuts, len(c)])] if cuts else [c]
+            for p in parts:
+                if p not in self.parts and p not in merged:
+                    merged[p] = self.merge(p)
+            parts_of[c] = [i for p in parts for i in (merged.get(p) or self.parts[p])]
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
+        self.parts.update((p, x) for p, x in merged.items() if len(p) <= REMEMBERED_CHARS)
+        # The library adds the first space mark itself; at the next chunks' marks no merge crosses.
+        leading = [c for c in parts_of if c[0] == SPACE and c[-1] != SPACE]
+        if leading and self.library.encode("".join(leading)[1:]) != [i for c in leading for i in parts_of[c]]:
+            for c in leading:
+                if (theirs := self.library.encode(c[1:])) != parts_of[c]:
+                    raise ValueError(f"the library encodes {c!r} as {theirs}, not {parts_of[c]}")
+            raise ValueError("the library merges across chunks")
+        shown, decoded = self.shown, self.decoded
+        return {c: (b" ".join([shown[i] for i in x]), b"".join([decoded[i] for i in x])) for c, x in parts_of.items()}
 
     def split(self, text: str) -> list[str]:
         return self.chunks.findall(SPACE + text.replace(" ", SPACE)) if text else []
