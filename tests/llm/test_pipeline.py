@@ -1,0 +1,31 @@
+import public_tokenizers
+
+import corpus_pipeline
+from tests.llm.helpers import ascii_lower, components, hard_docs, simhash
+from tests.llm.test_tokens import check_packing
+from wordloom.llm import pii, toxicity
+
+
+def test_stages_match_brute_force(spark, sf_dir):
+    """The stages' decisions, made again on plain lists from the scores of the trained model."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    scores = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity_scores(docs, labels).collect()}
+    rows = {r["doc_id"]: r["text"] for r in docs.collect() if not scores[r["doc_id"]]}
+    newest = {}
+    for i, t in rows.items():
+        newest[ascii_lower(t)] = max(i, newest.get(ascii_lower(t), i))
+    rows = {i: rows[i] for i in newest.values()}
+    fps = {i: simhash(t) for i, t in rows.items()}
+    edges = [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 3]
+    rows = {i: rows[i] for i in set(components(fps, edges).values())}
+    rows = {i: None if t is None else pii.redacted(t, pii.spans(t)) for i, t in rows.items()}
+    check_packing(corpus_pipeline.run(spark, sf_dir).collect(), rows)
+
+
+def test_stages_keep_columns_and_take_hard_rows(spark):
+    docs = hard_docs(spark)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        if name != "toxicity":
+            assert stage(spark, docs, "").columns == docs.columns
+            assert stage(spark, docs.limit(0), "").count() == 0
+    assert public_tokenizers.path("byte_bpe_50k.tiktoken")

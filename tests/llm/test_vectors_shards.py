@@ -1,0 +1,93 @@
+import math
+import zlib
+
+import numpy as np
+
+from tests.llm.helpers import HARD_ROWS, components, hard_docs
+from wordloom.llm import queries, shards, vectors
+
+
+def brute_links(rows, threshold=0.9):
+    good = {i: np.array(v, float) for i, v in rows if v and None not in v and np.isfinite(np.array(v, float)).all() and any(v)}
+    unit = {i: v / np.linalg.norm(v) for i, v in good.items()}
+    ids = sorted(unit)
+    return [(a, b) for k, a in enumerate(ids) for b in ids[k + 1:] if len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= threshold]
+
+
+def compare(got, rows, least=0.9):
+    edges = brute_links(rows)
+    degree = {i: sum(i in e for e in edges) for i, _ in rows}
+    assert all(got[i]["n_links"] <= degree[i] for i in degree)
+    found = sum(r["n_links"] for r in got.values())
+    assert found >= least * 2 * len(edges)
+    if found == 2 * len(edges):
+        assert {i: r["component_id"] for i, r in got.items()} == components(degree, edges)
+    assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
+
+
+def test_embedding_links(spark, sf_dir):
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
+    got = {r["vec_id"]: r for r in queries.op7_embedding_dedup(spark, sf_dir).collect()}
+    compare(got, rows)
+
+
+def test_recall_near_the_threshold(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(400):
+        v = rng.standard_normal(32)
+        v /= np.linalg.norm(v)
+        w = rng.standard_normal(32)
+        w -= w @ v * v
+        c = rng.uniform(0.9, 0.93)
+        near = c * v + math.sqrt(1 - c * c) * w / np.linalg.norm(w)
+        rows += [(2 * k, v.astype(np.float32).tolist()), (2 * k + 1, near.astype(np.float32).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    compare({r["vec_id"]: r for r in vectors.cosine_groups(df).collect()}, rows)
+
+
+def test_hard_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, nan]), (5, [1.0, None]), (6, [inf, 1.0]), (7, [1.0, 0.0]), (8, [1.0, 0.0]), (9, [2.0, 0.1]), (10, [1.0, 0.0, 0.0]), (11, [-1.0, 0.0])]
+    df = spark.createDataFrame([(*r, 0, 1) for r in rows], "vec_id long, embedding array<float>, n long, _links int")
+    got = {r["vec_id"]: r for r in vectors.cosine_groups(df).collect()}
+    compare(got, rows, least=1.0)
+    assert got[1]["component_id"] == 1 and got[1]["n_links"] == 0 and got[7]["n_links"] == 2
+    assert vectors.cosine_groups(df.limit(0)).count() == 0
+
+
+def check_shards(rows, texts):
+    by_shard = {}
+    for r in rows:
+        text = (texts[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"]) == (len(text) + 1, zlib.crc32(text))
+        by_shard.setdefault(r["shard"], []).append(r)
+    assert len(rows) == len(texts) and all(0 <= s < 16 for s in by_shard)
+    assert all(sorted(r["slot"] for r in x) == list(range(len(x))) for x in by_shard.values())
+    return {s: sum(r["size"] for r in x) for s, x in by_shard.items()}
+
+
+def test_shards_of_equal_bytes(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = queries.op10_sharding(spark, sf_dir).collect()
+    sizes = check_shards(rows, texts)
+    largest = max(r["size"] for r in rows)
+    assert max(sizes.values()) - min(sizes.values()) <= 2 * largest and len(sizes) == 16
+
+
+def test_hot_text_is_cut(spark):
+    """A group of equal texts of over half the bytes goes to several shards."""
+    docs = spark.createDataFrame([(i, "same text" if i % 2 else f"text {i}") for i in range(20_000)], "doc_id long, text string")
+    rows = shards.shard_by_bytes(docs).collect()
+    sizes = check_shards(rows, {i: "same text" if i % 2 else f"text {i}" for i in range(20_000)})
+    assert max(sizes.values()) <= 1.02 * min(sizes.values())
+
+
+def test_hard_rows_and_files(spark, tmp_path):
+    docs = hard_docs(spark)
+    got = shards.shard_by_bytes(docs)
+    assert got.count() == len(HARD_ROWS) and shards.shard_by_bytes(docs.limit(0)).count() == 0
+    shards.write_shards(docs, f"{tmp_path}/out")
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert set(back.columns) == {*docs.columns, "shard"} and back.count() == len(HARD_ROWS)
