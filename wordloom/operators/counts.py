@@ -20,7 +20,8 @@ def token_table(docs: DataFrame, key: str, text: str = "text", drop_urls: bool =
 
 def document_bags(docs: DataFrame, key: str, text: str = "text", n_max: int = 1, drop_urls: bool = True) -> DataFrame:
     """(key, term, cnt): words and n-grams up to n_max of each document in one bag."""
-    return (docs.select(key, F.explode(terms(tokenize(F.col(text), drop_urls), n_max)).alias("term"))
+    words = docs.select(key, tokenize(F.col(text), drop_urls).alias("_words"))  # a column of its own, so that each text is split once
+    return (words.select(key, F.explode(terms(F.col("_words"), n_max)).alias("term"))
             .groupBy(key, "term").agg(F.count(F.lit(1)).alias("cnt")))
 
 

@@ -47,7 +47,7 @@ def rate_limit(requests: DataFrame, key: str, at: str, text: str | None = None,
     kept = requests.where(F.col(key).isNotNull() & F.col(at).isNotNull())
     if text:
         kept = kept.where(F.coalesce(F.col(text), F.lit("")) != EXEMPT)
-    kept = kept.select(F.col(key).cast("string").alias("key"), F.col(at).alias("at")).withWatermark("at", watermark)
+    kept = kept.select(F.col(key).cast("string").alias("key"), F.col(at).cast("timestamp").alias("at")).withWatermark("at", watermark)
 
     def run(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -77,7 +77,7 @@ def request_windows(requests: DataFrame, key: str, at: str, limits: Limits = Lim
     A window opens with the first request after the one before has ended. Keys are folded with a running
     state in one pass of their sorted times.
     """
-    micros = F.unix_micros(F.col(at))
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
     times = requests.where(F.col(key).isNotNull() & F.col(at).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_list(micros)).alias("_times"))
     span = int(limits.interval * 1_000_000)
     empty = F.array().cast("array<struct<opened:bigint,n:bigint>>")
@@ -89,4 +89,4 @@ def request_windows(requests: DataFrame, key: str, at: str, limits: Limits = Lim
         return F.concat(first, F.array(F.struct(F.when(fresh, t).otherwise(last["opened"]).alias("opened"), F.when(fresh, F.lit(1).cast("bigint")).otherwise(last["n"] + 1).alias("n"))))
 
     windows = times.select(key, F.explode(F.aggregate("_times", empty, add)).alias("w"))
-    return windows.select(key, F.timestamp_micros("w.opened").alias("opened"), F.col("w.n").alias("requests"))
+    return windows.select(key, F.timestamp_micros("w.opened").cast(requests.schema[at].dataType).alias("opened"), F.col("w.n").alias("requests"))
