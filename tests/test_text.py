@@ -1,0 +1,85 @@
+import random
+import unicodedata
+
+import pytest
+from pyspark.sql import functions as F
+
+from wordloom.functions import tokens
+from wordloom.functions.characters import ENDING_SIGNS, KEPT_MARKS, NUMBER_MARKS
+from wordloom.functions.urls import extract_urls
+
+CASES = [
+    ("2024 год", ["ГОД"]), ("2024\nx", ["2024", "X"]), ("2024, x", ["2024", "X"]), ("in 2024", ["IN", "2024"]), ("12.5 kg", ["KG"]), ("a. b", ["B"]),
+    ("a b", ["A", "B"]), ("(a) b", ["A", "B"]), ("x-y 5%", ["X-Y", "5"]), ("it's Straße", ["IT'S", "STRAßE"]), ("ёлка", ["ЕЛКА"]), ("", []), ("- -", []),
+    ("$$", []), ("abc\0def", ["ABC"]), (None, []),
+]
+
+
+def column(spark, values, expression):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, text string")
+    return [r["x"] for r in df.select("i", expression.alias("x")).orderBy("i").collect()]
+
+
+def test_cases(spark):
+    assert column(spark, [t for t, _ in CASES], tokens.tokenize(F.col("text"))) == [w for _, w in CASES]
+
+
+def spec(text: str) -> list[str]:
+    """The rules character by character, without URLs."""
+    def kind(c):
+        category = unicodedata.category(c)
+        if category[0] == "Z" or "\t" <= c <= "\r" or c == "\x85":
+            return "space"
+        if (category[0] == "P" or c in ENDING_SIGNS) and c not in KEPT_MARKS:
+            return "ending"
+        return "word"
+
+    out, run, k = [], "", 0
+    text = text.split("\0")[0]
+    is_word = lambda c: unicodedata.category(c)[0] == "L" or unicodedata.category(c) == "Nd"
+    while k <= len(text):
+        c = text[k] if k < len(text) else None
+        if c is not None and kind(c) == "word":
+            run += c
+        else:
+            at = [i for i, x in enumerate(run) if is_word(x)]
+            if at:
+                core = run[at[0]:at[-1] + 1]
+                number = c == " " and all(unicodedata.category(x) == "Nd" or x in NUMBER_MARKS for x in run)
+                if not number and (len(core) > 1 or core == run):
+                    out.append("".join("Е" if x in "ёЁ" else x if len(x.upper()) > 1 else x.upper() for x in core))
+            run = ""
+            if c is not None and kind(c) == "ending":
+                while k + 1 < len(text) and (kind(text[k + 1]) == "space" or unicodedata.category(text[k + 1])[0] == "P"):
+                    k += 1
+        k += 1
+    return out
+
+
+def test_random_strings(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("aBß1 2.,-'(%\n–ёж°&_ \u0085x") for _ in range(rng.randrange(25))) for _ in range(5000)]
+    assert column(spark, texts, tokens.tokenize(F.col("text"), drop_urls=False)) == list(map(spec, texts))
+
+
+URLS = [
+    ("see www.site.com/a?b=1, ok", ["www.site.com/a?b=1"]), ("mail reen.09@mail3.example.com now", ["reen.09@mail3.example.com"]), ("end.In the", ["end.In"]),
+    ("foo,bar.com x", ["foo,bar.com"]), ("example.com:8080/x", ["example.com"]), ("http://a.com/x).", ["http://a.com/x"]), ("(foo.ru)", ["foo.ru"]), ("irc6://x", []),
+]
+
+
+def test_urls(spark):
+    found = column(spark, [t for t, _ in URLS], extract_urls(F.col("text")))
+    assert [[u["value"] for u in x] for x in found] == [u for _, u in URLS]
+    assert all(t[u["start"]:u["start"] + u["length"]] == u["value"] for (t, _), x in zip(URLS, found, strict=True) for u in x)
+
+
+@pytest.mark.parametrize(("n", "want"), [(1, ["a", "b", "c"]), (2, ["a b", "b c"]), (3, ["a b c"]), (4, [])])
+def test_ngrams(spark, n, want):
+    assert column(spark, ["a b c"], tokens.ngrams(F.split("text", " "), n)) == [want]
+
+
+def test_small_functions(spark):
+    assert column(spark, ["a\n\tb" + "x" * 200], tokens.preview(F.col("text"))) == ["a bx" + "x" * 145 + "..."]
+    assert column(spark, ["0.125"], tokens.percent_text(F.col("text").cast("double"))) == ["0.13"]
+    assert column(spark, ["7", "0"], tokens.class_label(F.col("text").cast("int"), {0: "zero"})) == ["[class-index: 7]", "zero"]
