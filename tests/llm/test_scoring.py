@@ -9,25 +9,40 @@ from tests.llm.helpers import hard_docs
 from wordloom.llm import lm, queries, toxicity
 
 
-def test_lm_losses_match_counters(spark, sf_dir):
-    rows = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+def test_lm_losses_match_counters(spark, sf_dir, monkeypatch):
+    """Counts of words as they are, made again in plain Python; small blocks, so that there are many."""
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 20_000)
+    rows = {r["doc_id"]: (r["text"] or "").encode().lower().split() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     target = {r["doc_id"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").collect()}
     models = []
     for ids in (target & set(rows), set(rows)):
-        words, pairs, befores = Counter(), Counter(), Counter()
-        for i in ids:
-            w, b, p = lm.cells(rows[i])
-            words.update(w.tolist()), befores.update(b.tolist()), pairs.update(p.tolist())
-        models.append((words, pairs, befores, sum(words.values())))
-    scale = models[0][3] / models[1][3]
-    for r in queries.op3_lm_scoring(spark, sf_dir).collect():
-        w, b, p = (x.tolist() for x in lm.cells(rows[r["doc_id"]]))
-        for side, got in enumerate((r["target_loss"], r["background_loss"])):
-            words, pairs, befores, total = models[side]
-            s = scale if side else 1.0
-            loss = -sum(math.log((pairs[z] * s + lm.SMOOTHING * (words[x] * s + 1) / (total * s + lm.WORD_CELLS)) / (befores[y] * s + lm.SMOOTHING)) for x, y, z in zip(w, b, p)) / max(len(w), 1)
-            assert got == pytest.approx(loss, abs=1e-4)
-        assert r["score"] == r["target_loss"] - r["background_loss"] and r["n_tokens"] == len(w)
+        singles, pairs = Counter(), Counter()
+        for i in (i for i in ids if rows[i]):
+            singles.update([*rows[i], None]), pairs.update(zip([None, *rows[i]], [*rows[i], None]))
+        models.append((singles, pairs, sum(singles.values())))
+    vocabulary, scale = len(models[1][0]), models[0][2] / models[1][2]
+    got = queries.op3_lm_scoring(spark, sf_dir).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(rows)
+    for r in got:
+        words = rows[r["doc_id"]]
+        for side, loss in enumerate((r["target_loss"], r["background_loss"])):
+            singles, pairs, total = models[side]
+            s, steps = scale if side else 1.0, list(zip([None, *words], [*words, None])) if words else []
+            nats = [-math.log((pairs[b, w] * s + lm.SMOOTHING * (singles[w] * s + 1) / (total * s + vocabulary)) / (singles[b] * s + lm.SMOOTHING)) for b, w in steps]
+            assert loss == pytest.approx(sum(nats) / max(len(steps), 1), abs=1e-9)
+        assert r["score"] == r["target_loss"] - r["background_loss"] and r["n_tokens"] == len(words)
+
+
+def test_lm_target_joined_by_exchange(spark, sf_dir, monkeypatch):
+    """More target ids than may be sent to all executors give the same scores."""
+    sent = {tuple(r) for r in queries.op3_lm_scoring(spark, sf_dir).selectExpr("doc_id", "round(score, 9)").collect()}
+    monkeypatch.setattr(lm, "MOST_SENT_IDS", 0)
+    assert sent == {tuple(r) for r in queries.op3_lm_scoring(spark, sf_dir).selectExpr("doc_id", "round(score, 9)").collect()}
+
+
+def test_packing_of_numbers():
+    for numbers in ([0], [1, 2**43, 5], list(range(1000))):
+        assert lm.unpacked(lm.packed(lm.np.array(numbers))).tolist() == numbers
 
 
 def test_lm_hard_rows(spark):

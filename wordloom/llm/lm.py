@@ -1,118 +1,204 @@
 """Language-model scoring by cross-entropy difference of a target and a background bigram model.
 
-Both models share one vocabulary of hashed words and bigrams of fixed size, so that a model is two
-arrays however large the corpus is, while every token of every document is counted.
+Both models share one vocabulary of words and bigrams, which grows with the corpus: no model is held
+by the driver or by one task. Documents are gathered in blocks; each block sends the counts of its own
+n-grams to the ranges they fall in, and gets the counts over all documents back.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Cells of the shared vocabulary: words, then bigrams.
-WORD_CELLS, PAIR_CELLS = 2**17, 2**20
-CELLS_PER_ROW = 4096
+from wordloom.llm.common import cut
+
+#: An n-gram is an even (bigram) or odd (word) number of so many bits, made from 64-bit hashes.
+GRAM_BITS = 44
+#: Text of one block, and text whose n-grams one range is to hold, in bytes.
+BLOCK_BYTES, RANGE_BYTES = 8 << 20, 16 << 20
+#: Target ids up to this number are sent to all executors; more are joined by an exchange.
+MOST_SENT_IDS = 1_000_000
 SMOOTHING = 100.0
-START = b""
+#: Stands before the first word and after the last one.
+EDGE = b""
 
 
 class WordIds(dict):
-    """Word to vocabulary cell; forgets all when it holds too many."""
+    """Word to its hash; forgets all when it holds too many."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 500_000:
             self.clear()
-        out = self[word] = xxhash.xxh64_intdigest(word) % WORD_CELLS
+        out = self[word] = xxhash.xxh64_intdigest(word)
         return out
 
 
 IDS = WordIds()
 
 
-def cells(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cells of the text's words, of each one's predecessor (a start mark for the first), and of the pairs."""
+def word_ids(text: bytes) -> np.ndarray:
+    """Hashes of the words with an edge at both ends; nothing for a text without words."""
     words = text.lower().split()
-    ids = np.fromiter(map(IDS.__getitem__, [START, *words]), dtype=np.uint64, count=len(words) + 1)
-    mixed = (ids[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (ids[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
-    mixed ^= mixed >> np.uint64(29)
-    pair = (mixed * np.uint64(0x165667B19E3779F9)) >> np.uint64(64 - 20)
-    return ids[1:].astype(np.int64), ids[:-1].astype(np.int64), pair.astype(np.int64)
+    return np.fromiter(map(IDS.__getitem__, [EDGE, *words, EDGE]), np.uint64, len(words) + 2) if words else np.empty(0, np.uint64)
+
 
+def word_grams(ids: np.ndarray) -> np.ndarray:
+    return ((ids >> np.uint64(64 - GRAM_BITS)) | np.uint64(1)).astype(np.int64)
+
+
+def pair_grams(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    mixed = (before * np.uint64(0x9E3779B97F4A7C15)) ^ (ids * np.uint64(0xC2B2AE3D27D4EB4F))
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0x165667B19E3779F9)
+    return (mixed >> np.uint64(65 - GRAM_BITS) << np.uint64(1)).astype(np.int64)
+
+
+class Block:
+    """N-grams of some texts: each word, and the edge after the last one, is predicted from what stands before it."""
+
+    def __init__(self, texts: list[bytes]):
+        ids = [word_ids(t) for t in texts]
+        self.predictions = np.array([max(len(x) - 1, 0) for x in ids], np.int64)
+        every = np.concatenate([*ids, np.empty(0, np.uint64)])
+        first = np.zeros(len(every), bool)
+        starts = np.cumsum([0, *map(len, ids)])[:-1]
+        first[starts[self.predictions > 0]] = True
+        at = np.flatnonzero(~first)
+        self.doc = np.repeat(np.arange(len(texts)), self.predictions)
+        words = word_grams(every)
+        # Contexts are words or edges, all of which are predicted somewhere, so that their counts are among the words'.
+        grams = np.concatenate([words[at], pair_grams(every[at - 1], every[at])])
+        self.grams, place = np.unique(grams, return_inverse=True)
+        self.word, self.pair = place[:len(at)], place[len(at):]
+        self.before = np.searchsorted(self.grams, words[at - 1])
+
+    def counts(self, in_target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Count of each n-gram in all texts and in those of the target."""
+        chosen = in_target[self.doc]
+        own = np.concatenate([self.word[chosen], self.pair[chosen]])
+        size = len(self.grams)
+        return np.bincount(np.concatenate([self.word, self.pair]), minlength=size), np.bincount(own, minlength=size)
+
+    def losses(self, counts: np.ndarray, total: float, scale: float, vocabulary: int) -> np.ndarray:
+        """Nats per prediction of each text under the model of these counts; 0 for a text without words."""
+        counts = counts * scale
+        single = (counts[self.word] + 1) / (total * scale + vocabulary)
+        nats = -np.log((counts[self.pair] + SMOOTHING * single) / (counts[self.before] + SMOOTHING))
+        return np.bincount(self.doc, nats, len(self.predictions)) / np.maximum(self.predictions, 1)
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Bytes of equal weight next to each other, as most of the high ones are zero."""
+    return zlib.compress(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def gathered(docs: DataFrame, ranges: int) -> DataFrame:
+    """Blocks of docs (_id, _text, _target): rows of a document have _id and _text; rows of a range have its n-grams and their counts."""
+    kind = docs.schema["_id"].dataType.simpleString()
+    shift = GRAM_BITS - (ranges.bit_length() - 1)
 
-def ngram_counts(docs: DataFrame, target: Column, text_col: str) -> DataFrame:
-    """(cell, in_target, in_all): counts over all documents; words first, pairs after them, predecessors last."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = 2 * WORD_CELLS + PAIR_CELLS
-        all_, own = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        task, number = TaskContext.get().partitionId() << 32, 0
+
+        def finish(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            docs_ = pa.Table.from_batches(held).combine_chunks()
+            n = len(docs_)
+            block = Block([t or b"" for t in docs_.column("_text").cast(pa.binary()).to_pylist()])
+            all_, own = block.counts(np.array(docs_.column("_target").to_pylist(), bool))
+            parts = block.grams >> shift
+            edges = np.flatnonzero(np.diff(parts, prepend=-1, append=ranges + 1))
+            spans = list(zip(edges[:-1], edges[1:], strict=True))
+            m = len(spans)
+            binary = lambda values: pa.array([None] * n + [packed(values(slice(s, e))) for s, e in spans], pa.binary())
+            return pa.RecordBatch.from_arrays([
+                pa.array(np.full(n + m, task + number)),
+                pa.array([None] * n + [int(parts[s]) for s, _ in spans], pa.int32()),
+                pa.concat_arrays([*docs_.column("_id").chunks, pa.nulls(m, docs_.schema.field("_id").type)]),
+                pa.concat_arrays([*docs_.column("_text").chunks, pa.nulls(m, docs_.schema.field("_text").type)]),
+                binary(lambda x: np.diff(block.grams[x], prepend=0)), binary(lambda x: all_[x]), binary(lambda x: own[x])],
+                ["block", "part", "_id", "_text", "grams", "in_all", "in_target"])
+
+        held, size = [], 0
         for b in batches:
-            for text, is_target in zip(b.column(0).cast(pa.binary()), b.column(1).to_pylist(), strict=True):
-                word, before, pair = cells(text.as_py() or b"")
-                for at in (word, pair + WORD_CELLS, before + WORD_CELLS + PAIR_CELLS):
-                    np.add.at(all_, at, 1)
-                    if is_target:
-                        np.add.at(own, at, 1)
-        used = np.flatnonzero(all_)
-        for i in range(0, len(used), 100_000):
-            u = used[i:i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int32)), pa.array(own[u]), pa.array(all_[u])], ["cell", "in_target", "in_all"])
-
-    parts = docs.select(F.col(text_col).alias("_text"), F.coalesce(target, F.lit(False)).alias("_target")).mapInArrow(run, "cell int, in_target long, in_all long")
-    return parts.groupBy("cell").agg(F.sum("in_target").alias("in_target"), F.sum("in_all").alias("in_all"))
-
-
-def dense_model(counts: DataFrame) -> np.ndarray:
-    """(2, cells) counts of target and background, of fixed size; arrives in packed rows."""
-    packed = (counts.groupBy(F.expr(f"cell div {CELLS_PER_ROW}").alias("row"))
-              .agg(F.collect_list("cell").alias("c"), F.collect_list("in_target").alias("t"), F.collect_list("in_all").alias("a")))
-    out = np.zeros((2, 2 * WORD_CELLS + PAIR_CELLS), np.float32)
-    for r in packed.toLocalIterator():
-        out[0, r["c"]], out[1, r["c"]] = r["t"], r["a"]
-    return out
-
-
-def losses(model: np.ndarray, text: bytes) -> tuple[int, float, float]:
-    """Words, and nats per word under target and background, of which the counts are scaled to the target's size."""
-    word, before, pair = cells(text)
-    if not len(word):
-        return 0, 0.0, 0.0
-    total = model[:, :WORD_CELLS].sum(axis=1, dtype=np.float64)
-    out = []
-    for side in (0, 1):
-        scale = total[0] / total[1] if side and total[0] else 1.0
-        counts = model[side]
-        single = (counts[word].astype(np.float64) * scale + 1) / (total[side] * scale + WORD_CELLS)
-        double = counts[pair + WORD_CELLS].astype(np.float64) * scale
-        context = counts[before + WORD_CELLS + PAIR_CELLS].astype(np.float64) * scale
-        out.append(float(-np.log((double + SMOOTHING * single) / (context + SMOOTHING)).mean()))
-    return len(word), out[0], out[1]
+            lengths = np.cumsum([len(t) if t is not None else 0 for t in b.column(1).cast(pa.binary()).to_pylist()])
+            start = 0
+            while start < len(b):
+                end = min(len(b), int(np.searchsorted(lengths, BLOCK_BYTES - size + (lengths[start - 1] if start else 0))) + 1)
+                held.append(b.slice(start, end - start))
+                size += int(lengths[end - 1] - (lengths[start - 1] if start else 0))
+                start = end
+                if size >= BLOCK_BYTES:
+                    yield finish(held)
+                    held, size, number = [], 0, number + 1
+        if held:
+            yield finish(held)
+
+    return docs.select("_id", "_text", "_target").mapInArrow(
+        run, f"block long, part int, _id {kind}, _text string, grams binary, in_all binary, in_target binary")
+
+
+def totals(blocks: DataFrame) -> DataFrame:
+    """For each block and range the counts over all blocks, in the block's order; once for each range (block null) its words and their counts."""
+    def run(range_: pa.Table) -> pa.Table:
+        rows = [[np.cumsum(unpacked(g)) if i == 0 else unpacked(g) for g in range_.column(c).to_pylist()] for i, c in enumerate(("grams", "in_all", "in_target"))]
+        grams, place = np.unique(np.concatenate(rows[0]), return_inverse=True)
+        sums = [np.bincount(place, np.concatenate(x), len(grams)).astype(np.int64) for x in rows[1:]]
+        bounds = np.cumsum([0, *map(len, rows[0])])
+        spans = [place[s:e] for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+        words = grams % 2 == 1
+        m = len(spans)
+        return pa.table([
+            pa.concat_arrays([*range_.column("block").chunks, pa.nulls(1, pa.int64())]),
+            pa.concat_arrays([*range_.column("part").chunks, pa.nulls(1, pa.int32())]),
+            *[pa.array([*[packed(x[s]) for s in spans], None], pa.binary()) for x in sums],
+            *[pa.array([0] * m + [int(x)]) for x in (words.sum(), sums[0][words].sum(), sums[1][words].sum())]],
+            ["block", "part", "in_all", "in_target", "words", "all", "target"])
+
+    return (blocks.where("part is not null").select("part", "block", "grams", "in_all", "in_target").groupBy("part")
+            .applyInArrow(run, "block long, part int, in_all binary, in_target binary, words long, all long, target long"))
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_tokens, target_loss, background_loss, score (their difference; lower: more like the target).
 
-    Words are maximal runs without white space after lower-casing A-Z. The target is the documents whose id
-    is in target_ids (one column); the background is all documents, its counts scaled to the target's
-    size so that smoothing acts alike. A text without words, or a null one, has losses and score zero.
-    A null id is never in the target; repeated rows are counted each. Without a target its model is
-    uniform. An empty table gives an empty result.
+    Words are maximal runs without white space after lower-casing A-Z; the end of a text is predicted
+    like a word. The target is the documents whose id is in target_ids (one column); the background is
+    all documents, its counts scaled to the target's size so that smoothing acts alike. A text without words, or
+    a null one, has losses and score zero. A null id is never in the target; repeated rows are
+    counted each. Without a target its model is uniform. An empty table gives an empty result.
     """
     ids = target_ids.select(F.col(target_ids.columns[0]).alias("_wl_id")).where("_wl_id is not null").distinct().withColumn("_wl_in", F.lit(True))
-    marked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(ids.hint("shuffle_hash"), F.col("_id") == F.col("_wl_id"), "left")
-    model = docs.sparkSession.sparkContext.broadcast(dense_model(ngram_counts(marked, F.col("_wl_in"), "_text")))  # of fixed size
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [losses(model.value, t.as_py() or b"") for t in b.column(1).cast(pa.binary())]
-            n, t, a = (list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [])
-            score = [x - y for x, y in zip(t, a, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *[pa.array(x, pa.float64()) for x in (t, a, score)]],
-                                             ["_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-            .mapInArrow(run, f"_id {kind}, n_tokens long, target_loss double, background_loss double, score double").withColumnRenamed("_id", id_col))
+    ids = F.broadcast(ids) if ids.count() <= MOST_SENT_IDS else ids.hint("shuffle_hash")
+    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    size = own.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    ranges = 1 << max(3, (size // RANGE_BYTES).bit_length())
+    in_target: Column = F.coalesce("_wl_in", F.lit(False)).alias("_target")
+    blocks = cut(gathered(own.join(ids, F.col("_id") == F.col("_wl_id"), "left").select("_id", "_text", in_target), min(ranges, 1 << 30)))
+    answers = cut(totals(blocks))
+    sums = answers.where("block is null").agg(*[F.sum(c) for c in ("words", "all", "target")]).first()
+    vocabulary, total, target = (int(x or 0) for x in sums)
+    scale = target / total if target else 1.0
+
+    def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
+        block = Block([t or b"" for t in texts.column("_text").cast(pa.binary()).to_pylist()])
+        counts = counts.sort_by("part")
+        all_, own = (np.concatenate([np.empty(0, np.int64), *map(unpacked, counts.column(c).to_pylist())]) for c in ("in_all", "in_target"))
+        t, a = block.losses(own, target, 1.0, vocabulary), block.losses(all_, total, scale, vocabulary)
+        return pa.table([texts.column("_id"), pa.array(np.maximum(block.predictions - 1, 0)), pa.array(t), pa.array(a), pa.array(t - a)],
+                        ["_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    kind = own.schema["_id"].dataType.simpleString()
+    return (blocks.where("part is null").select("block", "_id", "_text").groupBy("block")
+            .cogroup(answers.where("block is not null").select("block", "part", "in_all", "in_target").groupBy("block"))
+            .applyInArrow(run, f"_id {kind}, n_tokens long, target_loss double, background_loss double, score double").withColumnRenamed("_id", id_col))
