@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -103,40 +104,26 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
 
-def gathered(docs: DataFrame, ranges: int) -> DataFrame:
-    """Blocks of docs (_id, _text, _target): rows of a document have _id and _text; rows of a range have its n-grams and their counts."""
-    kind = docs.schema["_id"].dataType.simpleString()
-    shift = GRAM_BITS - (ranges.bit_length() - 1)
-
+def gathered(docs: DataFrame) -> DataFrame:
+    """(block, docs): rows of docs (_id, _text, _target) in blocks of about BLOCK_BYTES of text, each block as one compressed Arrow stream."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId() << 32, 0
 
         def finish(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-            docs_ = pa.Table.from_batches(held).combine_chunks()
-            n = len(docs_)
-            block = Block([t or b"" for t in docs_.column("_text").cast(pa.binary()).to_pylist()])
-            all_, own = block.counts(np.array(docs_.column("_target").to_pylist(), bool))
-            parts = block.grams >> shift
-            edges = np.flatnonzero(np.diff(parts, prepend=-1, append=ranges + 1))
-            spans = list(zip(edges[:-1], edges[1:], strict=True))
-            m = len(spans)
-            binary = lambda values: pa.array([None] * n + [packed(values(slice(s, e))) for s, e in spans], pa.binary())
-            return pa.RecordBatch.from_arrays([
-                pa.array(np.full(n + m, task + number)),
-                pa.array([None] * n + [int(parts[s]) for s, _ in spans], pa.int32()),
-                pa.concat_arrays([*docs_.column("_id").chunks, pa.nulls(m, docs_.schema.field("_id").type)]),
-                pa.concat_arrays([*docs_.column("_text").chunks, pa.nulls(m, docs_.schema.field("_text").type)]),
-                binary(lambda x: np.diff(block.grams[x], prepend=0)), binary(lambda x: all_[x]), binary(lambda x: own[x])],
-                ["block", "part", "_id", "_text", "grams", "in_all", "in_target"])
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_table(pa.Table.from_batches(held).combine_chunks())
+            return pa.RecordBatch.from_arrays([pa.array([task + number]), pa.array([out.getvalue().to_pybytes()], pa.binary())], ["block", "docs"])
 
         held, size = [], 0
         for b in batches:
             lengths = np.cumsum([len(t) if t is not None else 0 for t in b.column(1).cast(pa.binary()).to_pylist()])
             start = 0
             while start < len(b):
-                end = min(len(b), int(np.searchsorted(lengths, BLOCK_BYTES - size + (lengths[start - 1] if start else 0))) + 1)
+                before = int(lengths[start - 1]) if start else 0
+                end = min(len(b), int(np.searchsorted(lengths, BLOCK_BYTES - size + before)) + 1)
                 held.append(b.slice(start, end - start))
-                size += int(lengths[end - 1] - (lengths[start - 1] if start else 0))
+                size += int(lengths[end - 1]) - before
                 start = end
                 if size >= BLOCK_BYTES:
                     yield finish(held)
@@ -144,11 +131,36 @@ def gathered(docs: DataFrame, ranges: int) -> DataFrame:
         if held:
             yield finish(held)
 
-    return docs.select("_id", "_text", "_target").mapInArrow(
-        run, f"block long, part int, _id {kind}, _text string, grams binary, in_all binary, in_target binary")
+    return docs.select("_id", "_text", "_target").mapInArrow(run, "block long, docs binary")
+
+
+def documents_of(block: bytes) -> tuple[pa.Table, Block]:
+    docs = pa.ipc.open_stream(block).read_all()
+    return docs, Block([t or b"" for t in docs.column("_text").cast(pa.binary()).to_pylist()])
 
 
-def totals(blocks: DataFrame) -> DataFrame:
+def requests(blocks: DataFrame, ranges: int) -> DataFrame:
+    """For each block and each range that it has n-grams in: those n-grams and their counts in the block."""
+    shift = GRAM_BITS - (ranges.bit_length() - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for number, data in zip(b.column(0), b.column(1), strict=True):
+                docs, block = documents_of(data.as_buffer())
+                all_, own = block.counts(np.array(docs.column("_target").to_pylist(), bool))
+                parts = block.grams >> shift
+                edges = np.flatnonzero(np.diff(parts, prepend=-1, append=ranges + 1))
+                spans = [slice(s, e) for s, e in pairwise(edges)]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([number.as_py()] * len(spans), pa.int64()), pa.array(parts[edges[:-1]].astype(np.int32)),
+                    pa.array([packed(np.diff(block.grams[x], prepend=0)) for x in spans], pa.binary()),
+                    *[pa.array([packed(counts[x]) for x in spans], pa.binary()) for counts in (all_, own)]],
+                    ["block", "part", "grams", "in_all", "in_target"])
+
+    return blocks.mapInArrow(run, "block long, part int, grams binary, in_all binary, in_target binary")
+
+
+def totals(asked: DataFrame) -> DataFrame:
     """For each block and range the counts over all blocks, in the block's order; once for each range (block null) its words and their counts."""
     def run(range_: pa.Table) -> pa.Table:
         rows = [[np.cumsum(unpacked(g)) if i == 0 else unpacked(g) for g in range_.column(c).to_pylist()] for i, c in enumerate(("grams", "in_all", "in_target"))]
@@ -165,8 +177,7 @@ def totals(blocks: DataFrame) -> DataFrame:
             *[pa.array([0] * m + [int(x)]) for x in (words.sum(), sums[0][words].sum(), sums[1][words].sum())]],
             ["block", "part", "in_all", "in_target", "words", "all", "target"])
 
-    return (blocks.where("part is not null").select("part", "block", "grams", "in_all", "in_target").groupBy("part")
-            .applyInArrow(run, "block long, part int, in_all binary, in_target binary, words long, all long, target long"))
+    return asked.groupBy("part").applyInArrow(run, "block long, part int, in_all binary, in_target binary, words long, all long, target long")
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,21 +195,20 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
     size = own.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     ranges = 1 << max(3, (size // RANGE_BYTES).bit_length())
     in_target: Column = F.coalesce("_wl_in", F.lit(False)).alias("_target")
-    blocks = cut(gathered(own.join(ids, F.col("_id") == F.col("_wl_id"), "left").select("_id", "_text", in_target), min(ranges, 1 << 30)))
-    answers = cut(totals(blocks))
+    blocks = cut(gathered(own.join(ids, F.col("_id") == F.col("_wl_id"), "left").select("_id", "_text", in_target)))
+    answers = cut(totals(requests(blocks, min(ranges, 1 << 30))))
     sums = answers.where("block is null").agg(*[F.sum(c) for c in ("words", "all", "target")]).first()
     vocabulary, total, target = (int(x or 0) for x in sums)
     scale = target / total if target else 1.0
 
-    def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        block = Block([t or b"" for t in texts.column("_text").cast(pa.binary()).to_pylist()])
+    def run(held: pa.Table, counts: pa.Table) -> pa.Table:
+        docs, block = documents_of(held.column("docs")[0].as_buffer())
         counts = counts.sort_by("part")
         all_, own = (np.concatenate([np.empty(0, np.int64), *map(unpacked, counts.column(c).to_pylist())]) for c in ("in_all", "in_target"))
         t, a = block.losses(own, target, 1.0, vocabulary), block.losses(all_, total, scale, vocabulary)
-        return pa.table([texts.column("_id"), pa.array(np.maximum(block.predictions - 1, 0)), pa.array(t), pa.array(a), pa.array(t - a)],
+        return pa.table([docs.column("_id"), pa.array(np.maximum(block.predictions - 1, 0)), pa.array(t), pa.array(a), pa.array(t - a)],
                         ["_id", "n_tokens", "target_loss", "background_loss", "score"])
 
     kind = own.schema["_id"].dataType.simpleString()
-    return (blocks.where("part is null").select("block", "_id", "_text").groupBy("block")
-            .cogroup(answers.where("block is not null").select("block", "part", "in_all", "in_target").groupBy("block"))
+    return (blocks.groupBy("block").cogroup(answers.where("block is not null").select("block", "part", "in_all", "in_target").groupBy("block"))
             .applyInArrow(run, f"_id {kind}, n_tokens long, target_loss double, background_loss double, score double").withColumnRenamed("_id", id_col))
