@@ -137,7 +137,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             y, n, f, s = (list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(n, pa.int32()), pa.array(f, pa.list_(pa.int32())), pa.array(s, pa.list_(pa.int32()))], ["y", "n", "f", "s"])
 
-    bags = [tuple(r) for r in sample.select("_text", "_y").mapInArrow(hits, "y int, n int, f array<int>, s array<int>").orderBy("y", "n", "f", "s").collect()]  # max_docs rows
+    found = sample.select("_text", "_y").mapInArrow(hits, "y int, n int, f array<int>, s array<int>").collect()  # max_docs rows
+    bags = sorted(tuple(r) for r in found)  # the same model in whatever order tasks end
     bias, weights = fit(bags, len(chosen))
     return Model(bias, {f: float(weights[i]) for f, i in number.items() if weights[i]})
 
