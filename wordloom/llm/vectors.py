@@ -138,7 +138,8 @@ def cosine_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     rows = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).alias("_v"))
     fit = (ident.isNotNull() & v.isNotNull() & F.exists(v, lambda x: x != 0)
            & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
-    rows = rows.withColumn("_v", F.when(fit, v)).withColumn("_h", F.when(fit, F.xxhash64(v)))
+    # What links with nothing is spread by its id in the join below.
+    rows = rows.withColumn("_h", F.when(fit, F.xxhash64(v)).otherwise(F.xxhash64("_id"))).withColumn("_v", F.when(fit, v))
     classes = cut(rows.where("_v is not null").groupBy("_v", "_h").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_rep")))
     k, tables = table_plan(classes.count(), threshold, recall)
     signed = signatures(classes, k, tables, seed)
