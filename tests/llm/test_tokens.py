@@ -85,6 +85,14 @@ def test_packing_hard_rows(spark):
     assert packing.pack(docs.limit(0), *args).count() == 0
 
 
+def test_packing_special_token(spark):
+    """The special token's string is one id, wherever it stands."""
+    end = "<|endoftext|>"
+    texts = dict(enumerate([f"a {end} b", end, end * 3, f"a  {end}  b\n", f"{end}\n\n x{end}", f"x<|endoftext{end}|>", f"'{end}s 1{end}2", "<|endoftext>", f"word {end} " * 2_000]))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    check_packing(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect(), texts)
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_best_fit_plan(seed):
     """On counts it needs no more sequences than best fit, longest first, on single items."""

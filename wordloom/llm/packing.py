@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 
 from wordloom.llm.common import cut, gapless_rank
 
+#: The special token of the vocabulary, which its file of ranks does not hold, and its id.
+SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
+
 ENCODERS: dict[tuple[str, str], tiktoken.Encoding] = {}
 
 
 def encoder(ranks_path: str, pattern: str) -> tiktoken.Encoding:
-    """The byte-level vocabulary; strings of special tokens are ordinary text. One for each worker process."""
+    """The byte-level vocabulary without its special token. One for each worker process."""
     if (ranks_path, pattern) not in ENCODERS:
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
@@ -27,14 +30,26 @@ def encoder(ranks_path: str, pattern: str) -> tiktoken.Encoding:
     return ENCODERS[ranks_path, pattern]
 
 
+def encode(encoding: tiktoken.Encoding, text: str) -> list[int]:
+    """Ids of a whole text; the special token's string is one id, and no piece reaches across it."""
+    if SPECIAL not in text:
+        return encoding.encode_ordinary(text)
+    first, *others = text.split(SPECIAL)
+    ids = encoding.encode_ordinary(first)
+    for part in others:
+        ids.append(SPECIAL_ID)
+        ids += encoding.encode_ordinary(part)
+    return ids
+
+
 def pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int, end_id: int, id_col: str, text_col: str, keep_ids: bool) -> DataFrame:
     """(_id, piece, start, length, ids_crc32[, ids]) of each document's ids; longer ones are cut so that only the first piece is shorter."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks_path, pattern).encode_ordinary
+        encoding = encoder(ranks_path, pattern)
         for b in batches:
             rows: list[list] = [[], [], [], [], [], []]
             for i, text in enumerate(b.column(1)):
-                ids = np.array([*encode(text.as_py() or ""), end_id], dtype="<u4")
+                ids = np.array([*encode(encoding, text.as_py() or ""), end_id], dtype="<u4")
                 start, stop, piece = 0, len(ids) % capacity or capacity, 0
                 while start < len(ids):
                     for column, x in zip(rows, (i, piece, start, stop - start, zlib.crc32(ids[start:stop].tobytes()), ids[start:stop] if keep_ids else None), strict=True):
