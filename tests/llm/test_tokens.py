@@ -1,4 +1,5 @@
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -93,6 +94,25 @@ def test_packing_special_token(spark):
     check_packing(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect(), texts)
 
 
+def test_packing_long_white_space(spark):
+    """Runs at which the matcher of tiktoken runs out of stack."""
+    n = 1_000_001
+    texts = dict(enumerate([" " * n + "a", "\n" * n + "a", "x" + "\u3000" * n, f"a{' ' * n}\n<|endoftext|>{chr(9) * n} 1 b", "x \n" * 4 + "\n " * n + "'s"]))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    check_packing(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect(), texts)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="ab1!'s \n\t\xa0\x1c\u3000\u200b\x85ß", max_size=60))
+def test_white_space_in_parts(text):
+    """Cut at runs of two characters already, the ids are those of the whole text."""
+    encoding = packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(packing, "LONG_RUN", 0)
+        patch.setattr(packing, "LONG_SPACES", re.compile(packing.LONG_SPACES.pattern.replace("100000", "2")))
+        assert packing.encode_plain(encoding, text) == encoding.encode_ordinary(text)
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_best_fit_plan(seed):
     """On counts it needs no more sequences than best fit, longest first, on single items."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -18,6 +19,11 @@ from wordloom.llm.common import cut, gapless_rank
 #: The special token of the vocabulary, which its file of ranks does not hold, and its id.
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 
+#: White space as the pattern takes it, in runs near which the library's matcher runs out of stack (at 1,000,000 characters).
+LONG_RUN = 100_000
+SPACES = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+LONG_SPACES = re.compile(f"(?<!{SPACES}){SPACES}{{{LONG_RUN},}}")
+
 ENCODERS: dict[tuple[str, str], tiktoken.Encoding] = {}
 
 
@@ -30,15 +36,30 @@ def encoder(ranks_path: str, pattern: str) -> tiktoken.Encoding:
     return ENCODERS[ranks_path, pattern]
 
 
+def encode_plain(encoding: tiktoken.Encoding, text: str) -> list[int]:
+    """Ids of a text without special tokens.
+
+    A long run of white space is one match of the pattern, less its last character if text follows: that
+    one goes with the text. Such a match is encoded without the matcher.
+    """
+    if len(text) < LONG_RUN:
+        return encoding.encode_ordinary(text)
+    ids, at = [], 0
+    for run in LONG_SPACES.finditer(text):
+        stop = run.end() - (run.end() < len(text))
+        ids += encoding.encode_ordinary(text[at:run.start()])
+        ids += encoding._encode_single_piece(text[run.start():stop])
+        at = stop
+    return ids + encoding.encode_ordinary(text[at:])
+
+
 def encode(encoding: tiktoken.Encoding, text: str) -> list[int]:
     """Ids of a whole text; the special token's string is one id, and no piece reaches across it."""
-    if SPECIAL not in text:
-        return encoding.encode_ordinary(text)
     first, *others = text.split(SPECIAL)
-    ids = encoding.encode_ordinary(first)
+    ids = encode_plain(encoding, first)
     for part in others:
         ids.append(SPECIAL_ID)
-        ids += encoding.encode_ordinary(part)
+        ids += encode_plain(encoding, part)
     return ids
 
 
