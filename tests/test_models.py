@@ -1,10 +1,14 @@
+from collections import Counter
+
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wordloom.operators import counts, scoring, weights
 from wordloom.plans.training import Settings, grid, train, train_grid
 from wordloom.sources import corpus, models
 from wordloom.streaming.classify import classify_stream
-from wordloom.streaming.ratelimit import Limits, step
+from wordloom.streaming.ratelimit import Limits, rate_limit, request_outcomes, request_windows, step
 
 PLAIN = Settings(n_max=1, cut="d0")
 
@@ -94,6 +98,39 @@ def test_rate_limiter_steps():
     assert step(entry, 400.0, limits)[0] == "admitted"
 
 
+def request_rows(spark):
+    """Keys with few and many requests, dense and sparse, over several Arrow batches; 0 has most of them, in no order."""
+    rng = np.random.default_rng(7)
+    times = {0: np.cumsum(rng.integers(0, 9_000_000, 25_000)), 1: rng.integers(0, 5_000_000, 12_000), 2: np.arange(300) * 10_000_000, 3: np.array([5]), 4: np.zeros(11_000, int)}
+    times = {k: x + 1_600_000_000_000_000 for k, x in times.items()}  # a stream drops what is not after its first watermark, 1970
+    rows = [(k, int(t)) for k, x in times.items() for t in rng.permutation(x)] + [(None, 1), (1, None)]
+    return times, spark.createDataFrame(rows, "k long, us long").select("k", F.timestamp_micros("us").alias("t"))
+
+
+def test_request_windows_stream_over_rows(spark):
+    times, requests = request_rows(spark)
+    expected = Counter()
+    for k, x in times.items():
+        opened = None
+        for t in map(int, sorted(x)):
+            opened = t if opened is None or t >= opened + 10_000_000 else opened
+            expected[k, opened] += 1
+    windows = request_windows(requests, "k", "t")
+    assert {(r["k"], r["us"]): r["requests"] for r in windows.withColumn("us", F.unix_micros("opened")).collect()} == expected
+    assert "collect_list" not in windows._jdf.queryExecution().toString()  # no key is gathered
+
+
+def test_request_outcomes_are_those_of_the_stream(spark, tmp_path):
+    _, requests = request_rows(spark)
+    requests.write.parquet(f"{tmp_path}/in/a")
+    stream = spark.readStream.schema(requests.schema).parquet(f"{tmp_path}/in/*")
+    rate_limit(stream, "k", "t").writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+    streamed = spark.read.parquet(f"{tmp_path}/out")
+    outcomes = request_outcomes(requests, "k", "t")
+    assert Counter(map(tuple, outcomes.collect())) == Counter(map(tuple, streamed.collect()))
+    assert outcomes.count() == requests.dropna().count()
+
+
 def test_absent_terms_are_zero(spark):
     w = spark.createDataFrame([("A", 0, 1.0), ("B", 0, 2.0), ("B", 1, 2.0)], "term string, c int, weight float")
     assert table(weights.dense(w, [0, 1], "c"), "term", "c")["A", 1] == 0

@@ -18,7 +18,7 @@ from wordloom.plans.training import Settings, class_ids, classify, train, weigh
 from wordloom.sources import models
 from wordloom.sources.corpus import with_class_id
 from wordloom.sources.scratch import scratch_folder
-from wordloom.streaming.ratelimit import Limits, rate_limit, request_windows
+from wordloom.streaming.ratelimit import Limits, request_outcomes, request_windows
 
 MODEL = Settings(n_max=2, cut="d1", drop_urls=False)
 NAMES = {0: "German", 1: "English", 2: "Spanish"}
@@ -227,14 +227,8 @@ def request_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def request_bans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stateful stream run over the whole table, its output kept as Parquet in the shared folder."""
-    schema = table(spark, sf_dir, "events").schema
-    folder = scratch_folder(spark)
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
-    limited = rate_limit(stream, "user_id", "ts", limits=Limits(interval=600.0, requests=3, ban=1200.0))
-    query = limited.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
-    query.awaitTermination()
-    return spark.read.schema("key string, at timestamp, outcome string, wait double").parquet(f"{folder}/out")
+    """What the rate limiter makes of the whole table."""
+    return request_outcomes(table(spark, sf_dir, "events"), "user_id", "ts", limits=Limits(interval=600.0, requests=3, ban=1200.0))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

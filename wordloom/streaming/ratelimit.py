@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.window import Window
 
 #: Fixed value: a remaining wait up to so many seconds is waited for instead of a ban.
 GRACE = 3.0
 #: Requests with this text are not counted.
 EXEMPT = "_dummy_"
+#: Rows that a step hands on at once.
+ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -42,51 +49,106 @@ def step(entry: Entry | None, now: float, limits: Limits) -> tuple[str, float, E
     return "waited", max(1.0, remaining), (1, False, now + max(1.0, remaining), now + max(1.0, remaining) + limits.interval)
 
 
-def rate_limit(requests: DataFrame, key: str, at: str, text: str | None = None, limits: Limits = Limits(), watermark: str = "1 minute") -> DataFrame:
-    """(key, at, outcome, wait) of each request of a stream, in order of time within a micro-batch. Null keys and times are left out."""
+def counted(requests: DataFrame, key: str, at: str, text: str | None) -> DataFrame:
+    """The requests that have a key and a time and are not exempt."""
     kept = requests.where(F.col(key).isNotNull() & F.col(at).isNotNull())
-    if text:
-        kept = kept.where(F.coalesce(F.col(text), F.lit("")) != EXEMPT)
-    kept = kept.select(F.col(key).cast("string").alias("key"), F.col(at).cast("timestamp").alias("at")).withWatermark("at", watermark)
+    return kept.where(F.coalesce(F.col(text), F.lit("")) != EXEMPT) if text else kept
+
+
+def rate_limit(requests: DataFrame, key: str, at: str, text: str | None = None, limits: Limits = Limits(), watermark: str = "1 minute") -> DataFrame:
+    """(key, at, outcome, wait) of each request of a stream, in order of time within a micro-batch. Null keys and times are left out.
+
+    A task holds the times of one key in a micro-batch, eight bytes each: the source's options bound them. A table goes through request_outcomes.
+    """
+    kept = counted(requests, key, at, text).select(F.col(key).cast("string").alias("key"), F.col(at).cast("timestamp").alias("at")).withWatermark("at", watermark)
 
     def run(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         entry: Entry | None = tuple(state.get) if state.exists else None
-        times = sorted(t for f in frames for t in f["at"])
-        rows = []
-        for t in times:
-            outcome, wait, entry = step(entry, t.timestamp(), limits)
-            rows.append((group[0], t, outcome, wait))
+        times = np.sort(np.concatenate([f["at"].to_numpy() for f in frames]))
+        for i in range(0, len(times), ROWS):
+            rows = []
+            for t in map(pd.Timestamp, times[i:i + ROWS]):
+                outcome, wait, entry = step(entry, t.timestamp(), limits)
+                rows.append((group[0], t, outcome, wait))
+            yield pd.DataFrame(rows, columns=["key", "at", "outcome", "wait"])
         if entry is not None:
             state.update(entry)
             end = int(entry[3] * 1000) + 1
             if end > state.getCurrentWatermarkMs():
                 state.setTimeoutTimestamp(end)
-        yield pd.DataFrame(rows, columns=["key", "at", "outcome", "wait"])
 
     return kept.groupBy("key").applyInPandasWithState(
         run, "key string, at timestamp, outcome string, wait double", "count long, banned boolean, start double, until double",
         "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def in_order(requests: DataFrame, key: Column, at: str) -> DataFrame:
+    """(_key, _us, _first): a key's times in one partition, one after the other; _first marks the first one of a key.
+
+    The sort and the window spill to disk, so that no key has to fit into memory.
+    """
+    rows = requests.select(key.alias("_key"), F.unix_micros(F.col(at).cast("timestamp")).alias("_us"))
+    return rows.withColumn("_first", F.row_number().over(Window.partitionBy("_key").orderBy("_us")) == 1)
+
+
+def request_outcomes(requests: DataFrame, key: str, at: str, text: str | None = None, limits: Limits = Limits()) -> DataFrame:
+    """(key, at, outcome, wait) of each request of a table: what rate_limit gives if all come in one micro-batch.
+
+    Keys are folded over rows in order, and only the current key's entry is held.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entry: Entry | None = None
+        for b in batches:
+            outcomes, waits = [], []
+            for us, first in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                outcome, wait, entry = step(None if first else entry, us / 1e6, limits)
+                outcomes.append(outcome)
+                waits.append(wait)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(outcomes, pa.string()), pa.array(waits, pa.float64())], ["key", "_us", "outcome", "wait"])
+
+    rows = in_order(counted(requests, key, at, text), F.col(key).cast("string"), at)
+    return rows.mapInArrow(run, "key string, _us long, outcome string, wait double").select("key", F.timestamp_micros("_us").alias("at"), "outcome", "wait")
+
+
 def request_windows(requests: DataFrame, key: str, at: str, limits: Limits = Limits()) -> DataFrame:
     """(key, opened, requests): counting windows of a table of requests, without bans.
 
-    A window opens with the first request after the one before has ended. Keys are folded with a running
-    state in one pass of their sorted times.
+    A window opens with the first request after the one before has ended. Keys are folded over rows in
+    order, and only the current window is held.
     """
-    micros = F.unix_micros(F.col(at).cast("timestamp"))
-    times = requests.where(F.col(key).isNotNull() & F.col(at).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_list(micros)).alias("_times"))
     span = int(limits.interval * 1_000_000)
-    empty = F.array().cast("array<struct<opened:bigint,n:bigint>>")
-
-    def add(done, t):
-        last = F.try_element_at(done, F.lit(-1))
-        fresh = last["opened"].isNull() | (t >= last["opened"] + span)
-        first = F.when(fresh, done).otherwise(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
-        return F.concat(first, F.array(F.struct(F.when(fresh, t).otherwise(last["opened"]).alias("opened"), F.when(fresh, F.lit(1).cast("bigint")).otherwise(last["n"] + 1).alias("n"))))
 
-    windows = times.select(key, F.explode(F.aggregate("_times", empty, add)).alias("w"))
-    return windows.select(key, F.timestamp_micros("w.opened").cast(requests.schema[at].dataType).alias("opened"), F.col("w.n").alias("requests"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["_key", "_opened", "_n"]
+        last, opened, n = None, 0, 0  # key, start and requests of the window that may go on
+        for b in batches:
+            us, size = b.column(1).to_pylist(), b.num_rows
+            starts = [i for i, first in enumerate(b.column(2).to_pylist()) if first]
+            at_row, done_n, done_opened = [], [], []  # windows that begin in this batch
+            before = []
+            pos, ends = 0, [*starts, size]
+            if last is not None and size:
+                pos = bisect_left(us, opened + span, 0, ends[0])
+                n += pos
+                if pos < size:
+                    before, last = [pa.RecordBatch.from_arrays([last, pa.array([opened], pa.int64()), pa.array([n], pa.int64())], names)], None
+            for end in ends:
+                while pos < end:
+                    follow = bisect_left(us, us[pos] + span, pos, end)
+                    at_row.append(pos)
+                    done_opened.append(us[pos])
+                    done_n.append(follow - pos)
+                    pos = follow
+            yield from before
+            if at_row:
+                last, opened, n = b.column(0).take(pa.array([at_row.pop()], pa.int64())), done_opened.pop(), done_n.pop()
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at_row, pa.int64())), pa.array(done_opened, pa.int64()), pa.array(done_n, pa.int64())], names)
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([last, pa.array([opened], pa.int64()), pa.array([n], pa.int64())], names)
+
+    schema = StructType([StructField("_key", requests.schema[key].dataType), StructField("_opened", LongType()), StructField("_n", LongType())])
+    windows = in_order(counted(requests, key, at, None), F.col(key), at).mapInArrow(run, schema)
+    return windows.select(F.col("_key").alias(key), F.timestamp_micros("_opened").cast(requests.schema[at].dataType).alias("opened"), F.col("_n").alias("requests"))
