@@ -92,3 +92,15 @@ def test_sentences_are_located(spark):
         assert r["predicted"] == r["doc_id"] % 2
         text = (bad if r["doc_id"] % 2 else good)
         assert all("grommit" in text[s["start"]:s["end"]] for s in r["offending"]) and len(r["offending"]) == r["doc_id"] % 2
+
+
+@pytest.mark.parametrize("threshold", [0.0, 1e-30, 0.01, 0.1, 0.3, 0.9, 1.0])
+def test_offending_sentences_at_any_threshold(spark, threshold):
+    """A sentence is found whenever its own score reaches the threshold."""
+    model = toxicity.Model(-4.0, {"bad": 2.0, "worse": 5.0, "worst": 60.0, "good": -70.0})
+    texts = ["fine", "bad", "worse", "worst", "good", "fine. bad. worse", "good. fine", "", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in toxicity.with_toxicity(docs, model, threshold=threshold).collect():
+        text = r["text"] or ""
+        logits = toxicity.sentence_scores(model, toxicity.WordWeights(model.weights), text)
+        assert [tuple(x) for x in r["_offending"]] == toxicity.offending(logits, text, threshold)

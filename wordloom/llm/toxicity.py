@@ -171,6 +171,8 @@ def with_toxicity(docs: DataFrame, model: Model, text_col: str = "text", thresho
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most max_features weights
     at = docs.columns.index(text_col)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
+    # Log-odds below which no sentence reaches the threshold; scores next to 0 and 1 are not told apart.
+    bound = math.log(threshold / (1 - threshold)) - 1e-6 if 1e-20 < threshold < 1 else -math.inf
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -181,7 +183,7 @@ def with_toxicity(docs: DataFrame, model: Model, text_col: str = "text", thresho
                 text = t.as_py() or ""
                 logits = sentence_scores(model, words, text)
                 scores.append(document_score(logits))
-                found = offending(logits, text, threshold) if logits and max(logits) > -1.5 else []
+                found = offending(logits, text, threshold) if logits and max(logits) > bound else []
                 places.append([dict(zip(("start", "end", "score"), x, strict=True)) for x in found])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64()), pa.array(places, kind)], [*b.schema.names, "_toxicity", "_offending"])
 
