@@ -1,7 +1,9 @@
 import math
+import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,15 +77,120 @@ def test_held_out_labels_are_not_read(spark):
 
 
 def test_toxicity_hard_rows(spark):
+    """With two labels only, nothing but the labelled words may be called toxic."""
     docs = hard_docs(spark)
     labels = spark.createDataFrame([(3, 1), (8, 0), (None, 1), (9, None)], "doc_id long, toxic int")
     got = toxicity.toxicity_scores(docs, labels)
-    assert got.count() == docs.count() and all(0 <= r["score"] <= 1 for r in got.collect())
+    assert got.count() == docs.count() and all(0 <= r["score"] < 0.3 for r in got.collect())
+    assert toxicity.drop_toxic(docs, labels).count() == docs.count()
     assert toxicity.drop_toxic(docs, labels.limit(0)).columns == docs.columns
     assert toxicity.drop_toxic(docs, labels.limit(0)).count() == docs.count()
     assert toxicity.toxicity_scores(docs.limit(0), labels).count() == 0
 
 
+def test_clean_texts_do_not_become_toxic_by_length(spark):
+    """One clean sentence many times, and up to 5,000 different ones from clean documents of the table."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    words = toxicity.WordWeights(model.weights)
+    score = lambda text: toxicity.document_score(model, [toxicity.sentence_sum(words, x) for x in toxicity.sentences(text)])
+    assert [score("This is a plain remark. " * n) for n in (1, 50, 5_000)] == [score("")] * 3 == [pytest.approx(model.leak, abs=1e-12)] * 3
+    clean = [r["text"] or "" for r in docs.join(labels.where("toxic = 0"), "doc_id").select("text").orderBy("doc_id").collect()]
+    # Sentences that the model takes for toxic by themselves are its errors, not an effect of length.
+    own = [x for x in toxicity.sentences(".".join(clean)) if toxicity.sentence_score(model, toxicity.sentence_sum(words, x)) < toxicity.LEAST_SCORE]
+    assert len(own) >= 5_000
+    assert all(score(".".join(own[:n])) <= 1 - (1 - toxicity.MOST_LEAK) * (1 - toxicity.LEAST_SCORE) for n in (1, 10, 100, 1_000, 5_000, len(own)))
+
+
+def test_no_telling_word(spark):
+    """Three toxic rows of forty that no word tells from the others: the number of sentences decides nothing."""
+    docs = spark.createDataFrame([(i, "We walk to the river. " * (1 + i % 3)) for i in range(60)] + [(100, ". ".join(f"sentence {i}" for i in range(500)))], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 20 == 0)) for i in range(60)], "doc_id long, toxic int")
+    assert all(r["score"] <= toxicity.MOST_LEAK + 1e-9 for r in toxicity.toxicity_scores(docs, labels).collect())
+
+
+def brute_toxicity(docs: dict, labels: dict, min_gain: float = 12.0):
+    """Features by counting documents, bags sentence by sentence."""
+    own = {i: docs[i] or "" for i in sorted(labels) if i in docs and zlib.crc32(str(i).encode()) % 4 != 2}
+    split = {i: [set(re.findall(r"[^\W\d_]+", s)) for s in dict.fromkeys(re.split(r"[.!?\n]", t.lower()))] for i, t in own.items()}
+    feats = lambda words: {f for w in words for f in [w, *[w[:n] + "*" for n in range(4, 10) if len(w) > n]]}
+    n, a, y = Counter(), Counter(), {i: labels[i] > 0 for i in own}
+    for i in own:
+        found = set().union(*map(feats, split[i]))
+        n.update(found)
+        a.update(found if y[i] else ())
+    n1, n0 = sum(y.values()), len(y) - sum(y.values())
+    share, chosen = n1 / (n0 + n1), []
+    for f, k in n.items():
+        cells = [(a[f], k * share), (k - a[f], k * (1 - share)), (n1 - a[f], (n0 + n1 - k) * share), (n0 - k + a[f], (n0 + n1 - k) * (1 - share))]
+        if k >= 3 and a[f] > k * share and 2 * sum(o * math.log(o / e) for o, e in cells if o > 0) >= min_gain:
+            chosen.append(f)
+    bags = [(y[i], sorted({tuple(sorted(feats(s) & set(chosen))) for s in split[i]} - {()})) for i in own]
+    return set(chosen), sorted(bags)
+
+
+def test_features_and_bags_match_brute_force(spark, monkeypatch):
+    """What is learnt from: features by likelihood ratio without a cap, and the different sentences that hold some."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    seen = {}
+
+    def fit(bags, n):
+        seen.update(bags=bags, n=n)
+        return -5.0, 0.0, np.arange(1.0, n + 1)
+
+    monkeypatch.setattr(toxicity, "fit", fit)
+    model = toxicity.train(docs, labels)
+    chosen, bags = brute_toxicity({r["doc_id"]: r["text"] for r in docs.collect()}, {r["doc_id"]: r["toxic"] for r in labels.collect()})
+    assert set(model.weights) == chosen and len(chosen) > 20
+    name, b = sorted(chosen), seen["bags"]
+    got = [[] for _ in b.labels]
+    for s, d in enumerate(b.doc):
+        got[d].append(tuple(sorted(name[f] for f in b.feature[b.sentence == s])))
+    assert sorted((bool(y), sorted(x)) for y, x in zip(b.labels, got, strict=True)) == bags
+
+
+def test_noisy_or_and_its_gradients():
+    """Loss against the product of chances, gradients against differences, and scores against both."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for _ in range(30):
+        pairs = sorted({(int(s), int(f)) for s, f in zip(rng.integers(0, 4, 9), rng.integers(0, 6, 9), strict=True)})
+        order = {s: k for k, s in enumerate(dict.fromkeys(s for s, _ in pairs))}
+        rows.append((int(rng.random() < 0.4), np.array([f for _, f in pairs], np.int32).tobytes(), np.array([order[s] for s, _ in pairs], np.int32).tobytes()))
+    bags, w, bias, leak, decay = toxicity.Bags.of(rows), rng.random(6) * 3, -2.0, 0.03, 0.01
+    chance, nats = lambda z: 1 / (1 + math.exp(-z)), 0.0
+    for y, fs, ss in rows:
+        sums = Counter()
+        for f, s in zip(np.frombuffer(fs, np.int32), np.frombuffer(ss, np.int32), strict=True):
+            sums[s] += w[f]
+        # A sentence without words has the chance of the bias, which is taken out of each.
+        clean = math.exp(-leak) * math.prod((1 - chance(bias + x)) / (1 - chance(bias)) for x in sums.values())
+        nats -= math.log(1 - clean if y else clean)
+    value, by_weight, by_bias, by_leak = toxicity.loss(bags, bias, leak, w, decay)
+    assert value == pytest.approx(nats / 30 + decay / 2 * (w**2).sum())
+    h = 1e-6
+    slope = lambda up, down: (toxicity.loss(bags, *up, decay)[0] - toxicity.loss(bags, *down, decay)[0]) / (2 * h)
+    for k in range(6):
+        step = np.eye(6)[k] * h
+        assert by_weight[k] == pytest.approx(slope((bias, leak, w + step), (bias, leak, w - step)), abs=1e-6)
+    assert by_bias == pytest.approx(slope((bias + h, leak, w), (bias - h, leak, w)), abs=1e-6)
+    assert by_leak == pytest.approx(slope((bias, leak + h, w), (bias, leak - h, w)), abs=1e-6)
+    model = toxicity.Model(-4.0, {}, 0.02)
+    high, low = [3.0, 5.0], [0.5, 1.0]
+    clean = 0.98 * math.prod(1 - toxicity.sentence_score(model, x) for x in [*high, 1.0])  # of the low ones the highest
+    assert toxicity.document_score(model, high + low) == pytest.approx(1 - clean)
+    assert toxicity.document_score(model, []) == pytest.approx(0.02)
+
+
+def test_sample_is_bounded_in_rows_and_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "clean words here. " * 5 + ("grommit." if i % 2 else "")) for i in range(4_000)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda bags, n: (seen.append(len(bags.labels)), (-5.0, 0.0, np.ones(n)))[1])
+    toxicity.train(docs, labels, max_docs=500), toxicity.train(docs, labels, max_bytes=20_000)
+    assert 400 < seen[0] < 600 and 100 < seen[1] < 350
+
+
 def test_sentences_are_located(spark):
     good, bad = "The weather is fine today. We walk to the river.", "You stupid grommit! The river is wide."
     docs = spark.createDataFrame([(i, (bad if i % 2 else good) + f" Number {i}.") for i in range(200)], "doc_id long, text string")
@@ -97,10 +204,11 @@ def test_sentences_are_located(spark):
 @pytest.mark.parametrize("threshold", [0.0, 1e-30, 0.01, 0.1, 0.3, 0.9, 1.0])
 def test_offending_sentences_at_any_threshold(spark, threshold):
     """A sentence is found whenever its own score reaches the threshold."""
-    model = toxicity.Model(-4.0, {"bad": 2.0, "worse": 5.0, "worst": 60.0, "good": -70.0})
+    model = toxicity.Model(-4.0, {"bad": 2.0, "worse": 5.0, "worst": 60.0})
     texts = ["fine", "bad", "worse", "worst", "good", "fine. bad. worse", "good. fine", "", None]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    words = toxicity.WordWeights(model.weights)
     for r in toxicity.with_toxicity(docs, model, threshold=threshold).collect():
         text = r["text"] or ""
-        logits = toxicity.sentence_scores(model, toxicity.WordWeights(model.weights), text)
-        assert [tuple(x) for x in r["_offending"]] == toxicity.offending(logits, text, threshold)
+        assert [tuple(x) for x in r["_offending"]] == toxicity.offending(model, words, text, threshold)
+        assert r["_toxicity"] == toxicity.document_score(model, [toxicity.sentence_sum(words, s) for s in toxicity.sentences(text)])

@@ -5,16 +5,33 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names; make one only where none is set, as in tests."""
+    """Use the shared folder that the cluster names. Where none is set, one is made on a single machine, as in tests; a cluster raises."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wordloom-checkpoint-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="wordloom-checkpoint-"))
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate rows that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def fresh(name: str, *tables: DataFrame) -> str:
+    """A column name that none of the tables has, whatever its case: `name`, with underscores in front where needed."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -23,6 +40,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def rows_that_stay(docs: DataFrame, stay: DataFrame, id_col: str, digest: Column) -> DataFrame:
+    """One row of docs for each row of stay (_id, _h, _n): the one with that id, null or not, and that digest; _n rows of docs have both.
+
+    Of several such rows the least by its columns stays (columns without an order, such as maps, do not count). They are folded
+    where they lie before they are exchanged, so that a row repeated any number of times is no hot key.
+    """
+    stay = cut(stay)
+    ident, h, n = (fresh(f"_wl_{x}", docs) for x in ("id", "h", "n"))
+    named = stay.select(F.col("_id").alias(ident), F.col("_h").alias(h), F.col("_n").alias(n))
+
+    def of(part: DataFrame, how: str) -> DataFrame:
+        return docs.join(part, docs[id_col].eqNullSafe(F.col(ident)) & (digest == F.col(h)), how)
+
+    once = of(named.where(F.col(n) == 1), "left_semi")
+    repeated = stay.where("_n > 1").count()
+    if not repeated:
+        return once
+    row, order = fresh("_wl_row", docs), [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString() and "variant" not in docs.schema[c].dataType.simpleString()]
+    keys = named.where(F.col(n) > 1)
+    several = of(F.broadcast(keys) if repeated <= 100_000 else keys, "inner").select(ident, h, F.struct(*docs.columns).alias(row))
+    folded = several.groupBy(ident, h).agg(F.min_by(row, F.struct(*[F.col(row)[c] for c in order])).alias(row))
+    return once.unionByName(folded.select(f"{row}.*"))
+
+
 def gapless_rank(rows: DataFrame, group: Sequence[str], order: Sequence[str], name: str, buckets: int) -> DataFrame:
     """Number the rows of each group from 0 without gaps, however large the group is.
 

@@ -1,6 +1,9 @@
 """Toxicity by multiple-instance learning: a document is toxic if one of its sentences is (noisy-or).
 
-The sentence model is trained from document labels only and then locates offending sentences.
+The sentence model is trained from document labels only and then locates offending sentences. A document is
+the set of its different sentences. A sentence with none of the model's words adds nothing, whatever their
+number, so that a text does not become toxic by its length; what no sentence explains falls to one small
+chance a document.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from wordloom.llm.common import cut, fresh
+
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = range(4, 10)
@@ -31,14 +36,26 @@ def features(word: str) -> list[str]:
     return [word, *[f"{word[:n]}*" for n in PREFIXES if len(word) > n]]
 
 
-def sentence_words(text: str) -> list[set[str]]:
-    return [set(WORD.findall(s)) for s in SENTENCE.findall(text.lower())]
+def sentences(text: str) -> list[str]:
+    """The different sentences in lower case, in order."""
+    return list(dict.fromkeys(SENTENCE.findall(text.lower())))
+
+
+#: The chance of a document to be toxic that no sentence explains is at most this.
+MOST_LEAK = 0.05
+#: Log-odds of a sentence without telling words are at most this.
+MOST_BIAS = -4.0
+#: Sentences whose own score is below this do not add up: only the highest of them counts.
+LEAST_SCORE = 0.05
 
 
 @dataclass
 class Model:
+    """Log-odds of a sentence are `bias` plus the weights of its words' features, none of them negative. `leak` is a document's own chance."""
+
     bias: float
     weights: dict[str, float]
+    leak: float = 0.0
 
 
 class WordWeights(dict):
@@ -56,123 +73,166 @@ class WordWeights(dict):
 
 
 def softplus(z):
-    return np.logaddexp(0.0, z)
+    return np.maximum(z, 0.0) + np.log1p(np.exp(-np.abs(z)))
 
 
-def fit(bags: list[tuple[int, int, list[int], list[int]]], n_features: int, steps: int = 400, rate: float = 0.1, decay: float = 2e-4) -> tuple[float, np.ndarray]:
-    """Projected gradient descent on noisy-or likelihood; weights stay at 0 or above, so that no other word can excuse an insult.
+def hazards(bias: float, sums: np.ndarray) -> np.ndarray:
+    """-log(1 - score) of sentences whose words' weights add up to `sums`: what noisy-or adds up. Zero for a sum of zero."""
+    return softplus(bias + sums) - softplus(bias)
 
-    A bag: (label, sentences, feature of each hit, sentence of each hit).
-    """
-    y = np.array([b[0] for b in bags], float)
-    weights, bias = np.zeros(n_features), -5.0
-    if not len(bags) or not y.any():
-        return -20.0, weights
-    feature, sentence, doc, first = [], [], [], 0
-    plain = np.zeros(len(bags))
-    for d, (_, n, fs, ss) in enumerate(bags):
-        different = sorted(set(ss))
-        order = {s: first + k for k, s in enumerate(different)}
-        feature += fs
-        sentence += [order[s] for s in ss]
-        doc += [d] * len(different)
-        plain[d] = n - len(different)
-        first += len(different)
-    feature, sentence, doc = np.array(feature, int), np.array(sentence, int), np.array(doc, int)
-    m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
+
+@dataclass
+class Bags:
+    """Documents as labels and hits: hit k is feature[k] in sentence[k]; doc holds each sentence's document."""
+
+    labels: np.ndarray
+    feature: np.ndarray
+    sentence: np.ndarray
+    doc: np.ndarray
+
+    @staticmethod
+    def of(rows: list[tuple[int, bytes, bytes]]) -> Bags:
+        """From (label, features, sentences from 0) of each document, 32-bit numbers."""
+        feature, sentence, doc, first = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+        for d, (_, fs, ss) in enumerate(rows):
+            own = np.frombuffer(ss, np.int32).astype(np.int64)
+            n = int(own.max()) + 1 if len(own) else 0
+            feature.append(np.frombuffer(fs, np.int32).astype(np.int64))
+            sentence.append(own + first)
+            doc.append(np.full(n, d))
+            first += n
+        return Bags(np.array([y for y, _, _ in rows], float), *map(np.concatenate, (feature, sentence, doc)))
+
+
+def loss(bags: Bags, bias: float, leak: float, weights: np.ndarray, decay: float) -> tuple[float, np.ndarray, float, float]:
+    """Mean negative log-likelihood of noisy-or plus decay, and its gradients by weights, bias and leak (a hazard)."""
+    n = len(bags.labels)
+    sums = np.bincount(bags.sentence, weights[bags.feature], len(bags.doc))
+    total = np.maximum(leak + np.bincount(bags.doc, hazards(bias, sums), n), 1e-9)
+    toxic = bags.labels > 0
+    value = np.where(toxic, -np.log(-np.expm1(-total)), total).sum() / n + decay / 2 * (weights**2).sum()
+    pull = np.where(toxic, -1 / np.expm1(np.minimum(total, 500)), 1.0) / n
+    of_sentence, slope = pull[bags.doc], 1 / (1 + np.exp(-(bias + sums)))
+    by_weight = np.bincount(bags.feature, (of_sentence * slope)[bags.sentence], len(weights)) + decay * weights
+    return float(value), by_weight, float((of_sentence * (slope - 1 / (1 + math.exp(-bias)))).sum()), float(pull.sum())
+
+
+def fit(bags: Bags, n_features: int, steps: int = 400, rate: float = 0.1, decay: float = 2e-4) -> tuple[float, float, np.ndarray]:
+    """(bias, leak, weights) by projected gradient descent, until 25 steps gain less than a thousandth; weights stay at 0 or above, so that no other word can excuse an insult."""
+    weights, bias, leak = np.zeros(n_features), -5.0, 0.01
+    if not bags.labels.any():
+        return -20.0, 0.0, weights
+    m, v = np.zeros(n_features + 2), np.zeros(n_features + 2)
+    scale, last = np.concatenate([np.ones(n_features + 1), [0.01]]), math.inf  # of a step; the leak is a small number
     for step in range(1, steps + 1):
-        z = bias + np.bincount(sentence, weights[feature], first)
-        total = np.bincount(doc, softplus(z), len(bags)) + plain * softplus(bias)
-        pull = np.where(y > 0, -1 / np.expm1(np.clip(total, 1e-9, 500)), 1.0) / len(bags)  # by the document's total
-        at = pull[doc] / (1 + np.exp(-z))
-        grad = np.concatenate([np.bincount(feature, at[sentence], n_features) + decay * weights,
-                               [at.sum() + (pull * plain).sum() / (1 + math.exp(-bias))]])
+        value, by_weight, by_bias, by_leak = loss(bags, bias, leak, weights, decay)
+        if step % 25 == 0:
+            if last - value < 1e-3 * value:
+                break
+            last = value
+        grad = np.concatenate([by_weight, [by_bias, by_leak]])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        weights, bias = np.maximum(weights - move[:-1], 0.0), bias - move[-1]
-    return float(bias), weights
+        move = scale * rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        weights, bias = np.maximum(weights - move[:-2], 0.0), min(bias - move[-2], MOST_BIAS)
+        leak = min(max(leak - move[-1], 1e-6), -math.log1p(-MOST_LEAK))
+    return float(bias), float(-math.expm1(-leak)), weights
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          max_docs: int = 20_000, max_features: int = 20_000, min_gain: float = 12.0) -> Model:
-    """Fits the sentence model on at most about max_docs labelled rows that are not held out, chosen by a hash of the id.
+          max_docs: int = 20_000, max_bytes: int = 64 << 20, min_gain: float = 12.0) -> Model:
+    """Fits the sentence model on labelled rows that are not held out, at most about max_docs of them and max_bytes of text, chosen by a hash of the id.
 
-    Null labels and null ids are left out; the largest label of an id holds. Features that are more frequent
-    in toxic documents are chosen by the likelihood ratio of their document counts in both classes.
+    Null labels and null ids are left out; the largest label of an id holds, and rows that repeat it are learnt
+    from each. A null text counts as empty. Features that are more frequent in toxic documents are chosen by
+    the likelihood ratio of their document counts in both classes, all that gain at least min_gain.
     """
     marks = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
              .groupBy(F.col(id_col).alias("_wl_id")).agg(F.max(label_col).cast("int").alias("_y")))
     n = marks.count()
-    marks = marks.where(F.pmod(F.xxhash64("_wl_id"), F.lit(1_000_000)) < math.ceil(1e6 * min(1.0, max_docs / max(n, 1))))
-    sample = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(marks), F.col("_id") == F.col("_wl_id"))  # max_docs rows
-              .select("_id", F.coalesce("_text", F.lit("")).alias("_text"), (F.col("_y") > 0).cast("int").alias("_y")))
+    part = lambda salt, share: F.pmod(F.xxhash64("_wl_id", F.lit(salt)), F.lit(1_000_000)) < math.ceil(1e6 * min(1.0, share))
+    marks = marks.where(part(0, max_docs / max(n, 1)))
+    # The sample is kept, so that documents are read once for it.
+    sample = cut(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(marks), F.col("_id") == F.col("_wl_id"))  # max_docs rows
+                 .select("_wl_id", F.coalesce("_text", F.lit("")).alias("_text"), (F.col("_y") > 0).cast("int").alias("_y")))
+    size = sample.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    sample = sample.where(part(1, max_bytes / max(size, 1))).select("_text", "_y")
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for text, label in zip(b.column(0), b.column(1), strict=True):
-                found = list({f for s in sentence_words(text.as_py()) for w in s for f in features(w)})
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([label.as_py()] * len(found), pa.int64())], ["f", "y"])
+            n: dict[str, int] = {}
+            toxic: dict[str, int] = {}
+            for text, label in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                for f in {f for w in set(WORD.findall(text.as_py().lower())) for f in features(w)}:
+                    n[f] = n.get(f, 0) + 1
+                    if label:
+                        toxic[f] = toxic.get(f, 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.string()), pa.array(n.values(), pa.int64()), pa.array([toxic.get(f, 0) for f in n], pa.int64())], ["f", "n", "a"])
 
     classes = {r["_y"]: r["n"] for r in sample.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = classes.get(0, 0), classes.get(1, 0)
     if not n1:
         return Model(-20.0, {})
-    counted = sample.select("_text", "_y").mapInArrow(occurrences, "f string, y long").groupBy("f").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("n")).where("n >= 3")
+    counted = sample.mapInArrow(occurrences, "f string, n long, a long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("a").alias("a")).where("n >= 3")
     a, b = F.col("a"), F.col("n") - F.col("a")
-    part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+    term = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
     share = F.lit(n1 / (n0 + n1))
-    gain = 2 * (part(a, F.col("n") * share) + part(b, F.col("n") * (1 - share)) + part(n1 - a, (n0 + n1 - F.col("n")) * share) + part(n0 - b, (n0 + n1 - F.col("n")) * (1 - share)))
-    chosen = [r["f"] for r in counted.select("f", gain.alias("g"), (a > F.col("n") * share).alias("up")).where((F.col("g") >= min_gain) & (F.col("up"))).orderBy(F.desc("g"), "f").limit(max_features).collect()]
+    gain = 2 * (term(a, F.col("n") * share) + term(b, F.col("n") * (1 - share)) + term(n1 - a, (n0 + n1 - F.col("n")) * share) + term(n0 - b, (n0 + n1 - F.col("n")) * (1 - share)))
+    chosen = sorted(r["f"] for r in counted.where((gain >= min_gain) & (a > F.col("n") * share)).select("f").collect())  # words of a bounded sample
     number = {f: i for i, f in enumerate(chosen)}
-    table = docs.sparkSession.sparkContext.broadcast(number)  # at most max_features
+    table = docs.sparkSession.sparkContext.broadcast(number)
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = table.value
         for b in batches:
-            rows = []
-            for text, label in zip(b.column(0), b.column(1), strict=True):
-                sentences = sentence_words(text.as_py())
-                pairs = [(number[f], k) for k, s in enumerate(sentences) for w in sorted(s) for f in features(w) if f in number]
-                rows.append((label.as_py(), len(sentences), [p[0] for p in pairs], [p[1] for p in pairs]))
-            y, n, f, s = (list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(n, pa.int32()), pa.array(f, pa.list_(pa.int32())), pa.array(s, pa.list_(pa.int32()))], ["y", "n", "f", "s"])
+            fs, ss = [], []
+            for text in b.column(0):
+                # Sentences with the same features are one, those with none are left out.
+                own = dict.fromkeys(frozenset(number[f] for w in set(WORD.findall(s)) for f in features(w) if f in number) for s in sentences(text.as_py()))
+                pairs = [(f, k) for k, x in enumerate(sorted(sorted(x) for x in own if x)) for f in x]
+                fs.append(np.array([p[0] for p in pairs], np.int32).tobytes())
+                ss.append(np.array([p[1] for p in pairs], np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(fs, pa.binary()), pa.array(ss, pa.binary())], ["y", "f", "s"])
+
+    found = sample.mapInArrow(hits, "y int, f binary, s binary").collect()  # hits of at most about max_bytes of text
+    bias, leak, weights = fit(Bags.of(sorted((r["y"], bytes(r["f"]), bytes(r["s"])) for r in found)), len(chosen))  # the same model in whatever order tasks end
+    return Model(bias, {f: float(weights[i]) for f, i in number.items() if weights[i]}, leak)
+
 
-    found = sample.select("_text", "_y").mapInArrow(hits, "y int, n int, f array<int>, s array<int>").collect()  # max_docs rows
-    bags = sorted(tuple(r) for r in found)  # the same model in whatever order tasks end
-    bias, weights = fit(bags, len(chosen))
-    return Model(bias, {f: float(weights[i]) for f, i in number.items() if weights[i]})
+def sentence_sum(words: WordWeights, sentence: str) -> float:
+    """What the words' weights add up to."""
+    return sum(map(words.__getitem__, set(WORD.findall(sentence))))
 
 
-def sentence_scores(model: Model, words: WordWeights, text: str) -> list[float]:
-    """Log-odds of each sentence."""
-    return [model.bias + sum(map(words.__getitem__, s)) for s in sentence_words(text)]
+def sentence_score(model: Model, total: float) -> float:
+    return float(-np.expm1(-hazards(model.bias, np.array(total))))
 
 
-def document_score(logits: list[float]) -> float:
-    """Noisy-or: 1 minus the product of the sentences' chances to be clean."""
-    return float(-np.expm1(-softplus(np.array(logits)).sum())) if logits else 0.0
+def document_score(model: Model, sums: list[float]) -> float:
+    """Noisy-or: 1 minus the product of the chances of the leak and the different sentences to be clean; of sentences below LEAST_SCORE the highest."""
+    found = hazards(model.bias, np.array([x for x in sums if x > 0.0]))
+    low = found[found < -math.log1p(-LEAST_SCORE)]
+    return float(-np.expm1(math.log1p(-model.leak) - found.sum() + low.sum() - low.max(initial=0.0)))
 
 
-def offending(logits: list[float], text: str, threshold: float) -> list[tuple[int, int, float]]:
+def offending(model: Model, words: WordWeights, text: str, threshold: float) -> list[tuple[int, int, float]]:
     """(start, end, score) of sentences, in code points of the text, whose own score reaches the threshold."""
     out = []
-    for m, z in zip(SENTENCE.finditer(text), logits, strict=False):
-        p = 1 / (1 + math.exp(-min(max(z, -50.0), 50.0)))
+    for m in SENTENCE.finditer(text):
+        p = sentence_score(model, sentence_sum(words, m[0].lower()))
         if p >= threshold:
             out.append((m.start(), m.end(), p))
     return out
 
 
-def with_toxicity(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """docs with two more columns: _toxicity, a score from 0 to 1, and _offending, array of (start, end, score).
+def with_toxicity(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3, score_col: str = "_toxicity", offending_col: str = "_offending") -> DataFrame:
+    """docs with two more columns: a score from 0 to 1, and an array of (start, end, score), the sentences whose own score reaches the threshold.
 
-    A null or empty text, or one without sentences, scores 0. Each row is scored on its own, whole.
+    A null or empty text, or one without sentences, has the model's leak as its score. Each row is scored on
+    its own, whole, however long; ids are not read. The new columns' names must be free.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most max_features weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # weights of words of a bounded sample
     at = docs.columns.index(text_col)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
-    # Log-odds below which no sentence reaches the threshold; scores next to 0 and 1 are not told apart.
-    bound = math.log(threshold / (1 - threshold)) - 1e-6 if 1e-20 < threshold < 1 else -math.inf
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -181,27 +241,34 @@ def with_toxicity(docs: DataFrame, model: Model, text_col: str = "text", thresho
             scores, places = [], []
             for t in b.column(at):
                 text = t.as_py() or ""
-                logits = sentence_scores(model, words, text)
-                scores.append(document_score(logits))
-                found = offending(logits, text, threshold) if logits and max(logits) > bound else []
+                sums = [sentence_sum(words, s) for s in sentences(text)]
+                scores.append(document_score(model, sums))
+                found = offending(model, words, text, threshold) if sums and sentence_score(model, max(sums)) >= threshold else []
                 places.append([dict(zip(("start", "end", "score"), x, strict=True)) for x in found])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64()), pa.array(places, kind)], [*b.schema.names, "_toxicity", "_offending"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64()), pa.array(places, kind)], [*b.schema.names, score_col, offending_col])
 
-    schema = StructType([*docs.schema.fields, *docs.sparkSession.createDataFrame([], "_toxicity double, _offending array<struct<start:long,end:long,score:double>>").schema.fields])
-    return docs.mapInArrow(run, schema)
+    more = docs.sparkSession.createDataFrame([], f"`{score_col}` double, `{offending_col}` array<struct<start:long,end:long,score:double>>")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *more.schema.fields]))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """One row per input row: id, held_out, score, predicted (1 from the threshold on), offending (the sentences).
 
-    Without usable labels every score is next to 0. An empty table gives an empty result.
+    A null text counts as empty, and what has no telling word scores at most MOST_LEAK. Without usable labels
+    every score is next to 0. Ids may be null (never held out) or repeat: each row is scored on its own, so
+    rows with equal texts have equal scores. Columns other than the two named are not read. An empty table
+    gives an empty result.
     """
-    scored = with_toxicity(docs.select(id_col, text_col), train(docs, labels, id_col, text_col), text_col, threshold)
-    return scored.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), F.col("_toxicity").alias("score"),
-                         (F.col("_toxicity") >= threshold).cast("int").alias("predicted"), F.col("_offending").alias("offending"))
+    scored = with_toxicity(docs.select(id_col, text_col), train(docs, labels, id_col, text_col), text_col, threshold, "_wl_score", "_wl_offending")
+    return scored.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), F.col("_wl_score").alias("score"),
+                         (F.col("_wl_score") >= threshold).cast("int").alias("predicted"), F.col("_wl_offending").alias("offending"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows of docs that score below the threshold, with all their columns."""
-    scored = with_toxicity(docs, train(docs, labels, id_col, text_col), text_col, threshold)
-    return scored.where(F.col("_toxicity") < threshold).drop("_toxicity", "_offending")
+    """The rows of docs that score below the threshold, with all their columns, whatever their names.
+
+    Scores are those of toxicity_scores: null and empty texts stay, null ids and repeated rows are judged by their own text.
+    """
+    score, places = fresh("_wl_score", docs), fresh("_wl_offending", docs)
+    scored = with_toxicity(docs, train(docs, labels, id_col, text_col), text_col, threshold, score, places)
+    return scored.where(F.col(score) < threshold).drop(score, places)
