@@ -1,6 +1,8 @@
 import hashlib
 import re
+import time
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -37,10 +39,48 @@ def test_base_spans_match_the_patterns_on_near_hits(parts):
     assert [s for s in pii.spans(text) if s[0] in PATTERNS] == brute(text)
 
 
+def accounts(text: str) -> list[str]:
+    return [text[s:e] for k, s, e in pii.spans(text) if k == "account"]
+
+
 def test_added_spans():
-    found = {(k, "see https://x.org/a?b=1, ok. IBAN: DE12 3456 7890 and acct no. 1234567"[s:e]) for k, s, e in pii.spans("see https://x.org/a?b=1, ok. IBAN: DE12 3456 7890 and acct no. 1234567")}
-    assert ("url", "https://x.org/a?b=1") in found
-    assert ("account", "DE12 3456 7890") in found and ("account", "1234567") in found
+    text = "see https://x.org/a?b=1, ok. IBAN: DE89 3704 0044 0532 0130 00 and acct no. 1234567"
+    assert [text[s:e] for k, s, e in pii.spans(text) if k == "url"] == ["https://x.org/a?b=1"]
+    assert accounts(text) == ["DE89 3704 0044 0532 0130 00", "1234567"]
+
+
+def test_boundaries_of_identifiers():
+    """An international account number is as long as its country says, and its check digits are right."""
+    assert accounts("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFF") == ["DE89 3704 0044 0532 0130 00"]
+    assert accounts("iban GB82WEST12345698765432.") == ["GB82WEST12345698765432"]
+    assert accounts("account GB82 WEST 1234 5698 7654 32") == ["GB82 WEST 1234 5698 7654 32"]
+    for wrong in ("iban XX00 0000 00", "IBAN DE88 3704 0044 0532 0130 00", "IBAN DE89 3704 0044 0532 0130", "IBAN DE89 3704 0044 0532 0130 001", "konto 12345", "account 123456789012345678"):
+        assert accounts(wrong) == []
+    assert accounts("ACCOUNT 12345678 IS CLOSED AND THE CUSTOMER MOVED") == ["12345678"]
+    assert accounts("konto nr. 1234 5678 90, cuenta: 1234-5678-9012") == ["1234 5678 90", "1234-5678-9012"]
+    assert accounts("SSN 123-45-6789 but ssn 000-12-3456, ssn 123-00-4567, ssn 987-65-4321") == ["123-45-6789"]
+    assert accounts("passport no C01234567, passport 12345") == ["C01234567"]
+
+
+def test_country_lengths():
+    """Fixed lengths as published; a number of that length with computed check digits is found, one shorter is not."""
+    assert len(pii.IBAN_LENGTHS) < 200
+    for country, length in pii.IBAN_LENGTHS.items():
+        body = "1" * (length - 4)
+        check = 98 - int(body + "".join(str(int(c, 36)) for c in country) + "00") % 97
+        number = f"{country}{check:02d}{body}"
+        assert accounts(f"iban {number} x") == [number] and accounts(f"iban {number[:-1]} x") == []
+
+
+@pytest.mark.parametrize("unit", ["IBAN 1 ", "http://a/", "http://", "http://a@", "a@", "+1 ", "1.", "1-", "@a.", "ssn 123-", "http://a.b/", "iban DE89 3704 ", "account 1234 "])
+def test_time_is_linear(unit):
+    """Four times the text takes far less than sixteen times as long."""
+    def seconds(n: int) -> float:
+        start = time.perf_counter()
+        pii.spans(unit * n)
+        return time.perf_counter() - start
+
+    assert min(seconds(40_000) for _ in range(2)) < 10 * max(min(seconds(10_000) for _ in range(3)), 0.005)
 
 
 def test_digest(spark, sf_dir):

@@ -1,7 +1,8 @@
 """Personal data by anchor expansion.
 
 One Aho-Corasick pass finds anchors (at-signs, plus signs, digits, schemes, identifier cues); small
-deterministic parsers expand each anchor to its boundaries and validate what they find.
+deterministic parsers expand each anchor to its boundaries and validate what they find. What a parser
+reads ends at the next anchor of its kind or after a fixed length, so that time is linear in the text.
 """
 
 from __future__ import annotations
@@ -27,8 +28,23 @@ IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 DIGITS = re.compile(r"[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-ADDRESS = re.compile(r"(?:[^\s/@<>\"']+@)?(\[[0-9A-Fa-f:.]+\]|[\w-]+(?:\.[\w-]+)*)(?::[0-9]{1,5})?(?:[/?#][^\s<>\"']*)?")
-IDENTIFIER = re.compile(r"(?:[ \t]*(?:no|nr|number)\b\.?)?[ \t:#=-]{1,4}([A-Z]{0,2}[0-9][A-Z0-9]*(?:[ -][A-Z0-9]+)*)")
+#: User information and host of an address; what may follow it.
+HOST = re.compile(r"(?:[^\s/@<>\"':]*+(?::[^\s/@<>\"':]*+)?@)?(\[[0-9A-Fa-f:.]{2,45}\]|[\w-]++(?:\.[\w-]++)*+)")
+REST = re.compile(r"(?::[0-9]{1,5})?(?:[/?#][^\s<>\"']*+)?")
+#: Between a cue and its identifier.
+LEAD = re.compile(r"(?:[ \t]{0,3}(?:no|nr|number|num)\b\.?)?[ \t:#=-]{1,4}", re.IGNORECASE)
+#: An international account number, whole or in groups of four; a social security number; a passport; a plain account number, whole or in groups of up to four digits.
+IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[0-9A-Z]{11,30}|(?:[ -][0-9A-Z]{4}){2,7}(?:[ -][0-9A-Z]{1,3})?)")
+SSN = re.compile(r"(?!000|666|9)[0-9]{3}([- ]?)(?!00)[0-9]{2}\1(?!0000)[0-9]{4}(?![0-9A-Za-z])")
+PASSPORT = re.compile(r"[A-Z]{0,2}[0-9]{6,9}(?![0-9A-Za-z])")
+ACCOUNT = re.compile(r"(?:[0-9]{6,17}|[0-9]{1,4}(?:[ -][0-9]{2,4}){1,7})(?![0-9A-Za-z])")
+#: Lengths of international account numbers by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24,
+    "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28,
+    "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20,
+    "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29,
+    "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20}
 
 
 @cache
@@ -58,6 +74,31 @@ def only_digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def iban(text: str, at: int) -> int | None:
+    """End of the account number that begins at `at`: as long as its country's are, with the right check digits."""
+    m = IBAN.match(text, at)
+    length = m and IBAN_LENGTHS.get(m[0][:2])
+    if not length:
+        return None
+    compact, end = "", at
+    while end < m.end() and len(compact) < length:
+        compact += text[end] if text[end] not in " -" else ""
+        end += 1
+    if len(compact) < length or text[end:end + 1].isalnum():
+        return None
+    return end if int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97 == 1 else None
+
+
+def identifier(text: str, at: int, cue: str) -> int | None:
+    """End of the identifier at `at` that the cue announces. An account may be an international one."""
+    if cue == "iban":
+        return iban(text, at)
+    m = {"ssn": SSN, "passport": PASSPORT}.get(cue, ACCOUNT).match(text, at)
+    if m and (cue in ("ssn", "passport") or 6 <= len(only_digits(m[0])) <= 17):
+        return m.end()
+    return iban(text, at) if cue not in ("ssn", "passport") else None
+
+
 def spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by kind as in KINDS, then start; of one kind none overlap."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
@@ -92,15 +133,14 @@ def spans(text: str) -> list[tuple[str, int, int]]:
             if (m := PHONE.match(text, at)) and 8 <= len(only_digits(m[0])) <= 15:
                 out["phone"].append(m.span())
         elif anchor == "scheme":
-            if at >= after["url"] and (at == 0 or not text[at - 1].isalnum()) and (m := ADDRESS.match(text, last + 1)):
-                end = last + 1 + len(m[0].rstrip(".,;:!?)]}'\""))
-                if end > last + 1 and ("." in m[1] or ":" in m[1] or m[1].lower() == "localhost"):
-                    after["url"] = end
-                    out["url"].append((at, end))
-        elif (at == 0 or not text[at - 1].isalnum()) and (m := IDENTIFIER.match(text, last + 1)) and m.start(1) >= after["account"]:
-            if 6 <= len(only_digits(m[1])) and len(m[1]) <= 42:
-                after["account"] = m.end(1)
-                out["account"].append(m.span(1))
+            if at >= after["url"] and (at == 0 or not text[at - 1].isalnum()) and (m := HOST.match(text, last + 1)) and ("." in m[1] or ":" in m[1] or m[1].lower() == "localhost"):
+                # Punctuation at the end is not part of the address, nor is it read again.
+                after["url"] = REST.match(text, m.end()).end()
+                out["url"].append((at, m.end() + len(text[m.end():after["url"]].rstrip(".,;:!?)]}'\""))))
+        elif at >= after["account"] and (at == 0 or not text[at - 1].isalnum()) and (lead := LEAD.match(text, last + 1)):
+            if (end := identifier(text, lead.end(), text[at:last + 1].lower())) is not None:
+                after["account"] = end
+                out["account"].append((lead.end(), end))
     return [(kind, s, e) for kind in KINDS for s, e in out[kind]]
 
 
@@ -120,8 +160,8 @@ SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id and spans, an array of (kind, start, end) in code points, end exclusive.
 
-    A null or empty text has no spans. Ids may be null or repeat; each row is searched on its own, whole.
-    An empty table gives an empty result.
+    A null or empty text has no spans. Ids may be null or repeat; each row is searched on its own, whole,
+    however long. Columns other than the two named are not read. An empty table gives an empty result.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -134,7 +174,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with spans in the text replaced by their kind in brackets; a null text stays null. Other columns are kept."""
+    """docs with spans in the text replaced by their kind in brackets; a null text stays null, one without spans as it is.
+
+    Each row is searched on its own, whole however long, in time linear in its length. Null ids, repeated rows and
+    columns of any name are kept as they are. An empty table gives an empty result.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [None if (s := t.as_py()) is None else redacted(s, spans(s)) for t in b.column(at)]
@@ -150,7 +194,7 @@ def joined_spans(found: Column) -> Column:
 
 
 def pii_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, counts of the base kinds, the hash of the base spans, all spans as text, and n_added."""
+    """id, counts of the base kinds, the hash of the base spans, all spans as text, and n_added; rows as in find_pii."""
     found = find_pii(docs, id_col, text_col)
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
