@@ -2,6 +2,7 @@ import math
 import zlib
 
 import numpy as np
+import pytest
 
 from tests.llm.helpers import HARD_ROWS, components, hard_docs
 from wordloom.llm import queries, shards, vectors
@@ -46,6 +47,60 @@ def test_recall_near_the_threshold(spark):
     compare({r["vec_id"]: r for r in vectors.cosine_groups(df).collect()}, rows)
 
 
+def dense_and_sparse(n_groups=40, size=60, single=1500, dim=48, seed=11):
+    """Groups of vectors about the threshold from each other, and unrelated ones."""
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((n_groups, dim))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    noise = rng.standard_normal((n_groups, size, dim)) / math.sqrt(dim)
+    spread = rng.uniform(0.1, 0.45, (n_groups, 1, 1))
+    return np.concatenate([(centres[:, None] + spread * noise).reshape(-1, dim), rng.standard_normal((single, dim))]).astype(np.float32)
+
+
+def test_recall_on_a_table_with_links(spark, monkeypatch):
+    """Links counted against brute force on some thousand vectors, over a hundred thousand links; buckets over the cap are split."""
+    monkeypatch.setattr(vectors, "CAP", 64)
+    v = dense_and_sparse()
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    unit = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    links = unit @ unit.T >= 0.9
+    np.fill_diagonal(links, False)
+    got = {r["vec_id"]: r["n_links"] for r in vectors.cosine_groups(df).collect()}
+    found, total = sum(got.values()), int(links.sum())
+    assert total > 40_000 and all(got[i] <= links[i].sum() for i in got)
+    assert found / total >= 0.97
+
+
+@pytest.mark.parametrize("rows", [10_000, 1_000_000, 100_000_000])
+def test_recall_of_the_hash_at_the_threshold(rows):
+    """Pairs of cosine exactly 0.9 share a bucket as often as the plan says, whatever the size it is made for."""
+    rng, (k, tables) = np.random.default_rng(5), vectors.table_plan(rows, 0.9)
+    u = rng.standard_normal((3000, 64))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    w = rng.standard_normal((3000, 64))
+    w -= (w * u).sum(axis=1, keepdims=True) * u
+    near = 0.9 * u + math.sqrt(1 - 0.81) * w / np.linalg.norm(w, axis=1, keepdims=True)
+    met = (vectors.bucket_keys(u, k, tables, 7) == vectors.bucket_keys(near, k, tables, 7)).any(axis=1).mean()
+    assert met >= 0.95
+
+
+def test_eight_bit_bound():
+    """What rounding loses never hides a link."""
+    rng = np.random.default_rng(2)
+    for dim in (1, 3, 64, 700):
+        a = vectors.unit_rows(rng.standard_normal((300, dim)) ** 3)
+        b = vectors.unit_rows(a + 0.2 * rng.standard_normal((300, dim)) / math.sqrt(dim))
+        (ca, sa), (cb, sb) = vectors.coded(a), vectors.coded(b)
+        true, rough = (a * b).sum(axis=1), (ca * sa[:, :1] * (cb * sb[:, :1])).sum(axis=1)
+        assert (np.abs(true - rough) <= sa[:, 1] + sb[:, 1] * (1 + sa[:, 1])).all()
+
+
+def test_rows_that_repeat_an_id_are_one_node(spark):
+    df = spark.createDataFrame([(2, [1.0, 0.0]), (4, [1.0, 0.01]), (4, [0.0, 1.0]), (9, [0.01, 1.0]), (4, [1.0, 0.01]), (7, [-1.0, 0.0]), (None, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in vectors.cosine_groups(df).collect()), key=repr)
+    assert got == sorted([(2, 2, 2), (4, 2, 2), (4, 1, 2), (9, 1, 2), (4, 2, 2), (7, 0, 7), (None, 0, None)], key=repr)
+
+
 def test_hard_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, nan]), (5, [1.0, None]), (6, [inf, 1.0]), (7, [1.0, 0.0]), (8, [1.0, 0.0]), (9, [2.0, 0.1]), (10, [1.0, 0.0, 0.0]), (11, [-1.0, 0.0])]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import cut, gapless_rank
+from wordloom.llm.common import cut, fresh, gapless_rank
 
 #: Keys have 63 bits: 39 of the text's hash, then 24 of the id's hash, so that equal texts are
 #: neighbours and a large group of equal texts can still be cut inside.
@@ -64,37 +64,46 @@ def find_splitters(keyed: DataFrame, shards: int, tolerance: float) -> list[int]
     return [found[i] for i in sorted(found)]
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text",
-                   tolerance: float = 0.005, keep_columns: bool = False) -> DataFrame:
-    """Deal all rows to shards of nearly equal bytes; equal texts are neighbours and stay together where that is near enough.
+def shard_of(key: Column, splitters: list[int]) -> Column:
+    out = F.lit(len(splitters))
+    for i in range(len(splitters) - 1, -1, -1):
+        out = F.when(key < F.lit(splitters[i]), F.lit(i)).otherwise(out)
+    return out.cast("int")
 
-    Returns id, size (UTF-8 bytes plus 1), text_crc32, shard, and slot, gapless from 0 in each shard;
-    with keep_columns, all columns of docs and these (named _wl_...) instead.
-    A null text has size 1 and the checksum of no bytes, 0. A null id is an id like any other. Rows that
-    repeat id and text have one key and go to one shard. An empty table gives an empty result.
-    """
+
+def measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, size, text_crc32, key) of each row, kept."""
     text = F.coalesce(docs[text_col], F.lit(""))
-    columns = {"size": (F.octet_length(text) + 1).cast("long"), "text_crc32": F.crc32(text), "key": sort_key(text, docs[id_col])}
-    narrow = cut(docs.select(docs[id_col].alias("_id"), *[c.alias(n) for n, c in columns.items()]))
-    splitters = find_splitters(narrow, shards, tolerance)
+    return cut(docs.select(docs[id_col].alias("_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
+                           sort_key(text, docs[id_col]).alias("key")))
+
 
-    def shard_of(key: Column) -> Column:
-        out = F.lit(len(splitters))
-        for i in range(len(splitters) - 1, -1, -1):
-            out = F.when(key < F.lit(splitters[i]), F.lit(i)).otherwise(out)
-        return out.cast("int")
+def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.005) -> DataFrame:
+    """Deal all rows to shards of nearly equal bytes; equal texts are neighbours and stay together where that is near enough.
 
-    if keep_columns:
-        return docs.withColumns({"_wl_size": columns["size"], "_wl_text_crc32": columns["text_crc32"], "_wl_shard": shard_of(columns["key"])})
+    Returns id, size (UTF-8 bytes plus 1), text_crc32, shard, and slot, gapless from 0 in each shard. A null
+    text has size 1 and the checksum of no bytes, 0; a very long one is one row like any other, and its shard
+    may exceed its share by it. A null id is an id like any other. Rows that repeat id and text have one key
+    and go to one shard, however many they are. Columns other than the two named are not read. An empty table
+    gives an empty result.
+    """
+    narrow = measured(docs, id_col, text_col)
+    splitters = find_splitters(narrow, shards, tolerance)
     buckets = 16 + narrow.count() // (shards * 50_000)
-    ranked = gapless_rank(narrow.withColumn("shard", shard_of(F.col("key"))), ["shard"], ["key", "_id", "text_crc32"], "slot", buckets)
+    ranked = gapless_rank(narrow.withColumn("shard", shard_of(F.col("key"), splitters)), ["shard"], ["key", "_id", "text_crc32"], "slot", buckets)
     return ranked.select(F.col("_id").alias(id_col), "size", "text_crc32", "shard", "slot")
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write docs as Parquet, one folder for each shard, after one exchange by shard and a part of it."""
-    dealt = shard_by_bytes(docs, shards, id_col, text_col, keep_columns=True)
-    parts = 1 + docs.count() // (shards * 200_000)
-    salt = F.pmod(F.xxhash64("_wl_text_crc32", docs[id_col]), F.lit(parts))
-    (dealt.withColumn("_wl_part", salt).repartition("_wl_shard", "_wl_part").drop("_wl_part", "_wl_size", "_wl_text_crc32")
-     .withColumnRenamed("_wl_shard", "shard").write.partitionBy("shard").parquet(path))
+def write_shards(docs: DataFrame, path: str, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.005) -> str:
+    """Write docs as Parquet, one folder for each shard, after one exchange by shard and a part of it.
+
+    Rows go to the shards that shard_by_bytes gives them, with the same rules for nulls, long texts and repeated
+    rows. All columns are kept; the column of the folders' names is `shard`, with underscores in front where
+    docs has that name, and is returned. An empty table gives no folder.
+    """
+    splitters = find_splitters(measured(docs, id_col, text_col), shards, tolerance)
+    shard, part = fresh("shard", docs), fresh("_wl_part", docs)
+    text, parts = F.coalesce(docs[text_col], F.lit("")), 1 + docs.count() // (shards * 200_000)
+    dealt = docs.withColumns({shard: shard_of(sort_key(text, docs[id_col]), splitters), part: F.pmod(F.xxhash64(text, docs[id_col]), F.lit(parts))})
+    dealt.repartition(shard, part).drop(part).write.partitionBy(shard).parquet(path)
+    return shard
