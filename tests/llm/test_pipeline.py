@@ -1,9 +1,8 @@
-import public_tokenizers
-
 import corpus_pipeline
-from tests.llm.helpers import ascii_lower, components, hard_docs, simhash
+from tests.llm.helpers import HARD_ROWS, ascii_lower, components, hard_docs, simhash
 from tests.llm.test_tokens import check_packing
 from wordloom.llm import pii, toxicity
+from wordloom.llm.common import delete_folder
 
 
 def test_stages_match_brute_force(spark, sf_dir):
@@ -22,10 +21,32 @@ def test_stages_match_brute_force(spark, sf_dir):
     check_packing(corpus_pipeline.run(spark, sf_dir).collect(), rows)
 
 
-def test_stages_keep_columns_and_take_hard_rows(spark):
+def test_stages_keep_columns_and_take_hard_rows(spark, tmp_path):
     docs = hard_docs(spark)
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        if name != "toxicity":
-            assert stage(spark, docs, "").columns == docs.columns
-            assert stage(spark, docs.limit(0), "").count() == 0
-    assert public_tokenizers.path("byte_bpe_50k.tiktoken")
+    spark.createDataFrame([(3, 1), (8, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_run_on_hard_and_empty_tables(spark, tmp_path):
+    """Null and repeated ids, null and very long texts; nothing is toxic, so one row of each text is packed."""
+    spark.createDataFrame([(3, 1), (8, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    hard_docs(spark).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {}
+    for i, t in HARD_ROWS:
+        rows[ascii_lower(t)] = max(i or 0, rows.get(ascii_lower(t), 0))
+    newest = {i: t for i, t in HARD_ROWS if rows[ascii_lower(t)] == i}
+    fps = {i: simhash(t) for i, t in newest.items()}
+    edges = [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 3]
+    check_packing(corpus_pipeline.run(spark, str(tmp_path)).collect(), {i: newest[i] for i in set(components(fps, edges).values())})
+    hard_docs(spark).limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_folders_of_stages_are_deleted(spark, sf_dir, monkeypatch):
+    """Only the rows that the result is read from stay."""
+    written = []
+    monkeypatch.setattr(corpus_pipeline, "delete_folder", lambda spark, path: (written.append(path.rsplit("/", 1)[1]), delete_folder(spark, path)))
+    done = corpus_pipeline.run(spark, sf_dir)
+    assert written == [name for name, _ in corpus_pipeline.STAGES[:-2]] and done.count() > 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import cut
+from wordloom.llm.common import cut, rows_that_stay
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -32,7 +32,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A null text counts as empty, so null and empty texts form one group. A null id stays only in a group
     without other ids. Rows that repeat an id with an equal text count in group_size and share the
-    verdict. An empty table gives an empty result. Columns other than the two named are not read.
+    verdict. A very long text is compared whole. An empty table gives an empty result. Columns other than
+    the two named are not read. A text that a large share of rows has is folded before each exchange of
+    texts; in the last join, of ids and hashes only, its rows are one key, which adaptive execution splits.
     """
     if keep not in ("smallest", "largest"):
         raise ValueError("keep is 'smallest' or 'largest'")
@@ -61,11 +63,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """The rows of docs that stay, with all their columns.
+    """The rows of docs that stay, one of each text, with all their columns.
 
-    Rows are matched to their verdict by id and text hash; see exact_groups for nulls and repeated rows.
+    Texts are equal as in exact_groups; the row with the smallest (or largest) id stays, and one without an id only where no equal
+    text has one. Of rows that repeat that id the least by its columns stays. A null text counts as empty; a very long one is compared whole.
+    Columns of any name are kept. An empty table gives an empty result.
     """
     groups = exact_groups(docs, id_col, text_col, keep)
-    stay = groups.where("kept").select(F.col(id_col).alias("_wl_id"), F.col("text_sha256").alias("_wl_sha")).distinct()
-    sha = F.sha2(ascii_lower(F.coalesce(docs[text_col], F.lit(""))), 256)
-    return docs.join(stay, docs[id_col].eqNullSafe(F.col("_wl_id")) & (sha == F.col("_wl_sha")), "left_semi")
+    stay = groups.where("kept").groupBy(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
+    return rows_that_stay(docs, stay, id_col, F.sha2(ascii_lower(F.coalesce(docs[text_col], F.lit(""))), 256))

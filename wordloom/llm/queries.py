@@ -9,53 +9,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.llm import exact_dedup, line_dedup, lm, packing, pieces, pii, shards, simhash, toxicity, vectors
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from wordloom.sources.tables import read_table
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pii_digest(table(spark, sf_dir, "documents"))
+    return pii.pii_digest(read_table(spark, sf_dir, "documents"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
+    return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"), keep="largest")
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    target = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return lm.cross_entropy_difference(table(spark, sf_dir, "documents"), target)
+    target = read_table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lm.cross_entropy_difference(read_table(spark, sf_dir, "documents"), target)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    done = line_dedup.line_dedup(read_table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    scored = toxicity.toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted", F.size("offending").alias("n_offending"))
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.piece_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return pieces.piece_digest(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.cosine_groups(table(spark, sf_dir, "embeddings"))
+    return vectors.cosine_groups(read_table(spark, sf_dir, "embeddings"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+    return simhash.simhash_groups(read_table(spark, sf_dir, "documents"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = shards.shard_by_bytes(table(spark, sf_dir, "documents"))
+    done = shards.shard_by_bytes(read_table(spark, sf_dir, "documents"))
     return done.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

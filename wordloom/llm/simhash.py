@@ -1,8 +1,9 @@
 """SimHash near-deduplication with bit-sliced Hamming comparison.
 
 Fingerprints meet in buckets of masked bits: of radius + k bands at least k agree when at most
-`radius` bits differ, so no link is missed. Inside a block the bit planes are stored vertically and
-64 distances are updated at once by carry-save counters.
+`radius` bits differ, so no link is missed. A bucket that is too large is dealt once more, by bands of
+the bits that its mask leaves. Inside a block the bit planes are stored vertically and 64 distances are
+updated at once by carry-save counters.
 """
 
 from __future__ import annotations
@@ -13,12 +14,12 @@ from itertools import combinations, pairwise
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import components, cut, pair_blocks
+from wordloom.llm.common import components, cut, rows_that_stay
 
-#: Rows of one block of the comparison, and rows of a bucket that one task may compare.
+#: Rows of one block of the comparison, and rows of a bucket beyond which it is dealt once more.
 BLOCK, CAP = 512, 8192
 
 
@@ -42,15 +43,19 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(_id, _fp): the fingerprint of each whole text as a signed long; a null text counts as empty."""
+    """(_id, _h, _fp): a hash of each whole text, and its fingerprint as a signed long; a null text counts as empty."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(t or b"", shingle) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], ["_id", "_fp"])
+            fps = [fingerprint(t or b"", shingle) for t in b.column(2).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], ["_id", "_h", "_fp"])
 
-    id_type = docs.select(id_col).schema[0].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {id_type}, _fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_hash(F.col(text_col)).alias("_h"), F.col(text_col).alias("_text"))
+    return rows.mapInArrow(run, "_id long, _h long, _fp long")
 
 
 def band_masks(radius: int, rows: int) -> list[int]:
@@ -64,6 +69,13 @@ def band_masks(radius: int, rows: int) -> list[int]:
     return masks
 
 
+def finer_masks(mask: int, radius: int) -> list[int]:
+    """The mask with one band more of the bits that it leaves; fingerprints within the radius that agree under it agree under one of these."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    edges = [round(len(free) * i / (radius + 1)) for i in range(radius + 2)]
+    return [mask | sum(1 << b for b in free[lo:hi]) for lo, hi in pairwise(edges)]
+
+
 def bit_planes(fps: np.ndarray) -> np.ndarray:
     """Row b holds bit b of all fingerprints, 64 to a word."""
     bits = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T
@@ -160,27 +172,48 @@ def tiles(lo: np.ndarray, hi: np.ndarray, block: int) -> Iterator[tuple[np.ndarr
             yield a, hi[i:i + block], False
 
 
-def linked_edges(classes: DataFrame, rows: int, radius: int) -> DataFrame:
-    """Edges (a, b) between class representatives that keep every chain of links: a forest for each chunk, not all pairs."""
-    masks = [F.lit(m - 2**64 if m >> 63 else m) for m in band_masks(radius, rows)]
-    keyed = classes.select("_fp", "_rep", F.posexplode(F.array(*[F.col("_fp").bitwiseAND(m) for m in masks])).alias("t", "key"))
-    blocks = pair_blocks(keyed, ["t", "key"], "_fp", CAP)
+def signed(mask: int) -> int:
+    return mask - 2**64 if mask >> 63 else mask
+
 
+def buckets(classes: DataFrame, rows: int, radius: int) -> DataFrame:
+    """(t, key, _fp): buckets of at most CAP different fingerprints such that any two within the radius share one.
+
+    A larger bucket gives way to finer ones, again and again: a mask that leaves b bits has no bucket of over 2**b.
+    """
+    masks = band_masks(radius, rows)
+    keyed = classes.select("_fp", F.posexplode(F.array(*[F.col("_fp").bitwiseAND(signed(m)) for m in masks])).alias("t", "key"))
+    out, first = None, 0
+    while True:
+        heavy = cut(keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CAP).select("t", "key"))
+        n = heavy.count()
+        small = F.broadcast(heavy) if n <= 10_000 else heavy
+        light = keyed.join(small, ["t", "key"], "left_anti").select("t", "key", "_fp") if n else keyed.select("t", "key", "_fp")
+        out = light if out is None else out.unionByName(light)
+        if not n:
+            return out
+        finer = [finer_masks(m, radius) for m in masks]
+        table = F.array(*[F.array(*[F.lit(signed(m)) for m in x]) for x in finer])
+        dense = keyed.join(small, ["t", "key"], "left_semi").select("_fp", (F.col("t") - first).alias("_t"))
+        first, masks = first + len(masks), [m for x in finer for m in x]
+        spread = dense.select("_fp", "_t", F.posexplode(F.get(table, F.col("_t"))).alias("_j", "_m"))
+        keyed = cut(spread.select("_fp", (F.lit(first) + F.col("_t") * (radius + 1) + F.col("_j")).alias("t"), F.col("_fp").bitwiseAND(F.col("_m")).alias("key")))
+
+
+def linked_edges(classes: DataFrame, rows: int, radius: int) -> DataFrame:
+    """Edges (a, b) between different fingerprints that keep every chain of links: a forest for each chunk, not all pairs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bounds in whole_groups(batches, 4):
-            lo, part, fps, reps = (table.column(c).to_numpy() for c in ("lo", "part", "_fp", "_rep"))
-            hi, fps, forest = table.column("hi").to_numpy(), fps.view(np.uint64), Forest(len(table))
+        for table, bounds in whole_groups(batches, 2):
+            fps, forest = table.column("_fp").to_numpy().view(np.uint64), Forest(len(table))
             s = 0
             while s < len(bounds) - 1:
                 # Several whole buckets fill a block: any close pair in it is a link. A larger bucket is compared in tiles.
                 e = max(s + 1, int(np.searchsorted(bounds, bounds[s] + BLOCK, side="right")) - 1)
                 at = np.arange(bounds[s], bounds[e])
-                cross = e == s + 1 and len(at) > BLOCK and lo[at[0]] != hi[at[0]]
-                left, right = (at[part[at] == lo[at]], at[part[at] == hi[at]]) if cross else (at, at[:0])
                 if len(at) > 1:
-                    for a, b, same in tiles(left, right, BLOCK):
+                    for a, b, same in tiles(at, at[:0], BLOCK):
                         roots = forest.roots()
-                        if len(b) and not ((roots[a] == roots[a[0]]).all() and (roots[b] == roots[a[0]]).all()):
+                        if not ((roots[a] == roots[a[0]]).all() and (roots[b] == roots[a[0]]).all()):
                             i, j = within_radius(fps[a], fps[b], radius, same)
                             if len(i):
                                 forest.join(a[i], b[j])
@@ -188,35 +221,49 @@ def linked_edges(classes: DataFrame, rows: int, radius: int) -> DataFrame:
             roots = forest.roots()
             child = np.flatnonzero(roots != np.arange(len(roots)))
             if len(child):
-                edges = np.unique(np.stack([reps[child], reps[roots[child]]], axis=1), axis=0)
+                edges = np.unique(np.stack([fps[child], fps[roots[child]]], axis=1), axis=0).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
 
-    order = ["t", "key", "lo", "hi"]
-    return (blocks.select(*order, "part", "_fp", "_rep").repartition(*order).sortWithinPartitions(*order)
-            .mapInArrow(run, "a long, b long"))
+    return buckets(classes, rows, radius).repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(run, "a long, b long")
+
+
+def labelled(fps: DataFrame, radius: int) -> DataFrame:
+    """fps (_id, _h, _fp) with _component, a fingerprint that stands for all that links reach, and component_id, the smallest id there."""
+    classes = cut(fps.groupBy("_fp").agg(F.min("_id").alias("_least")))
+    # An id with several texts is one node, so it links their fingerprints.
+    several = fps.where("_id is not null").groupBy("_id").agg(F.min("_fp").alias("a"), F.max("_fp").alias("_most")).where("a <> _most")
+    same_id = fps.join(several, "_id").select("a", F.col("_fp").alias("b"))
+    joined = components(linked_edges(classes, classes.count(), radius).unionByName(same_id), "a", "b")
+    linked = classes.join(joined, F.col("_fp") == F.col("node")).select("_fp", "component", "_least")
+    least = linked.groupBy("component").agg(F.min("_least").alias("_id_of_all"))
+    reached = linked.join(least, "component").select("_fp", F.col("component").alias("_component"), "_id_of_all")
+    label = (classes.join(reached, "_fp", "left")
+             .select("_fp", F.coalesce("_component", "_fp").alias("_component"), F.coalesce("_id_of_all", "_least").alias("component_id")))
+    return fps.join(label, "_fp")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits), component_id (smallest id that links reach).
 
     Fingerprints link at `radius` or fewer differing bits. Rows with equal fingerprints form a class that
-    is compared once, by its smallest id. Null and empty texts have fingerprint zero, linked like any
-    other. Ids are integers; rows that repeat an id are one node. A row with a null id takes the
-    component of its class, null if the class has no other id. An empty table gives an empty result.
+    is compared once. Null and empty texts have fingerprint zero, linked like any other; very long texts
+    are read whole. Ids are integers; rows that repeat an id are one node, so that their texts are in one
+    component. A row with a null id links like any other; its component_id is null if no id is reached.
+    Columns other than the two named are not read. An empty table gives an empty result.
     """
-    fps = cut(fingerprints(docs, id_col, text_col, shingle))
-    classes = cut(fps.groupBy("_fp").agg(F.min(F.col("_id").cast("long")).alias("_rep")))
-    named = classes.where("_rep is not null")
-    joined = components(linked_edges(named, classes.count(), radius), "a", "b")
-    label = (classes.join(joined, F.col("_rep") == F.col("node"), "left")
-             .select("_fp", F.coalesce("component", "_rep").alias("component_id")))
-    return fps.join(label, "_fp").select(
-        F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+    kind = docs.select(id_col).schema[0].dataType
+    found = labelled(cut(fingerprints(docs, id_col, text_col, shingle)), radius)
+    return found.select(F.col("_id").cast(kind).alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
-    """The rows of docs that stay, one id of each component, with all their columns. Rows without an id stay."""
-    stay = (simhash_groups(docs, id_col, text_col, shingle, radius).where(F.col(id_col) == F.col("component_id"))
-            .select(F.col("component_id").alias("_wl_id")).distinct())
-    joined = docs.join(stay, docs[id_col] == F.col("_wl_id"), "left_semi")
-    return joined.unionByName(docs.where(docs[id_col].isNull()))
+    """The rows of docs that stay, one of each component, with all their columns.
+
+    The row with the smallest id stays, and one without an id only where the component has none. If rows
+    repeat that id, the one with the least fingerprint stays; of rows with one text, the least by its
+    columns. Nulls and long texts are as in simhash_groups, columns of any name are kept.
+    """
+    found = labelled(cut(fingerprints(docs, id_col, text_col, shingle)), radius).where(F.col("_id").eqNullSafe(F.col("component_id")))
+    counted = found.groupBy("_component", "_id", "_fp", "_h").agg(F.count(F.lit(1)).alias("_n"))
+    stay = counted.groupBy("_component").agg(F.min(F.struct("_fp", "_h", "_n", "_id")).alias("_s")).select("_s._id", "_s._h", "_s._n")
+    return rows_that_stay(docs, stay, id_col, text_hash(docs[text_col]))
