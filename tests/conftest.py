@@ -15,7 +15,7 @@ TESTDATA = Path(os.environ.get("TESTDATA", "/root/testdata"))
 def spark():
     from pyspark.sql import SparkSession
 
-    session = (SparkSession.builder.master("local[8]").appName("wordloom-tests")
+    session = (SparkSession.builder.master(f"local[{os.environ.get('TEST_CPUS', '8')}]").appName("wordloom-tests")
                .config("spark.driver.memory", "6g").config("spark.sql.shuffle.partitions", "8")
                .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
                .config("spark.sql.session.timeZone", "UTC").getOrCreate())

@@ -1,3 +1,5 @@
+import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -5,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from wordloom.operators import counts, scoring, weights
-from wordloom.plans.training import Settings, grid, train, train_grid
-from wordloom.sources import corpus, models
+from wordloom.plans import queries
+from wordloom.plans.training import Settings, classify, grid, train, train_grid
+from wordloom.sources import corpus, models, scratch, tables
 from wordloom.streaming.classify import classify_stream
 from wordloom.streaming.ratelimit import Limits, rate_limit, request_outcomes, request_windows, step
 
@@ -47,10 +50,97 @@ def test_mass_cut(spark, monkeypatch, percents, want):
     assert {r["term"] for r in counts.cut_by_mass(rows, "c", "own").collect()} == want
 
 
-def test_grid(toy):
-    assert len(grid()) == 36
-    some = [Settings("tfidf", 1, "d0"), Settings("tfidf", 2, "d1")]
-    assert [(s, m.count() > 0) for s, m in train_grid(toy, "c", settings=some)] == [(s, True) for s in some]
+@pytest.mark.parametrize("cut", ["d1", "d2"])
+def test_mass_cut_of_one_beginning(spark, cut):
+    """A class whose rare terms all begin alike; ranges share them, and what is kept is the same as in one sort."""
+    rows = [(c, n, f"THE SAME BEGINNING {k:04d}", 1 + (k % 97 == 0)) for c in (0, 1) for n in (1, 2, 3, 4) for k in range(700 * (c + 1))]
+    got = {tuple(r)[:3] for r in counts.cut_by_mass(spark.createDataFrame(rows, "c int, n int, term string, cnt long"), "c", cut).collect()}
+    want = set()
+    for c in (0, 1):
+        for n in (1, 2, 3, 4):
+            own = sorted((-k, t) for x, m, t, k in rows if (x, m) == (c, n))
+            limit, running = np.float32(np.float32(-sum(k for k, _ in own)) * np.float32(counts.CUT_PERCENTS[cut][n - 1])) / np.float32(100), 0
+            for k, t in own:
+                running -= k
+                if np.float32(running) > limit:
+                    break
+                want.add((c, n, t))
+    assert got == want
+    kept = counts.cut_by_mass(spark.createDataFrame(rows, "c int, n int, term string, cnt long"), "c", cut)
+    assert "collect_list" not in kept._jdf.queryExecution().toString()
+
+
+def test_cut_in_given_order(spark, monkeypatch):
+    monkeypatch.setitem(counts.CUT_PERCENTS, "own", (50,))
+    rows = spark.createDataFrame([(0, 1, "A", 3, 4), (0, 1, "B", 2, 1), (0, 1, "C", 2, 2), (0, 1, "D", 1, 3), (1, 1, "A", 5, 1), (1, 1, "B", 5, 1)], "c int, n int, term string, cnt long, place int")
+    assert {(r["c"], r["term"]) for r in counts.cut_in_order(rows, "c", "own", "place").collect()} == {(0, "B"), (0, "C"), (1, "A")}
+    assert counts.cut_in_order(rows, "c", "d0", "place").count() == 6
+
+
+def test_grid(spark):
+    """All 36 models, each the same as one trained by itself."""
+    texts = [(c, " ".join(f"w{(k * (c + 3)) % (11 + c)}" for k in range(60))) for c in (0, 1, 2) for _ in range(2)]
+    docs = spark.createDataFrame(texts, "c int, text string")
+    models_of = {s: table(m, "term", "c") for s, m in train_grid(docs, "c")}
+    assert list(models_of) == grid() and len(models_of) == 36
+    assert sum(bool(m) for m in models_of.values()) >= 24
+    for s in (Settings("tfidf", 1, "d0"), Settings("bm25", 2, "d1"), Settings("r_tfidf", 3, "d2"), Settings("bm25", 4, "d0")):
+        assert models_of[s] == table(train(docs, "c", settings=s), "term", "c")
+
+
+def test_lengths_from_counts(spark):
+    docs = spark.createDataFrame([(0, "a b c"), (0, "d"), (1, "- -"), (2, None), (None, "x y")], "c int, text string")
+    found = counts.lengths_of(counts.class_counts(docs, "c", n_max=2), [0, 1, 2], "c")
+    assert table(found, "c") == {(0,): 4, (1,): 0, (2,): 0}
+    assert {k: v for k, v in table(counts.class_lengths(docs, "c"), "c").items() if k[0] is not None} == table(found, "c")
+
+
+def test_classify_with_urls_dropped(spark, sf_dir):
+    """The flagship's report, made again from words and counts in plain Python."""
+    from tests.test_text import spec, twin
+    from wordloom.functions import urls
+
+    domains, schemes = urls.top_level_domains(), {x.upper() for x in urls.SCHEMES}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 2 = 0")
+    by_doc, by_class = {}, {}
+    for r in docs.collect():
+        text = r["text"] or ""
+        for a, b in reversed(twin(text, domains, schemes)):
+            text = text[:a] + "\1" * (b - a) + text[b:]
+        words = spec(re.sub("\1+", "\n", text))
+        levels = [Counter(" ".join(words[i:i + n]) for i in range(len(words) - n + 1)) for n in (1, 2, 3)]
+        by_doc[r["doc_id"]] = sum(levels, Counter())
+        if r["lang"] is not None:
+            for k, level in enumerate(levels):
+                by_class.setdefault(r["lang"], [Counter(), Counter(), Counter()])[k].update(level)
+    f32, bags = np.float32, {}
+    for c, levels in by_class.items():
+        bags[c] = Counter()
+        for percent, level in zip((95, 50, 15), levels, strict=True):
+            limit, running = f32(f32(sum(level.values())) * f32(percent)) / f32(100), 0
+            for t, k in sorted(level.items(), key=lambda x: (-x[1], x[0].encode())):
+                running += k
+                if f32(running) > limit:
+                    break
+                bags[c][t] += k
+    df = Counter(t for b in bags.values() for t in b)
+    model = {c: {t: float(f32(-f32(f32(k) / f32(len(b))) * f32(np.log(f32(f32(df[t]) / f32(len(bags))))))) for t, k in b.items() if df[t] < len(bags)} for c, b in bags.items()}
+    want = {}
+    for i, bag in by_doc.items():
+        dots = {c: sum(w[t] * k for t, k in bag.items() if t in w) for c, w in model.items()}
+        cosines = {c: d / (sum(x * x for x in model[c].values()) * sum(k * k for k in bag.values())) ** 0.5 for c, d in dots.items() if d}
+        want |= {(i, c): 100 * x / sum(cosines.values()) for c, x in cosines.items()}
+    got = table(classify(docs, train(docs, "lang"), "doc_id", "lang").select("doc_id", "lang", "percent"), "doc_id", "lang")
+    clear = {k for k, v in want.items() if abs(v - 10) > 1e-3}
+    assert {k for k in got if k in clear} == {k for k in clear if want[k] > 10} and len(got) > 50
+    assert all(got[k] == pytest.approx(want[k], abs=1e-3) for k in got)
+
+
+def test_texts_are_read_once(spark, sf_dir):
+    """One tokenizer pass for training, which is kept, and one for scoring."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    plan = classify(docs, train(docs, "lang"), "doc_id", "lang")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") <= 2 and plan.count("documents.parquet") <= 2  # one node names it once or twice
 
 
 def test_one_class_has_no_model(spark):
@@ -101,7 +191,7 @@ def test_rate_limiter_steps():
 def request_rows(spark):
     """Keys with few and many requests, dense and sparse, over several Arrow batches; 0 has most of them, in no order."""
     rng = np.random.default_rng(7)
-    times = {0: np.cumsum(rng.integers(0, 9_000_000, 25_000)), 1: rng.integers(0, 5_000_000, 12_000), 2: np.arange(300) * 10_000_000, 3: np.array([5]), 4: np.zeros(11_000, int)}
+    times = {0: np.cumsum(rng.integers(0, 9_000_000, 25_000)), 1: rng.integers(0, 5_000_000, 12_000), 2: np.arange(300) * 10_000_000, 3: np.array([5]), 4: np.zeros(11_000, int), 5: (np.arange(20)[:, None] * 100_000_000 + np.array([0, 1, 2, 9]) * 1_000_000).ravel()}
     times = {k: x + 1_600_000_000_000_000 for k, x in times.items()}  # a stream drops what is not after its first watermark, 1970
     rows = [(k, int(t)) for k, x in times.items() for t in rng.permutation(x)] + [(None, 1), (1, None)]
     return times, spark.createDataFrame(rows, "k long, us long").select("k", F.timestamp_micros("us").alias("t"))
@@ -131,6 +221,102 @@ def test_request_outcomes_are_those_of_the_stream(spark, tmp_path):
     assert outcomes.count() == requests.dropna().count()
 
 
+def plain_outcomes(times, limits):
+    """The same rules written out by the clock: a window counts, a ban starts anew with each request, a short rest is waited for."""
+    out, window, ban, after = [], None, None, None  # starts; window: [start, count, end]
+    for t in times:
+        if ban is not None and t >= ban[1]:
+            ban = window = None
+        if ban is None and window is not None and t >= window[2]:
+            window = None
+        if ban is None and window is None:
+            window = [t, 1, t + limits.interval]
+            out.append(("admitted", 0.0))
+            continue
+        if ban is None and window[1] < limits.requests:
+            window[1] += 1
+            out.append(("admitted", 0.0))
+            continue
+        rest = limits.ban - (t - ban[0]) if ban is not None else limits.interval - (t - window[0]) + 1.0
+        if rest > 3:
+            ban = (t, t + limits.ban + 1)
+            out.append(("banned", limits.ban))
+        else:
+            wait = max(1.0, rest)
+            ban, window = None, [t + wait, 1, t + wait + limits.interval]
+            out.append(("waited", wait))
+    return out
+
+
+def test_request_bans_match_plain_python(spark, sf_dir):
+    by_key = {}
+    for r in spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).collect():
+        by_key.setdefault(str(r["user_id"]), []).append(r["us"])
+    want = Counter()
+    for key, times in by_key.items():
+        for us, (outcome, wait) in zip(sorted(times), plain_outcomes([t / 1e6 for t in sorted(times)], Limits(600.0, 3, 1200.0)), strict=True):
+            want[key, us, outcome, wait] += 1
+    got = queries.request_bans(spark, sf_dir).select("key", F.unix_micros(F.col("at").cast("timestamp")).alias("us"), "outcome", "wait")
+    assert Counter(map(tuple, got.collect())) == want
+    # Denser requests, with all outcomes.
+    times, requests = request_rows(spark)
+    want = Counter()
+    for key, x in times.items():
+        for us, (outcome, wait) in zip(np.sort(x).tolist(), plain_outcomes((np.sort(x) / 1e6).tolist(), Limits()), strict=True):
+            want[str(key), us, outcome, wait] += 1
+    got = request_outcomes(requests, "k", "t").select("key", F.unix_micros(F.col("at").cast("timestamp")).alias("us"), "outcome", "wait")
+    assert Counter(map(tuple, got.collect())) == want and {k[2] for k in want} == {"admitted", "banned", "waited"}
+
+
+def test_late_requests_are_judged_too(spark, tmp_path):
+    """Files in mixed order, each a micro-batch: every request comes out once, the late ones by their key's entry of then."""
+    files = [[100, 101, 102, 103], [500, 501], [90, 91, 92, 502], [10, 600, 100]]
+    for k, times in enumerate(files):
+        spark.createDataFrame([("a", t * 1_000_000) for t in times] + [("b", t * 1_000_000 + 7) for t in times], "k string, us long").select(
+            "k", F.timestamp_micros("us").alias("t")).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        time.sleep(1.1)  # files go by their time of change
+    stream = spark.readStream.schema("k string, t timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    rate_limit(stream, "k", "t").writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").select("key", F.unix_micros("at").alias("us"), "outcome", "wait").collect()
+    want = Counter()
+    for key, more in (("a", 0), ("b", 7)):
+        own = [t * 1_000_000 + more for times in files for t in sorted(times)]
+        judged = np.maximum.accumulate(own) / 1e6
+        for us, (outcome, wait) in zip(own, plain_outcomes(judged.tolist(), Limits()), strict=True):
+            want[key, us, outcome, wait] += 1
+    assert len(got) == 2 * sum(map(len, files)) and Counter(map(tuple, got)) == want
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
+    """No folder of one machine stands in for the shared one."""
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), type("Conf", (), {"get": lambda self, key, default: default})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.scratch_folder(Session())
+
+
+def test_small_tables_are_dealt_to_all_cores(spark, tmp_path, monkeypatch):
+    spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/t.parquet")
+    assert tables.read_table(spark, str(tmp_path), "t").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(tables, "SMALL", 1)
+    assert tables.read_table(spark, str(tmp_path), "t").rdd.getNumPartitions() == 1
+
+
+def test_class_ids_and_their_bound(spark):
+    docs = spark.createDataFrame([("b", "x"), ("a", "y"), (None, "z"), ("b", "w")], "lang string, text string")
+    assert sorted((r["lang"], r["class_id"]) for r in corpus.with_class_id(docs, "lang").collect()) == [("a", 0), ("b", 1), ("b", 1)]
+    assert corpus.with_class_id(docs.limit(0), "lang").count() == 0
+    with pytest.raises(ValueError, match="too many classes"):
+        corpus.distinct_classes(spark.range(10_001), "id")
+
+
 def test_absent_terms_are_zero(spark):
     w = spark.createDataFrame([("A", 0, 1.0), ("B", 0, 2.0), ("B", 1, 2.0)], "term string, c int, weight float")
     assert table(weights.dense(w, [0, 1], "c"), "term", "c")["A", 1] == 0

@@ -5,31 +5,50 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wordloom.functions.characters import BOUNDARY, ENDING, NUMBER, SPACE, WORD_CHAR, expanding_characters
+from wordloom.functions.characters import ENDING, NUMBER, OTHER, RUN, SPACE, SUBSCRIPT, WORD_CHAR, expanding_characters, lower_case_pairs
 from wordloom.functions.urls import without_urls
 
+#: Matches one after the other, the word in the group: what ends a word, with the marks and spaces after it; a number before
+#: a plain space; a run with a word of two characters at least, or of one that is the whole run; any other run.
+WORDS = (rf"{ENDING}[\p{{P}}{SPACE}]*+|[[{NUMBER}]&&{RUN}]++(?= )"
+         rf"|(?:{OTHER}*+(?=[{WORD_CHAR}]{RUN}*?[{WORD_CHAR}])|(?=[{WORD_CHAR}](?!{RUN})))([{WORD_CHAR}](?:{RUN}*[{WORD_CHAR}])?){OTHER}*+(?:{ENDING}[\p{{P}}{SPACE}]*+)?+"
+         rf"|{RUN}++")
+
+
+def upper_but(text: Column, kept: str = "") -> Column:
+    """Upper case character by character: no character becomes several, Ё becomes Е, and those in `kept` stay."""
+    plain, shield = expanding_characters()
+    plain, shield = plain + kept, shield + "\ue0ff"[:len(kept)]
+    careful = F.translate(F.upper(F.translate(text, plain, shield)), shield + "Ё", plain + "Е")
+    return F.when(F.octet_length(text) == F.char_length(text), F.upper(text)).otherwise(careful)
+
 
 def upper_invariant(text: Column) -> Column:
     """Upper case character by character: no character becomes several, and Ё becomes Е."""
-    plain, shield = expanding_characters()
-    return F.translate(F.translate(F.upper(F.translate(text, plain, shield)), shield, plain), "ё" + "Ё", "ЕЕ")
+    return upper_but(text)
 
 
-def tokenize(text: Column, drop_urls: bool = True, url_regex: str | None = None) -> Column:
+def lower_invariant(text: Column) -> Column:
+    """Lower case character by character: no character becomes several, whatever stands next to it."""
+    upper, lower = lower_case_pairs()
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, lower))
+
+
+def tokenize(text: Column, drop_urls: bool = True) -> Column:
     """Words of a text in order. A null text has none; what follows a NUL is not read.
 
     A word runs to white space or an ending sign and is cut to its first and last letter or digit. A word of
     one character is kept only if nothing was cut off. Runs of digits and number signs before a plain space are dropped.
+    The whole text is put in upper case and read once, by one expression.
     """
-    text = F.coalesce(F.substring_index(text, "\x00", 1), F.lit(""))
     if drop_urls:
-        text = without_urls(text, url_regex)
-    marked = F.regexp_replace(text, rf"{ENDING}[\p{{P}}{SPACE}]*", BOUNDARY)
-    edge = f"[{BOUNDARY}{SPACE}]"
-    runs = F.regexp_extract_all(marked, F.lit(rf"[^{BOUNDARY}{SPACE}]+(?:{edge}|\z)"), F.lit(0))
-    kept = F.filter(runs, lambda x: ~x.rlike(rf"^[{NUMBER}]+ \z")
-                    & x.rlike(rf"(?s)[{WORD_CHAR}].*[{WORD_CHAR}]|\A[{WORD_CHAR}]{edge}?\z"))
-    return F.transform(kept, lambda x: upper_invariant(F.regexp_extract(x, rf"(?s)[{WORD_CHAR}](?:.*[{WORD_CHAR}])?", 0)))
+        text = without_urls(text)
+    text = F.coalesce(F.substring_index(text, "\x00", 1), F.lit(""))
+    # The subscript is no letter, but its upper case is: it gets it when words are cut.
+    found = F.filter(F.regexp_extract_all(upper_but(text, SUBSCRIPT), F.lit(WORDS), F.lit(1)), lambda x: x != "")
+    marked = lambda words: F.contains(F.array_join(words, ""), F.lit(SUBSCRIPT))
+    finished = lambda words: F.when(marked(words), F.transform(words, lambda x: F.translate(x, SUBSCRIPT, "Ι"))).otherwise(words)
+    return F.transform(F.array(found), finished)[0]  # so that the words are cut once, not in each branch
 
 
 def ngrams(words: Column, n: int) -> Column:

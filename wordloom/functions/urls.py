@@ -1,58 +1,189 @@
-"""URL detection by one regular expression: `www.`, scheme and top-level-domain rules."""
+"""URL detection: `www.`, scheme and top-level-domain rules, on whole Arrow batches.
+
+Dots and colons are looked at from left to right. What a URL may reach is bounded by breaks: white space,
+punctuation that is not ASCII, and NUL, which ends a text. Expressions cannot tell where the next dot or colon
+is looked for, which depends on what became of the one before, so that this is a function on Arrow batches;
+its time is linear in the text.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+import unicodedata
+from collections.abc import Iterable
+from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-#: Generic top-level domains and those that are no country codes today.
+#: Generic top-level domains, and country domains that are no country codes today.
 GENERIC_DOMAINS = ("aero asia biz cat com coop edu gov info int jobs mil mobi museum name nato net org pro tel travel "
-                   "ac an eu su tp uk нет орг ком рф").split()
+                   "ac an eu su tp uk yu ру рф нет орг ком").split()
+#: Codes of countries that are not among the domains.
+LATER_COUNTRIES = "ax bl bq cw me mf rs ss sx tl".split()
 #: Schemes that can be told by letters and hyphens alone.
 SCHEMES = ("javascript jdbc acap adiumxtra attachment bitcoin chrome chrome-extension com-eventbrite-attendee cvs dns facetime file "
            "finger fish gizmoproject gopher http https iax imap irc ircs jabber jar ldap mailto mms ms-help ms-settings-power snews "
            "nntp rtmp rtsp ftp sftp tftp skype snmp ssh telnet udp uuid urn ws wss xmpp magnet").split()
 
+TRIGGER = re.compile("[.:]")
+SCHEME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz-")
+SPAN = "array<struct<value:string,start:int,length:int>>"
+
+
+def top_level_domains() -> frozenset[str]:
+    """The generic domains and two-letter codes of countries (as the JVM knows them), in upper case."""
+    countries = {str(c).lower() for c in SparkSession.active()._jvm.java.util.Locale.getISOCountries()}
+    return frozenset(d.upper() for d in countries.difference(LATER_COUNTRIES).union(GENERIC_DOMAINS))
+
+
+@cache
+def punctuation() -> frozenset[str]:
+    return frozenset(c for c in map(chr, range(0x10000)) if unicodedata.category(c)[0] == "P")
+
+
+@cache
+def breaks() -> tuple[frozenset[str], re.Pattern]:
+    """What no URL holds, as a set and as an expression."""
+    spaces = {c for c in map(chr, range(0x10000)) if unicodedata.category(c)[0] == "Z"} | set("\t\n\v\f\r\x85")
+    found = frozenset(spaces | {c for c in punctuation() if not c.isascii()} | {"\0"})
+    return found, re.compile(f"[{re.escape(''.join(sorted(found)))}]")
+
+
+class Detector:
+    """Finds URLs. A known domain after a dot makes one of all that stands before it up to a break; what follows a domain belongs to it only from a slash on."""
+
+    def __init__(self, domains: Iterable[str], schemes: Iterable[str] = SCHEMES):
+        self.domains, self.schemes = frozenset(d.upper() for d in domains), frozenset(s.upper() for s in schemes)
+        self.longest_domain, self.longest_scheme = max(map(len, self.domains), default=0), max(map(len, self.schemes), default=0)
+        self.breaks, self.break_at = breaks()
+        self.marks = punctuation() - {"/"}
+
+    def chunk(self, text: str, at: int) -> tuple[int, int, int]:
+        """(end of the stretch without breaks around `at`, its first and its last place that are no punctuation but a slash)."""
+        start = at
+        while start > 0 and text[start - 1] not in self.breaks:
+            start -= 1
+        found = self.break_at.search(text, at)
+        end = found.start() if found else len(text)
+        first, last = start, end - 1
+        while first < end and text[first] in self.marks:
+            first += 1
+        while last >= start and text[last] in self.marks:
+            last -= 1
+        return end, first, last
+
+    def domain_end(self, text: str, start: int) -> int | None:
+        """Where the letters from `start` on end, if they are a known domain."""
+        end = start
+        while end < len(text) and end - start <= self.longest_domain and text[end].isalpha() and text[end] <= "\uffff":
+            end += 1
+        upper = text[start:end].upper()
+        # No letter that becomes several, or one of another script's, stands for a letter of a domain.
+        return end if upper in self.domains and len(upper) == end - start and not {"ı", "ſ"} & set(text[start:end]) else None
+
+    def at_dot(self, text: str, dot: int, first: int, last: int) -> tuple[tuple[int, int] | None, int]:
+        """((start, end) or None, where the search goes on)."""
+        if dot >= 3 and text[dot - 3:dot].upper() == "WWW":
+            end = max(last, dot) + 1
+            return (dot - 3, end), end + 1
+        end = self.domain_end(text, dot + 1)
+        if end is None:
+            return None, dot + 2  # the next character is not looked at
+        own = dot
+        while text[end:end + 1] in (".", "\uffff") and (further := self.domain_end(text, end + 1)) is not None:
+            own, end = end, further
+        if first >= own:
+            return None, dot + 1
+        if text[end:end + 1] in ("/", "\\"):
+            end = last + 1
+        return (first, end), end + 1
+
+    def at_colon(self, text: str, colon: int, last: int) -> tuple[tuple[int, int] | None, int]:
+        start = colon
+        while start > 0 and colon - start <= self.longest_scheme + 1 and text[start - 1] in SCHEME_CHARS:
+            start -= 1
+        if not 0 < colon - start <= self.longest_scheme + 1:
+            return None, colon + 1
+        if text[start:colon].upper() not in self.schemes:
+            return None, colon + 2  # the next character is not looked at
+        end = max(last, colon) + 1
+        return (start, end), end + 1
+
+    def single(self, text: str, at: int) -> tuple[int, int] | None:
+        """The URL that the dot or colon at a place makes, whatever stands before or after it."""
+        if not 0 <= at < len(text) or text[at] not in ".:" or "\0" in text[:at]:
+            return None
+        _, first, last = self.chunk(text, at)
+        return (self.at_dot(text, at, first, last) if text[at] == "." else self.at_colon(text, at, last))[0]
+
+    def spans(self, text: str) -> list[tuple[int, int]]:
+        """(start, end) of URLs in the order of the dots and colons that make them. A domain reaches to the left over URLs before it, so they may overlap."""
+        text = text.split("\0", 1)[0]
+        found, end, first, last = [], 0, 0, 0
+        m = TRIGGER.search(text)
+        while m:
+            at = m.start()
+            if at >= end:
+                end, first, last = self.chunk(text, at)
+            span, goes_on = self.at_dot(text, at, first, last) if text[at] == "." else self.at_colon(text, at, last)
+            if span:
+                found.append(span)
+            m = TRIGGER.search(text, goes_on)
+        return found
+
+
+def detector(domains: Iterable[str] | None, schemes: Iterable[str] | None) -> Detector:
+    return Detector(top_level_domains() if domains is None else domains, SCHEMES if schemes is None else schemes)
+
+
+def as_structs(texts: list[str], spans: list[list[tuple[int, int]]]) -> list[list[dict]]:
+    return [[{"value": t[s:e], "start": s, "length": e - s} for s, e in x] for t, x in zip(texts, spans, strict=True)]
+
+
+def extract_urls(text: Column, domains: Iterable[str] | None = None, schemes: Iterable[str] | None = None) -> Column:
+    """Array of (value, start, length) in order, start from 0, in characters. Empty for a null text; what follows a NUL is not read."""
+    find = detector(domains, schemes)
+
+    @F.arrow_udf(returnType=SPAN)
+    def urls(column: pa.Array) -> pa.Array:
+        texts = [t or "" for t in column.to_pylist()]
+        kind = pa.list_(pa.struct([("value", pa.string()), ("start", pa.int32()), ("length", pa.int32())]))
+        return pa.array(as_structs(texts, list(map(find.spans, texts))), kind)
+
+    return urls(text)
+
 
-def country_domains() -> list[str]:
-    """Two-letter country codes as the JVM knows them."""
-    spark = SparkSession.active()
-    return sorted(str(c).lower() for c in spark._jvm.java.util.Locale.getISOCountries())
+def url_at(text: Column, position: Column, domains: Iterable[str] | None = None, schemes: Iterable[str] | None = None) -> Column:
+    """(value, start, length) of the URL that the dot or colon at a position (from 0) makes; null if it makes none, and for nulls."""
+    find = detector(domains, schemes)
 
+    @F.arrow_udf(returnType="struct<value:string,start:int,length:int>")
+    def url(column: pa.Array, places: pa.Array) -> pa.Array:
+        texts, at = column.to_pylist(), places.to_pylist()
+        spans = [None if t is None or p is None else find.single(t, p) for t, p in zip(texts, at, strict=True)]
+        rows = [s and as_structs([t], [[s]])[0][0] for t, s in zip(texts, spans, strict=True)]
+        return pa.array(rows, pa.struct([("value", pa.string()), ("start", pa.int32()), ("length", pa.int32())]))
 
-def url_pattern(domains: Sequence[str] | None = None, schemes: Sequence[str] = SCHEMES) -> str:
-    """A Java regular expression for the spans that the detector finds.
+    return url(text, position.cast("int"))
 
-    A URL runs to white space or non-ASCII punctuation; punctuation at its end, except a slash, is not part
-    of it. A known domain after a dot also extends the URL to the left, over an at-sign too, but to the right
-    only at a slash. A scheme is the whole run of letters and hyphens before its colon.
-    """
-    alternatives = lambda words: "|".join(sorted(words, key=lambda w: (-len(w), w)))
-    inside = r"(?:[\x01-\x08\x0E-\x1F\x21-\x7F]|[^\x00-\x7F\p{Z}\u0085\p{P}])"
-    solid = r"(?:/|[^\x00\t-\r\u0085\p{Z}\p{P}])"
-    tail = f"(?:{inside}*{solid})?"
-    www = r"(?i:www)\."
-    scheme = f"(?iu:(?<![A-Za-z-])(?:{alternatives(schemes)})):"
-    domain = rf"\.(?iu:{alternatives(domains or [*GENERIC_DOMAINS, *country_domains()])})(?!\p{{L}})"
-    trigger = f"(?!{www}|{scheme})"
-    return rf"{www}{tail}|{scheme}{tail}|{trigger}{solid}(?:{trigger}{inside})*?(?:{domain})+(?:[/\\]{tail})?"
 
+def replaced(find: Detector, text: str) -> str:
+    out, done = [], 0
+    for s, e in sorted(find.spans(text)):
+        if s >= done:
+            out += [text[done:s], "\n"]
+        done = max(done, e)
+    return "".join([*out, text[done:]]) if out else text
 
-def extract_urls(text: Column, pattern: str | None = None) -> Column:
-    """Array of (value, start, length) in order, start from 0; overlapping spans do not occur. Empty for a null text."""
-    text = F.coalesce(F.substring_index(text, "\x00", 1), F.lit(""))
-    values = F.regexp_extract_all(text, F.lit(pattern or url_pattern()), F.lit(0))
-    # Each value is looked up from the end of the one before it.
-    def add(done: Column, value: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        start = F.call_function("locate", value, text, F.coalesce(last["start"] + last["length"] + 1, F.lit(1))) - 1
-        return F.concat(done, F.array(F.struct(value.alias("value"), start.alias("start"), F.char_length(value).alias("length"))))
 
-    return F.aggregate(values, F.array().cast("array<struct<value:string,start:int,length:int>>"), add)
+def without_urls(text: Column, domains: Iterable[str] | None = None, schemes: Iterable[str] | None = None) -> Column:
+    """The text with each URL (overlapping ones together) replaced by a line feed, a boundary that never makes a number skipped. Null stays null."""
+    find = detector(domains, schemes)
 
+    @F.arrow_udf(returnType="string")
+    def rest(column: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else replaced(find, t) for t in column.to_pylist()], pa.string())
 
-def without_urls(text: Column, pattern: str | None = None) -> Column:
-    """The text with each URL replaced by a line feed, a boundary that never makes a number skipped."""
-    return F.regexp_replace(text, pattern or url_pattern(), "\n")
+    return rest(text)

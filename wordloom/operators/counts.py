@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wordloom.functions.tokens import ngrams, terms, tokenize
+from wordloom.sources.scratch import keep
 
 #: Percent of each n-gram level's mass that is kept, for n = 1 to 4; None keeps all.
 CUT_PERCENTS: dict[str, tuple[float, ...] | None] = {"d0": None, "d1": (95, 50, 15, 5), "d2": (50, 15, 5, 2)}
-PREFIX = 3
 
 
 def token_table(docs: DataFrame, key: str, text: str = "text", drop_urls: bool = True) -> DataFrame:
@@ -43,7 +43,15 @@ def merge_counts(*tables: DataFrame, key: str) -> DataFrame:
 
 def class_lengths(docs: DataFrame, key: str, text: str = "text", drop_urls: bool = True) -> DataFrame:
     """(key, length): words of each class before any cut. A class without words has length 0."""
-    return docs.groupBy(key).agg(F.sum(F.size(tokenize(F.col(text), drop_urls)).cast("long")).alias("length"))
+    sizes = docs.select(key, F.size(tokenize(F.col(text), drop_urls)).cast("long").alias("_size"))
+    return sizes.groupBy(key).agg(F.sum("_size").alias("length"))
+
+
+def lengths_of(counts: DataFrame, classes: list, key: str) -> DataFrame:
+    """class_lengths from counts of words that are not cut yet, with the classes given."""
+    every = counts.sparkSession.createDataFrame([(c,) for c in classes], counts.select(key).schema)
+    found = counts.where(F.col("n") == 1).groupBy(key).agg(F.sum("cnt").alias("_length"))
+    return every.join(found, key, "left").select(key, F.coalesce("_length", F.lit(0)).cast("long").alias("length"))
 
 
 def mass_threshold(total: Column, percent: Column | float) -> Column:
@@ -56,8 +64,9 @@ def cut_by_mass(counts: DataFrame, key: str, cut: str) -> DataFrame:
     """Keeps, of each class and n, the most frequent terms while their running count is within the level's percent.
 
     Terms go by count, then in binary order; the first that exceeds the mass goes, with all after it. Whole
-    groups of equal counts are decided by a histogram of counts. Only the group that the threshold cuts
-    is ranked, by prefixes first, so that no class's vocabulary is sorted in one task.
+    groups of equal counts are decided by a histogram of counts. Only the group that the threshold cuts is
+    ranked: it is dealt by ranges of terms, each of which is sorted on its own and begins at the number of
+    terms in the ranges before it, so that no class's vocabulary is sorted in one task, whatever its terms begin with.
     """
     percents = CUT_PERCENTS[cut]
     if percents is None:
@@ -74,16 +83,36 @@ def cut_by_mass(counts: DataFrame, key: str, cut: str) -> DataFrame:
               .withColumn("_whole", (F.col("_before") + mass).cast("float") <= F.col("_limit"))
               .select(*group, "cnt", "_before", "_limit", "_whole"))
     reached = counts.join(levels, [*group, "cnt"])
-    whole = reached.where("_whole")
-    part = reached.where("not _whole").withColumn("_prefix", F.substring("term", 1, PREFIX))
-    before = Window.partitionBy(*group).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = part.groupBy(*group, "_prefix").agg(F.count(F.lit(1)).alias("_p")).select(*group, "_prefix", F.coalesce(F.sum("_p").over(before), F.lit(0)).alias("_first"))
-    within = Window.partitionBy(*group, "_prefix").orderBy("term")
-    rank = F.col("_first") + F.col("_within")
-    ranked = part.withColumn("_within", F.row_number().over(within)).join(firsts, [*group, "_prefix"])
-    fits = ranked.where((F.col("_before") + rank * F.col("cnt")).cast("float") <= F.col("_limit"))
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = keep(reached.where("not _whole").repartitionByRange(parts, *group, "term").withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = ranged.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_p")).select(*group, "_part", F.coalesce(F.sum("_p").over(before), F.lit(0)).alias("_first"))
+    within = Window.partitionBy(*group, "_part").orderBy("term")
+    ranked = ranged.withColumn("_within", F.row_number().over(within)).join(firsts, [*group, "_part"])
+    fits = ranked.where((F.col("_before") + (F.col("_first") + F.col("_within")) * F.col("cnt")).cast("float") <= F.col("_limit"))
     columns = [*group, "term", "cnt"]
-    return whole.select(*columns).unionByName(fits.select(*columns))
+    return reached.where("_whole").select(*columns).unionByName(fits.select(*columns))
+
+
+def cut_in_order(counts: DataFrame, key: str, cut: str, order: str) -> DataFrame:
+    """Like cut_by_mass, but terms go in the order that a column gives them, as lists that are sorted already do.
+
+    Ties in that column go in binary order of terms. Running counts are made by ranges of the order: each is summed
+    on its own and begins at the mass of the ranges before it.
+    """
+    percents = CUT_PERCENTS[cut]
+    if percents is None:
+        return counts
+    group = [key, "n"]
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = keep(counts.repartitionByRange(parts, *group, order, "term").withColumn("_part", F.spark_partition_id()))
+    masses = ranged.groupBy(*group, "_part").agg(F.sum("cnt").alias("_mass"))
+    by_part = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    limit = mass_threshold(F.sum("_mass").over(Window.partitionBy(*group)), F.element_at(F.array(*[F.lit(float(p)) for p in percents]), F.col("n")))
+    firsts = masses.select(*group, "_part", F.coalesce(F.sum("_mass").over(by_part), F.lit(0)).alias("_first"), limit.alias("_limit"))
+    within = Window.partitionBy(*group, "_part").orderBy(order, "term").rowsBetween(Window.unboundedPreceding, 0)
+    running = ranged.withColumn("_within", F.sum("cnt").over(within)).join(firsts, [*group, "_part"])
+    return running.where((F.col("_first") + F.col("_within")).cast("float") <= F.col("_limit")).select(*counts.columns)
 
 
 def bags_of_classes(counts: DataFrame, key: str) -> DataFrame:

@@ -69,7 +69,7 @@ def kept(cut: tuple[int, ...], key: str = "lang") -> str:
 
 D1, D2 = (95, 50, 15, 5), (50, 15, 5, 2)
 #: CTEs up to b, the bags of the model, and f, the frequencies of its terms.
-BAGS = f"""{class_counts(2)}, {kept(D1)}, b AS (SELECT lang, term, sum(cnt)::BIGINT AS cnt FROM k GROUP BY ALL),
+BAGS = f"""{class_counts(2)}, {kept(D1)}, b AS MATERIALIZED (SELECT lang, term, sum(cnt)::BIGINT AS cnt FROM k GROUP BY ALL),
 f AS (SELECT term, count(DISTINCT lang) AS df, sum(cnt)::BIGINT AS cf FROM b GROUP BY term),
 lengths AS (SELECT lang, sum(len(ws))::BIGINT AS length FROM w GROUP BY lang),
 classes AS (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL), nc AS (SELECT count(*) AS n_classes FROM classes)"""
@@ -81,11 +81,11 @@ def tfidf(n_classes: str = "(SELECT n_classes FROM nc)") -> str:
 
 
 #: CTE v: the model, without terms that weigh the same in all classes.
-MODEL = f"""{BAGS}, a AS ({tfidf()}),
-u AS (SELECT term FROM a GROUP BY term, (SELECT n_classes FROM nc)
-      HAVING least(min(weight), CASE WHEN count(*) < (SELECT n_classes FROM nc) THEN 0 ELSE min(weight) END)
-           < greatest(max(weight), CASE WHEN count(*) < (SELECT n_classes FROM nc) THEN 0 ELSE max(weight) END)),
-v AS (SELECT a.* FROM a JOIN u ON a.term = u.term)"""
+MODEL = f"""{BAGS}, a AS MATERIALIZED ({tfidf()}),
+u AS (SELECT term FROM a, nc GROUP BY term
+      HAVING least(min(weight), CASE WHEN count(*) < any_value(n_classes) THEN 0 ELSE min(weight) END)
+           < greatest(max(weight), CASE WHEN count(*) < any_value(n_classes) THEN 0 ELSE max(weight) END)),
+v AS MATERIALIZED (SELECT a.* FROM a JOIN u ON a.term = u.term)"""
 #: CTE q: cosines.
 SCORES = f"""{MODEL}, norms AS (SELECT lang, sum((weight * weight)::DOUBLE) AS sq_len FROM v GROUP BY lang),
 {words('documents', 'doc_id').replace('m AS (', 'dm AS (').replace('FROM m', 'FROM dm').replace('x AS (', 'dx AS (', 1).replace('FROM x', 'FROM dx').replace('w AS (', 'dw AS (')},
@@ -114,6 +114,9 @@ ORACLE_SQL: dict[str, str] = {
     "tf_merged": f"WITH {class_counts(2, source="(SELECT lang, text FROM documents UNION ALL SELECT 'en', text FROM benchmark)")} SELECT * FROM c",
     "tf_cut_d1": f"WITH {class_counts(3)}, {kept(D1)} SELECT * FROM k",
     "tf_cut_d2": f"WITH {class_counts(3)}, {kept(D2)} SELECT * FROM k",
+    "tf_cut_in_order": f"""WITH {class_counts(1)}, s AS (
+    SELECT *, sum(cnt) OVER (PARTITION BY lang, n ORDER BY term ROWS UNBOUNDED PRECEDING) AS running, sum(cnt) OVER (PARTITION BY lang, n) AS total FROM c
+) SELECT lang, n, term, cnt FROM s WHERE running::FLOAT <= (total::FLOAT * {D2[0]}::FLOAT)::FLOAT / 100::FLOAT""",
     "class_lengths": f"WITH {words('documents', 'lang')} SELECT lang, sum(len(ws))::BIGINT AS length FROM w GROUP BY lang",
     "average_length": f"WITH {BAGS} SELECT round(avg(length), {DIGITS}) AS average FROM lengths",
     "vocabulary": f"WITH {BAGS} SELECT DISTINCT term FROM b",
@@ -167,4 +170,18 @@ FROM (SELECT DISTINCT term FROM v) t CROSS JOIN ids LEFT JOIN v ON v.term = t.te
     WHERE EXISTS (SELECT 1 FROM e WHERE e.user_id = o.user_id AND us >= o.opened + 600000000)
 ) SELECT o.user_id, make_timestamp(opened) AS opened, count(*) AS requests
 FROM o JOIN e ON e.user_id = o.user_id AND us >= opened AND us < opened + 600000000 GROUP BY ALL""",
+    "request_bans": """WITH RECURSIVE e AS (
+    SELECT user_id::VARCHAR AS key, ts, epoch_us(ts) / 1e6::DOUBLE AS now, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL
+), s AS (
+    SELECT key, ts, now, k, 'admitted' AS outcome, 0::DOUBLE AS wait, 1 AS requests, false AS banned, now AS since, now + 600 AS until FROM e WHERE k = 1
+    UNION ALL
+    SELECT key, ts, now, k, outcome, wait, CASE outcome WHEN 'admitted' THEN CASE WHEN fresh THEN 1 ELSE requests + 1 END WHEN 'banned' THEN requests ELSE 1 END, outcome = 'banned',
+           CASE outcome WHEN 'admitted' THEN CASE WHEN fresh THEN now ELSE since END WHEN 'banned' THEN now ELSE now + wait END,
+           CASE outcome WHEN 'admitted' THEN CASE WHEN fresh THEN now + 600 ELSE until END WHEN 'banned' THEN now + 1200 + 1 ELSE now + wait + 600 END
+    FROM (SELECT *, CASE outcome WHEN 'admitted' THEN 0::DOUBLE WHEN 'banned' THEN 1200::DOUBLE ELSE greatest(1::DOUBLE, remaining) END AS wait
+          FROM (SELECT *, CASE WHEN fresh OR NOT banned AND requests < 3 THEN 'admitted' WHEN remaining > 3 THEN 'banned' ELSE 'waited' END AS outcome
+                FROM (SELECT e.key, e.ts, e.now, e.k, s.requests, s.banned, s.since, s.until, e.now >= s.until AS fresh,
+                             greatest(0::DOUBLE, CASE WHEN s.banned THEN 1200 - (e.now - s.since) ELSE 600 - (e.now - s.since) + 1 END) AS remaining
+                      FROM s JOIN e ON e.key = s.key AND e.k = s.k + 1)))
+) SELECT key, ts AS at, outcome, wait FROM s""",
 }

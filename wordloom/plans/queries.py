@@ -1,7 +1,7 @@
 """The registered queries of the text categoriser, and the DuckDB SQL that gives the same rows.
 
 Documents are the training corpus, their language is the class. URLs are dropped where the name says so
-(tokens_no_urls, classify_report); the detector needs look-around, which DuckDB's expressions lack.
+(tokens_no_urls, classify_report).
 """
 
 from __future__ import annotations
@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from wordloom.functions import tokens as text
 from wordloom.functions.urls import extract_urls
 from wordloom.operators import counts, scoring, weights
-from wordloom.plans.training import Settings, class_ids, classify, train, weigh
+from wordloom.plans.training import Settings, classify, train, weigh
 from wordloom.sources import models
-from wordloom.sources.corpus import with_class_id
-from wordloom.sources.scratch import scratch_folder
+from wordloom.sources.corpus import distinct_classes, with_class_id
+from wordloom.sources.scratch import keep, scratch_folder
+from wordloom.sources.tables import read_table
 from wordloom.streaming.ratelimit import Limits, request_outcomes, request_windows
 
 MODEL = Settings(n_max=2, cut="d1", drop_urls=False)
@@ -25,8 +26,7 @@ NAMES = {0: "German", 1: "English", 2: "Spanish"}
 DIGITS = 6
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+table = read_table
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +71,12 @@ def tf_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.class_counts(documents(spark, sf_dir), "lang", n_max=3, drop_urls=False)
 
 
+def tf_cut_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words in alphabetical order instead of by count."""
+    found = counts.class_counts(documents(spark, sf_dir), "lang", drop_urls=False)
+    return counts.cut_in_order(found, "lang", "d2", "term")
+
+
 def tf_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of two tables, made apart, as one."""
     more = table(spark, sf_dir, "benchmark").withColumn("lang", F.lit("en"))
@@ -79,7 +85,7 @@ def tf_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cut_counts(cut: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: counts.cut_by_mass(tf_by_class(spark, sf_dir), "lang", cut)
+    return lambda spark, sf_dir: counts.cut_by_mass(keep(tf_by_class(spark, sf_dir)), "lang", cut)
 
 
 def class_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,9 +97,9 @@ def average_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bags of which the model is made."""
-    found = counts.class_counts(documents(spark, sf_dir), "lang", n_max=MODEL.n_max, drop_urls=False)
-    return counts.bags_of_classes(counts.cut_by_mass(found, "lang", MODEL.cut), "lang")
+    """The bags of which the model is made; several parts of a plan read them."""
+    found = keep(counts.class_counts(documents(spark, sf_dir), "lang", n_max=MODEL.n_max, drop_urls=False))
+    return keep(counts.bags_of_classes(counts.cut_by_mass(found, "lang", MODEL.cut), "lang"))
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,17 +111,17 @@ def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weights_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = len(class_ids(documents(spark, sf_dir), "lang"))
+    n = len(distinct_classes(documents(spark, sf_dir), "lang"))
     return rounded(weights.tfidf(model_bags(spark, sf_dir), "lang", n), "weight")
 
 
 def weights_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = len(class_ids(documents(spark, sf_dir), "lang"))
+    n = len(distinct_classes(documents(spark, sf_dir), "lang"))
     return rounded(weights.bm25(model_bags(spark, sf_dir), class_lengths(spark, sf_dir), "lang", n), "weight")
 
 
 def weights_r_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(weights.r_tfidf(model_bags(spark, sf_dir), class_ids(documents(spark, sf_dir), "lang"), "lang"), "weight")
+    return rounded(weights.r_tfidf(model_bags(spark, sf_dir), distinct_classes(documents(spark, sf_dir), "lang"), "lang"), "weight")
 
 
 def model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,15 +133,14 @@ def weights_informative(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weights_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(weights.dense(model(spark, sf_dir), class_ids(documents(spark, sf_dir), "lang"), "lang"), "weight")
+    return rounded(weights.dense(model(spark, sf_dir), distinct_classes(documents(spark, sf_dir), "lang"), "lang"), "weight")
 
 
 def weights_by_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 of another class column: the quality label."""
     docs = documents(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
-    found = counts.class_counts(docs, "quality", n_max=1, drop_urls=False)
-    lengths = counts.class_lengths(docs, "quality", drop_urls=False)
-    return rounded(weigh(counts.bags_of_classes(found, "quality"), lengths, class_ids(docs, "quality"), "quality", "bm25"), "weight")
+    found, classes = keep(counts.class_counts(docs, "quality", n_max=1, drop_urls=False)), distinct_classes(docs, "quality")
+    return rounded(weigh(counts.bags_of_classes(found, "quality"), counts.lengths_of(found, classes, "quality"), classes, "quality", "bm25"), "weight")
 
 
 def one_dimension_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,7 +221,7 @@ def percent_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model with class numbers, written as text to the shared folder and read again."""
     docs = with_class_id(documents(spark, sf_dir), "lang")
-    names = class_ids(documents(spark, sf_dir), "lang")
+    names = distinct_classes(documents(spark, sf_dir), "lang")
     path = f"{scratch_folder(spark)}/{models.ModelName('tfidf', 2, 'd1').path('model')}"
     models.write_tsv(train(docs, "class_id", settings=MODEL), path, names)
     return rounded(models.check_unique(models.read_tsv(spark, path, width=len(names))), "weight")
@@ -234,7 +239,7 @@ def request_bans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         classify_report, tokens, tokens_conversations, tokens_benchmark, tokens_no_urls, urls_extract, tf_by_class, tf_merged, class_lengths, average_length,
-        vocabulary, term_frequencies, weights_tfidf, weights_bm25, weights_r_tfidf, weights_informative, weights_dense, weights_by_quality,
+        tf_cut_in_order, vocabulary, term_frequencies, weights_tfidf, weights_bm25, weights_r_tfidf, weights_informative, weights_dense, weights_by_quality,
         one_dimension_tfidf, class_norms, dot_products, cosine_scores, score_report, score_rank, top_class, residual_share, evaluation,
         class_names, json_result, text_preview, percent_text, model_round_trip, request_counts, request_bans)
 } | {"tf_unigram": bags(1), "tf_ngram_2": bags(2), "tf_ngram_3": bags(3), "tf_ngram_4": bags(4), "tf_cut_d1": cut_counts("d1"), "tf_cut_d2": cut_counts("d2")}

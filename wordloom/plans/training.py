@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.operators import counts, scoring, weights
+from wordloom.sources.corpus import distinct_classes
+from wordloom.sources.scratch import keep
 
 
 @dataclass(frozen=True)
@@ -27,14 +29,6 @@ class Settings:
             raise ValueError(f"unknown model settings: {self}")
 
 
-def class_ids(docs: DataFrame, key: str) -> list:
-    """The classes in order; a model has few of them, which is checked."""
-    found = [r[0] for r in docs.select(key).where(F.col(key).isNotNull()).distinct().orderBy(key).limit(10_001).collect()]
-    if len(found) > 10_000:
-        raise ValueError("too many classes for a model")
-    return found
-
-
 def weigh(bags: DataFrame, lengths: DataFrame, classes: list, key: str, method: str) -> DataFrame:
     """(term, key, weight) by any of the methods, without terms that weigh the same in all classes."""
     if method == "tfidf":
@@ -47,11 +41,15 @@ def weigh(bags: DataFrame, lengths: DataFrame, classes: list, key: str, method:
 
 
 def train(docs: DataFrame, key: str, text: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """(term, key, weight) from documents of classes. Rows without a class are left out."""
+    """(term, key, weight) from documents of classes. Rows without a class are left out.
+
+    Texts are read once, for the counts; these, the bags cut from them and the model are kept in the shared folder.
+    """
     docs = docs.where(F.col(key).isNotNull())
-    bags = counts.bags_of_classes(counts.cut_by_mass(counts.class_counts(docs, key, text, settings.n_max, settings.drop_urls), key, settings.cut), key)
-    lengths = counts.class_lengths(docs, key, text, settings.drop_urls)
-    return weigh(bags, lengths, class_ids(docs, key), key, settings.method)
+    classes = distinct_classes(docs, key)
+    counted = keep(counts.class_counts(docs, key, text, settings.n_max, settings.drop_urls))
+    bags = keep(counts.bags_of_classes(counts.cut_by_mass(counted, key, settings.cut), key))
+    return keep(weigh(bags, counts.lengths_of(counted, classes, key), classes, key, settings.method))
 
 
 def grid(methods=weights.METHODS, levels=(1, 2, 3, 4), cuts=tuple(counts.CUT_PERCENTS)) -> list[Settings]:
@@ -59,19 +57,16 @@ def grid(methods=weights.METHODS, levels=(1, 2, 3, 4), cuts=tuple(counts.CUT_PER
 
 
 def train_grid(docs: DataFrame, key: str, text: str = "text", settings: list[Settings] | None = None) -> Iterator[tuple[Settings, DataFrame]]:
-    """A model for each point of the grid; the counts of n-grams are kept once for all of them."""
+    """A model for each point of the grid; the counts of n-grams are made once for all of them, the bags once for each level and cut."""
     settings = settings or grid()
     docs = docs.where(F.col(key).isNotNull())
-    urls = settings[0].drop_urls
-    all_counts = counts.class_counts(docs, key, text, max(s.n_max for s in settings), urls).persist()
-    lengths, classes = counts.class_lengths(docs, key, text, urls).persist(), class_ids(docs, key)
-    try:
-        for s in settings:
-            bags = counts.bags_of_classes(counts.cut_by_mass(all_counts.where(F.col("n") <= s.n_max), key, s.cut), key)
-            yield s, weigh(bags, lengths, classes, key, s.method)
-    finally:
-        all_counts.unpersist()
-        lengths.unpersist()
+    classes = distinct_classes(docs, key)
+    counted = keep(counts.class_counts(docs, key, text, max(s.n_max for s in settings), settings[0].drop_urls))
+    lengths, bags = keep(counts.lengths_of(counted, classes, key)), {}
+    for s in settings:
+        if (s.n_max, s.cut) not in bags:
+            bags[s.n_max, s.cut] = keep(counts.bags_of_classes(counts.cut_by_mass(counted.where(F.col("n") <= s.n_max), key, s.cut), key))
+        yield s, weigh(bags[s.n_max, s.cut], lengths, classes, key, s.method)
 
 
 def classify(docs: DataFrame, model: DataFrame, doc: str, key: str, text: str = "text", settings: Settings = Settings(), names: dict | None = None) -> DataFrame:

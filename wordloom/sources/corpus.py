@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def parse_class_list(text: str) -> list[str]:
@@ -31,8 +31,16 @@ def scan_directory(spark: SparkSession, folder: str, pattern: str = "*.txt") ->
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def distinct_classes(docs: DataFrame, key: str) -> list:
+    """The classes in order; there are few of them, which is checked."""
+    found = [r[0] for r in docs.select(key).where(F.col(key).isNotNull()).distinct().orderBy(key).limit(10_001).collect()]
+    if len(found) > 10_000:
+        raise ValueError("too many classes for a model")
+    return found
+
+
 def with_class_id(docs: DataFrame, class_col: str) -> DataFrame:
-    """Adds class_id: the place of the class among the different ones in order, from 0."""
-    names = docs.select(class_col).where(F.col(class_col).isNotNull()).distinct()
-    numbered = names.withColumn("class_id", F.row_number().over(Window.orderBy(class_col)) - 1)  # classes are few
-    return docs.join(F.broadcast(numbered), class_col) if numbered.count() <= 10_000 else docs.join(numbered, class_col)
+    """Adds class_id: the place of the class among the different ones in order, from 0. Rows without a class are left out."""
+    numbered = docs.sparkSession.createDataFrame([(c, i) for i, c in enumerate(distinct_classes(docs, class_col))],
+                                                 StructType([docs.schema[class_col], StructField("class_id", IntegerType(), False)]))
+    return docs.join(F.broadcast(numbered), class_col)

@@ -5,10 +5,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new name in the shared folder of the cluster; in a temporary folder only where none is set, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="wordloom-")
-    return f"{shared}/wordloom-{uuid.uuid4().hex}"
+    """A new name in the shared folder of the cluster. Where none is set, a temporary folder serves a single machine, as in tests; a cluster raises."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{shared or tempfile.mkdtemp(prefix='wordloom-')}/wordloom-{uuid.uuid4().hex}"
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """The same rows, written to the shared folder and read back: what several parts of a plan read is made once, and a lost executor costs no more than its own part."""
+    path = scratch_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

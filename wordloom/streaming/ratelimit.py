@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -55,33 +56,40 @@ def counted(requests: DataFrame, key: str, at: str, text: str | None) -> DataFra
     return kept.where(F.coalesce(F.col(text), F.lit("")) != EXEMPT) if text else kept
 
 
-def rate_limit(requests: DataFrame, key: str, at: str, text: str | None = None, limits: Limits = Limits(), watermark: str = "1 minute") -> DataFrame:
-    """(key, at, outcome, wait) of each request of a stream, in order of time within a micro-batch. Null keys and times are left out.
+def rate_limit(requests: DataFrame, key: str, at: str, text: str | None = None, limits: Limits = Limits(), idle: float = 3600.0) -> DataFrame:
+    """(key, at, outcome, wait) of each request of a stream, in order of time within a micro-batch. Null keys and times are left out, nothing else is.
+
+    A request that comes late, after later ones of its key in an earlier micro-batch, is judged as if it came with the
+    last of these. The watermark is on the time of arrival, since one on `at` would drop it. A key's entry is forgotten
+    after `idle` seconds of the clock without a request of it, which should exceed limits.interval and limits.ban by far where a stream runs behind its times.
 
     A task holds the times of one key in a micro-batch, eight bytes each: the source's options bound them. A table goes through request_outcomes.
     """
-    kept = counted(requests, key, at, text).select(F.col(key).cast("string").alias("key"), F.col(at).cast("timestamp").alias("at")).withWatermark("at", watermark)
+    kept = counted(requests, key, at, text).select(F.col(key).cast("string").alias("key"), F.col(at).cast("timestamp").alias("at"))
+    kept = kept.withColumn("arrived", F.current_timestamp()).withWatermark("arrived", "1 second")  # of a micro-batch, so that no row is late
 
     def run(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        entry: Entry | None = tuple(state.get) if state.exists else None
+        frames = list(frames)
+        arrived = max(f["arrived"].max().timestamp() for f in frames)
+        *held, last = state.get if state.exists else (-math.inf,)
+        entry: Entry | None = tuple(held) or None
         times = np.sort(np.concatenate([f["at"].to_numpy() for f in frames]))
         for i in range(0, len(times), ROWS):
             rows = []
             for t in map(pd.Timestamp, times[i:i + ROWS]):
-                outcome, wait, entry = step(entry, t.timestamp(), limits)
+                last = max(last, t.timestamp())
+                outcome, wait, entry = step(entry, last, limits)
                 rows.append((group[0], t, outcome, wait))
             yield pd.DataFrame(rows, columns=["key", "at", "outcome", "wait"])
         if entry is not None:
-            state.update(entry)
-            end = int(entry[3] * 1000) + 1
-            if end > state.getCurrentWatermarkMs():
-                state.setTimeoutTimestamp(end)
+            state.update((*entry, last))
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(arrived * 1000)) + 1 + int(idle * 1000))
 
     return kept.groupBy("key").applyInPandasWithState(
-        run, "key string, at timestamp, outcome string, wait double", "count long, banned boolean, start double, until double",
+        run, "key string, at timestamp, outcome string, wait double", "count long, banned boolean, start double, until double, last double",
         "append", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -110,7 +118,7 @@ def request_outcomes(requests: DataFrame, key: str, at: str, text: str | None =
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(outcomes, pa.string()), pa.array(waits, pa.float64())], ["key", "_us", "outcome", "wait"])
 
     rows = in_order(counted(requests, key, at, text), F.col(key).cast("string"), at)
-    return rows.mapInArrow(run, "key string, _us long, outcome string, wait double").select("key", F.timestamp_micros("_us").alias("at"), "outcome", "wait")
+    return rows.mapInArrow(run, "key string, _us long, outcome string, wait double").select("key", F.timestamp_micros("_us").cast(requests.schema[at].dataType).alias("at"), "outcome", "wait")
 
 
 def request_windows(requests: DataFrame, key: str, at: str, limits: Limits = Limits()) -> DataFrame:
