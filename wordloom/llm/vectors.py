@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +38,17 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
+@lru_cache(maxsize=8)
+def projections(dim: int, k: int, tables: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Directions, shifts of the cells, and the factors that mix a table's cells to a key; made once in a worker."""
+    rng = np.random.default_rng([seed, dim])
+    return rng.standard_normal((dim, tables * k)), rng.uniform(0, WIDTH, tables * k), rng.integers(1, 2**62, size=(tables, k)) | 1
+
+
 def bucket_keys(unit: np.ndarray, k: int, tables: int, seed: int) -> np.ndarray:
     """(rows, tables) of 32-bit keys, mixed from the k cells of each table."""
-    rng = np.random.default_rng([seed, unit.shape[1]])
-    directions, shifts = rng.standard_normal((unit.shape[1], tables * k)), rng.uniform(0, WIDTH, tables * k)
+    directions, shifts, odd = projections(unit.shape[1], k, tables, seed)
     cells = np.floor((unit @ directions + shifts) / WIDTH).astype(np.int64).reshape(len(unit), tables, k)
-    odd = rng.integers(1, 2**62, size=(tables, k)) | 1
     mixed = (cells * odd).sum(axis=2)  # wraps around
     return ((mixed ^ (mixed >> 29)) * np.int64(0x5851F42D4C957F2D) >> 32).astype(np.int32)
 
@@ -144,7 +150,7 @@ def block_results(blocks: DataFrame, threshold: float, k: int, tables: int, seed
             for s, e, a, b, same in tiles_of(table, bounds):
                 if s != at:
                     at, unit = s, unit_rows(vectors.slice(s, e - s).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(e - s, -1))
-                    sig = bucket_keys(unit, k, tables, seed)[:, :t[s]]
+                    sig = None
                 links = exact_links(unit[a - s], unit[b - s], threshold)
                 if same:
                     links &= ~np.tri(len(a), dtype=bool)
@@ -152,6 +158,7 @@ def block_results(blocks: DataFrame, threshold: float, k: int, tables: int, seed
                 if len(i):
                     forest.join(a[i], b[j])
                     x, y = a[i], b[j]
+                    sig = bucket_keys(unit, k, tables, seed)[:, :t[s]] if sig is None else sig
                     first = np.ones(len(i), dtype=bool)
                     for before in range(sig.shape[1]):
                         first &= sig[x - s, before] != sig[y - s, before]
