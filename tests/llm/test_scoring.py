@@ -42,6 +42,27 @@ def test_lm_target_joined_by_exchange(spark, sf_dir, monkeypatch):
     assert sent == {tuple(r) for r in queries.op3_lm_scoring(spark, sf_dir).selectExpr("doc_id", "round(score, 9)").collect()}
 
 
+def test_lm_by_teams(spark, sf_dir, monkeypatch):
+    """Teams of blocks give the same scores; their rows are fewer than blocks times ranges."""
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 10_000)
+    monkeypatch.setattr(lm, "RANGE_BYTES", 5_000)
+    plain = {tuple(r) for r in queries.op3_lm_scoring(spark, sf_dir).selectExpr("doc_id", "n_tokens", "round(score, 9)").collect()}
+    asked, plain_requests, rows = [], lm.requests, {}
+    monkeypatch.setattr(lm, "requests", lambda blocks, ranges: (asked.append((blocks.count(), ranges)), plain_requests(blocks, ranges))[1])
+    monkeypatch.setattr(lm, "MOST_ROWS", 0)
+    assert plain == {tuple(r) for r in queries.op3_lm_scoring(spark, sf_dir).selectExpr("doc_id", "n_tokens", "round(score, 9)").collect()}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id as _id", "text as _text", "false as _target")
+    for part in (0.25, 1.0):
+        blocks = lm.gathered(docs.where(f"_id < {part} * 200").coalesce(1))
+        n = blocks.count()
+        ranges = 1 << max(3, (n * 2).bit_length())
+        rows[n] = lm.team_totals(blocks, n, ranges).where("block is not null").count()
+        assert rows[n] <= n * (1 << (ranges.bit_length() - 1) // 2) < n * ranges
+    (few, a), (many, b) = rows.items()
+    assert b / a <= 1.2 * (many / few) ** 1.5
+    assert asked[0][1] < asked[0][0]  # blocks ask wide ranges only
+
+
 def test_packing_of_numbers():
     for numbers in ([0], [1, 2**43, 5], list(range(1000))):
         assert lm.unpacked(lm.packed(lm.np.array(numbers))).tolist() == numbers

@@ -32,7 +32,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Lines end at line feeds. A line goes when a window that covers it occurred before, in this document
     or one with a smaller id; overlapping windows are merged. Texts of fewer lines than a window stay
     whole. A null text counts as empty: one empty line. A null id comes before all others. Rows that
-    repeat id and text are one document and get the same result. An empty table gives an empty result.
+    repeat id and text are one document and get the same result. A very long text is read whole; columns other
+    than the two named are not read. An empty table gives an empty result.
     """
     found = repeated_windows(docs, id_col, text_col, window)
     own = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"), F.coalesce(F.col(text_col), F.lit("")).alias("_all"))

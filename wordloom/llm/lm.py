@@ -2,7 +2,9 @@
 
 Both models share one vocabulary of words and bigrams, which grows with the corpus: no model is held
 by the driver or by one task. Documents are gathered in blocks; each block sends the counts of its own
-n-grams to the ranges they fall in, and gets the counts over all documents back.
+n-grams to the ranges they fall in, and gets the counts over all documents back. Where blocks times ranges
+would be too many rows, blocks send to teams first, by wider ranges, and the teams to the ranges, so that
+no row becomes small: rows then grow with the power 1.5 of the corpus, and bytes in proportion to it.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ GRAM_BITS = 44
 BLOCK_BYTES, RANGE_BYTES = 8 << 20, 16 << 20
 #: Target ids up to this number are sent to all executors; more are joined by an exchange.
 MOST_SENT_IDS = 1_000_000
+#: Rows of blocks and ranges up to which blocks ask the ranges themselves.
+MOST_ROWS = 20_000_000
 SMOOTHING = 100.0
 #: Stands before the first word and after the last one.
 EDGE = b""
@@ -160,14 +164,19 @@ def requests(blocks: DataFrame, ranges: int) -> DataFrame:
     return blocks.mapInArrow(run, "block long, part int, grams binary, in_all binary, in_target binary")
 
 
+def merged(tables: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """Of packed (n-grams, counts, counts in the target): the different n-grams, each one's place there, their counts, and the bounds of the parts."""
+    grams = [np.cumsum(unpacked(g)) for g in tables[0].to_pylist()]
+    union, place = np.unique(np.concatenate(grams), return_inverse=True)
+    sums = [np.bincount(place, np.concatenate([unpacked(x) for x in t.to_pylist()]), len(union)).astype(np.int64) for t in tables[1:]]
+    return union, place, sums, np.cumsum([0, *map(len, grams)])
+
+
 def totals(asked: DataFrame) -> DataFrame:
     """For each block and range the counts over all blocks, in the block's order; once for each range (block null) its words and their counts."""
     def run(range_: pa.Table) -> pa.Table:
-        rows = [[np.cumsum(unpacked(g)) if i == 0 else unpacked(g) for g in range_.column(c).to_pylist()] for i, c in enumerate(("grams", "in_all", "in_target"))]
-        grams, place = np.unique(np.concatenate(rows[0]), return_inverse=True)
-        sums = [np.bincount(place, np.concatenate(x), len(grams)).astype(np.int64) for x in rows[1:]]
-        bounds = np.cumsum([0, *map(len, rows[0])])
-        spans = [place[s:e] for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+        grams, place, sums, bounds = merged([range_.column(c) for c in ("grams", "in_all", "in_target")])
+        spans = [place[s:e] for s, e in pairwise(bounds)]
         words = grams % 2 == 1
         m = len(spans)
         return pa.table([
@@ -180,14 +189,49 @@ def totals(asked: DataFrame) -> DataFrame:
     return asked.groupBy("part").applyInArrow(run, "block long, part int, in_all binary, in_target binary, words long, all long, target long")
 
 
+def team_totals(blocks: DataFrame, n_blocks: int, ranges: int) -> DataFrame:
+    """What totals returns, by wide ranges. Blocks are dealt to teams; a team merges what its blocks ask of a wide range, and asks the ranges in it once."""
+    bits = ranges.bit_length() - 1
+    wide = bits // 2
+    shift = GRAM_BITS - bits
+    teams = -(-n_blocks // (1 << wide))
+    team = F.pmod(F.xxhash64("block"), F.lit(teams)).alias("team")
+    asked = cut(requests(blocks, 1 << wide).select(team, "part", "block", "grams", "in_all", "in_target"))
+
+    def ask(page: pa.Table) -> pa.Table:
+        grams, _, sums, _ = merged([page.column(c) for c in ("grams", "in_all", "in_target")])
+        parts = grams >> shift
+        edges = np.flatnonzero(np.diff(parts, prepend=-1, append=ranges + 1))
+        spans = [slice(s, e) for s, e in pairwise(edges)]
+        return pa.table([
+            pa.array([page.column("team")[0].as_py()] * len(spans), pa.int64()), pa.array(parts[edges[:-1]].astype(np.int32)), pa.array([packed(np.diff(grams[x], prepend=0)) for x in spans], pa.binary()),
+            *[pa.array([packed(c[x]) for x in spans], pa.binary()) for c in sums]], ["block", "part", "grams", "in_all", "in_target"])
+
+    found = cut(totals(asked.groupBy("team", "part").applyInArrow(ask, "block long, part int, grams binary, in_all binary, in_target binary")))
+
+    def answer(page: pa.Table, counts: pa.Table) -> pa.Table:
+        _, place, _, bounds = merged([page.column("grams")])
+        counts = counts.sort_by("range")
+        sums = [np.concatenate(list(map(unpacked, counts.column(c).to_pylist()))) for c in ("in_all", "in_target")]
+        return pa.table([page.column("block"), page.column("part"), *[pa.array([packed(x[place[s:e]]) for s, e in pairwise(bounds)], pa.binary()) for x in sums]],
+                        ["block", "part", "in_all", "in_target"])
+
+    to_teams = found.where("block is not null").select(F.col("block").alias("team"), F.shiftright("part", bits - wide).alias("part"), F.col("part").alias("range"), "in_all", "in_target")
+    answered = (asked.groupBy("team", "part").cogroup(to_teams.groupBy("team", "part"))
+                .applyInArrow(answer, "block long, part int, in_all binary, in_target binary"))
+    return answered.unionByName(found.where("block is null"), allowMissingColumns=True)
+
+
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_tokens, target_loss, background_loss, score (their difference; lower: more like the target).
 
     Words are maximal runs without white space after lower-casing A-Z; the end of a text is predicted
     like a word. The target is the documents whose id is in target_ids (one column); the background is
-    all documents, its counts scaled to the target's size so that smoothing acts alike. A text without words, or
-    a null one, has losses and score zero. A null id is never in the target; repeated rows are
-    counted each. Without a target its model is uniform. An empty table gives an empty result.
+    all documents, its counts scaled to the target's size so that smoothing acts alike. A document's own words are in
+    the models that score it: those of the background always, those of the target if it is of the target, which makes it
+    score lower there than an unseen document would. A text without words, or a null one, has losses and score zero;
+    a very long one is read whole. A null id is never in the target; repeated rows are counted each. Columns other
+    than the two named are not read. Without a target its model is uniform. An empty table gives an empty result.
     """
     ids = target_ids.select(F.col(target_ids.columns[0]).alias("_wl_id")).where("_wl_id is not null").distinct().withColumn("_wl_in", F.lit(True))
     ids = F.broadcast(ids) if ids.count() <= MOST_SENT_IDS else ids.hint("shuffle_hash")
@@ -196,7 +240,8 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
     ranges = 1 << max(3, (size // RANGE_BYTES).bit_length())
     in_target: Column = F.coalesce("_wl_in", F.lit(False)).alias("_target")
     blocks = cut(gathered(own.join(ids, F.col("_id") == F.col("_wl_id"), "left").select("_id", "_text", in_target)))
-    answers = cut(totals(requests(blocks, min(ranges, 1 << 30))))
+    ranges, n_blocks = min(ranges, 1 << 30), blocks.count()
+    answers = cut(totals(requests(blocks, ranges)) if n_blocks * ranges <= MOST_ROWS else team_totals(blocks, n_blocks, ranges))
     sums = answers.where("block is null").agg(*[F.sum(c) for c in ("words", "all", "target")]).first()
     vocabulary, total, target = (int(x or 0) for x in sums)
     scale = target / total if target else 1.0

@@ -138,7 +138,8 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 1024, e
 
     A document is its ids and end_id, so a null or empty text is end_id alone. Documents take planned slots
     by a join on the rank of a piece within its length. Rows that repeat an id, and null ids, are
-    documents of their own. An empty table gives an empty result.
+    documents of their own. A very long text is encoded whole; columns other than the two named are not
+    read. An empty table gives an empty result.
     """
     cuts = cut(pieces(docs, ranks_path, pattern, capacity, end_id, id_col, text_col, keep_ids))
     histogram = {r["length"]: r["n"] for r in cuts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows

@@ -170,7 +170,8 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     """One row per input row: id and ids, array<int>, with an end id and no start id.
 
     A null or empty text is the end id alone. Ids of rows may be null or repeat; each row is encoded on its
-    own, whole. An empty table gives an empty result. A worker raises if the agenda and the library differ on a chunk.
+    own, whole. An empty table gives an empty result. Columns other
+    than the two named are not read. A worker raises if the agenda and the library differ on a chunk.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
