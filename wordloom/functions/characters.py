@@ -14,7 +14,8 @@ NUMBER_MARKS = ";,:./\\-–〃´°"
 KEPT = r"&'\-._­՚՛՝‒-―‘’‛"
 #: What ends a word for good; all punctuation and space after it goes too.
 ENDING = rf"[[\p{{P}}{ENDING_SIGNS}]&&[^{KEPT}]]"
-NUMBER = r"\p{Nd};,:./\\\-–〃´°"
+#: Of the number signs, those that a run may hold; the others end it.
+NUMBER = r"\p{Nd}.\-–´°"
 WORD_CHAR = r"\p{L}\p{Nd}"
 #: What a run of characters between ends and spaces is made of, and what of it is no letter or digit.
 RUN = rf"[[^\p{{P}}{ENDING_SIGNS}{SPACE}]{KEPT}]"

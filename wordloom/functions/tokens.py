@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from wordloom.functions.characters import ENDING, NUMBER, OTHER, RUN, SPACE, SUBSCRIPT, WORD_CHAR, expanding_characters, lower_case_pairs
 from wordloom.functions.urls import without_urls
 
-#: Matches one after the other, the word in the group: what ends a word, with the marks and spaces after it; a number before
-#: a plain space; a run with a word of two characters at least, or of one that is the whole run; any other run.
-WORDS = (rf"{ENDING}[\p{{P}}{SPACE}]*+|[[{NUMBER}]&&{RUN}]++(?= )"
-         rf"|(?:{OTHER}*+(?=[{WORD_CHAR}]{RUN}*?[{WORD_CHAR}])|(?=[{WORD_CHAR}](?!{RUN})))([{WORD_CHAR}](?:{RUN}*[{WORD_CHAR}])?){OTHER}*+(?:{ENDING}[\p{{P}}{SPACE}]*+)?+"
+#: Matches one after the other, each with the spaces or the ending sign, marks and spaces after it, the word in the group: a
+#: number before a plain space; a run with a word of two characters at least, or of one that is the whole run; an ending sign;
+#: any other run. Loops are possessive, and the plain word comes before rarer ones, so that a character is looked at about once.
+LETTER = f"[{WORD_CHAR}]"
+AFTER = rf"(?:[{SPACE}]++|{ENDING}[\p{{P}}{SPACE}]*+)?+"
+WORDS = (rf"[{NUMBER}]++(?= )[{SPACE}]*+"
+         rf"|(?:(?={LETTER}{LETTER})|{OTHER}*+(?={LETTER}{RUN}*?{LETTER})|(?={LETTER}(?!{RUN})))({LETTER}++(?:{OTHER}++{LETTER}++)*+){OTHER}*+{AFTER}"
+         rf"|{ENDING}[\p{{P}}{SPACE}]*+"
          rf"|{RUN}++")
 
 
