@@ -23,25 +23,21 @@ def dot_products(bags: DataFrame, weights: DataFrame, doc: str, key: str) -> Dat
 def cosine_scores(bags: DataFrame, weights: DataFrame, doc: str, key: str) -> DataFrame:
     """(doc, key, cosine) that are numbers other than 0. A text's length counts all its terms, known to the model or not.
 
-    Bags are read once: a term's row meets its weights in all classes, of which there are few, and gives a product
-    for each and one for the text's own length, whose class is null.
+    Bags are read once: a term's row gives a product for each class that weighs it, and counts for the text's own
+    length with the first of these classes, or with none.
     """
-    by_term = weights.groupBy("term").agg(F.collect_list(F.struct(F.col(key).alias("_class"), "weight")).alias("_weights"))
+    first = F.col(key) == F.min(key).over(Window.partitionBy("term"))
+    model = weights.select("term", F.col(key).alias("_class"), "weight", first.alias("_first"))
     cnt = F.col("cnt")
-    own = F.struct(F.lit(None).cast(weights.schema[key].dataType).alias("_class"), (cnt * cnt).cast("double").alias("_x"))
-    products = F.transform("_weights", lambda w: F.struct(w["_class"].alias("_class"), (w["weight"] * cnt.cast("float")).cast("double").alias("_x")))
-    spread = bags.join(by_term, "term", "left").select(doc, F.inline(F.concat(F.array(own), F.coalesce(products, F.array().cast(f"array<{own_type(weights, key)}>")))))
-    sums = spread.groupBy(doc, "_class").agg(F.sum("_x").alias("_x"))
-    text = F.max(F.when(F.col("_class").isNull(), F.col("_x"))).over(Window.partitionBy(doc))
-    dots = sums.withColumn("_text", text).where(F.col("_class").isNotNull()).withColumnsRenamed({"_class": key, "_x": "dot"})
+    sums = bags.join(model, "term", "left").groupBy(doc, "_class").agg(
+        F.sum((F.col("weight") * cnt.cast("float")).cast("double")).alias("dot"),
+        F.sum(F.when(F.coalesce("_first", F.lit(True)), cnt * cnt)).alias("_own"))
+    text = F.sum("_own").over(Window.partitionBy(doc))
+    dots = sums.withColumn("_text", text).where(F.col("_class").isNotNull()).withColumnRenamed("_class", key)
     cosine = F.try_divide(F.col("dot"), F.sqrt(F.col("sq_len") * F.col("_text")))
     return dots.join(class_norms(weights, key), key).select(doc, key, cosine.alias("cosine")).where(F.col("cosine").isNotNull() & ~F.isnan("cosine") & (F.col("cosine") != 0))
 
 
-def own_type(weights: DataFrame, key: str) -> str:
-    return f"struct<_class:{weights.schema[key].dataType.simpleString()},_x:double>"
-
-
 def percents(scores: DataFrame, doc: str) -> DataFrame:
     """Adds percent: a score's share of all scores of the document."""
     total = F.sum("cosine").over(Window.partitionBy(doc))
