@@ -203,11 +203,13 @@ def cosine_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     near = cut(near_rows(pair_blocks(codes, ["dim", "t", "key"], "_rep", CAP), threshold).distinct())
     exact = near.join(classes.select("_rep", "_n", "_v"), "_rep").withColumn("dim", F.size("_v"))
     results = cut(block_results(pair_blocks(exact, ["dim", "t", "key"], "_rep", CAP), threshold, k, tables, seed))
+    edges = results.where("kind = 0").select("a", "b")
     # An id with several vectors is one node, so it links their classes.
-    several = rows.where("_v is not null").groupBy("_id").agg(F.min("_h").alias("_a"), F.max("_h").alias("_b")).where("_a <> _b").select("_id")
-    of_class = rows.join(several, "_id").join(classes.select("_h", "_v", "_rep"), ["_h", "_v"]).select("_id", "_rep")
-    same_id = of_class.join(of_class.groupBy("_id").agg(F.min("_rep").alias("a")), "_id").select("a", F.col("_rep").alias("b"))
-    joined = components(results.where("kind = 0").select("a", "b").unionByName(same_id), "a", "b")
+    several = cut(rows.where("_v is not null").groupBy("_id").agg(F.min("_h").alias("_a"), F.max("_h").alias("_b")).where("_a <> _b").select("_id"))
+    if not several.isEmpty():
+        of_class = rows.join(several, "_id").join(classes.select("_h", "_v", "_rep"), ["_h", "_v"]).select("_id", "_rep")
+        edges = edges.unionByName(of_class.join(of_class.groupBy("_id").agg(F.min("_rep").alias("a")), "_id").select("a", F.col("_rep").alias("b")))
+    joined = components(edges, "a", "b")
     least = joined.join(classes, F.col("node") == F.col("_rep")).groupBy("component").agg(F.min("_least").alias("_component"))
     reached = joined.join(least, "component").select(F.col("node").alias("_rep"), "_component")
     degree = results.where("kind = 1").groupBy(F.col("a").alias("_rep")).agg(F.sum("b").alias("_links"))
