@@ -131,6 +131,16 @@ def test_shards_of_equal_bytes(spark):
     assert max(sizes.values()) - min(sizes.values()) <= 2 * largest and len(sizes) == 16
 
 
+def test_shard_columns_and_groups(spark, sf_dir):
+    """The law is named, there is no grown shard, and equal texts are neighbours: they are in one shard or in adjacent ones."""
+    rows = queries.op10_sharding(spark, sf_dir).collect()
+    assert {(r["law"], r["grown_shard"]) for r in rows} == {("bytes", None)}
+    of_text = {}
+    for r in rows:
+        of_text.setdefault((r["text_crc32"], r["size"]), []).append(r["shard"])
+    assert any(len(x) > 1 for x in of_text.values()) and all(max(x) - min(x) <= 1 for x in of_text.values())
+
+
 def test_hot_text_is_cut(spark):
     """A group of equal texts of over half the bytes goes to several shards."""
     docs = spark.createDataFrame([(i, "same text" if i % 2 else f"text {i}") for i in range(20_000)], "doc_id long, text string")
