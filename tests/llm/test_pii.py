@@ -16,7 +16,7 @@ PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip":
 def valid(kind: str, s: str) -> bool:
     digits = [int(c) for c in s if c in "0123456789"]
     if kind == "ip":
-        return all(int(p) <= 255 for p in s.split("."))
+        return all(re.fullmatch("0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])", p) for p in s.split("."))
     if kind == "card":
         return 16 <= len(digits) <= 19 and sum(d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(digits[::-1])) % 10 == 0
     return kind == "email" or 8 <= len(digits) <= 15
@@ -39,6 +39,27 @@ def test_base_spans_match_the_patterns_on_near_hits(parts):
     assert [s for s in pii.spans(text) if s[0] in PATTERNS] == brute(text)
 
 
+@pytest.mark.parametrize("zeros", [1, 4_298, 4_299, 4_300, 4_301, 1_000_000])
+@pytest.mark.parametrize("place", range(4))
+@pytest.mark.parametrize("end", ["1", "255", "256", ""])
+def test_long_zeros_in_any_part(zeros, place, end):
+    parts = ["1", "2", "3", "4"]
+    parts[place] = "0" * zeros + end
+    text = f"x {'.'.join(parts)} y"
+    got = [s for s in pii.spans(text) if s[0] in PATTERNS]
+    assert zeros > 5_000 or got == brute(text)  # the patterns take quadratic time
+    assert (("ip", 2, len(text) - 2) in got) == (end != "256")
+
+
+def test_long_zeros_through_spark(spark):
+    """A part of more digits than Python turns into a number is found, counted and redacted."""
+    texts = {i: f"a {'.'.join(['0' * n + '7' if k == i % 4 else '1' for k in range(4)])} b" for i, n in enumerate([4_299, 4_301, 5_000, 100_000])}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in pii.pii_digest(docs).collect():
+        assert r["n_ip"] == 1 and f"ip:2:{len(texts[r['doc_id']]) - 2}" in r["spans"]
+    assert {r["text"] for r in pii.redact(docs).collect()} == {"a [IP] b"}
+
+
 def accounts(text: str) -> list[str]:
     return [text[s:e] for k, s, e in pii.spans(text) if k == "account"]
 
@@ -49,6 +70,14 @@ def test_added_spans():
     assert accounts(text) == ["DE89 3704 0044 0532 0130 00", "1234567"]
 
 
+def test_anchors_in_any_case():
+    """A-Z of cues, schemes and numbers count as a-z; letters that become a-z by other rules do not."""
+    assert accounts("iBaN de89 3704 0044 0532 0130 00, Iban gb82west12345698765432") == ["de89 3704 0044 0532 0130 00", "gb82west12345698765432"]
+    text = "HtTp://x.com and hTTPS://Y.org/a, \u017fsh://z.com, İ aCCt 1234567"
+    assert [text[s:e] for k, s, e in pii.spans(text) if k == "url"] == ["HtTp://x.com", "hTTPS://Y.org/a"]
+    assert accounts(text) == ["1234567"] and accounts("PASSPORT c01234567") == ["c01234567"]
+
+
 def test_boundaries_of_identifiers():
     """An international account number is as long as its country says, and its check digits are right."""
     assert accounts("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFF") == ["DE89 3704 0044 0532 0130 00"]

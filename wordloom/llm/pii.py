@@ -34,10 +34,11 @@ REST = re.compile(r"(?::[0-9]{1,5})?(?:[/?#][^\s<>\"']*+)?")
 #: Between a cue and its identifier.
 LEAD = re.compile(r"(?:[ \t]{0,3}(?:no|nr|number|num)\b\.?)?[ \t:#=-]{1,4}", re.IGNORECASE)
 #: An international account number, whole or in groups of four; a social security number; a passport; a plain account number, whole or in groups of up to four digits.
-IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[0-9A-Z]{11,30}|(?:[ -][0-9A-Z]{4}){2,7}(?:[ -][0-9A-Z]{1,3})?)")
+IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[0-9A-Za-z]{11,30}|(?:[ -][0-9A-Za-z]{4}){2,7}(?:[ -][0-9A-Za-z]{1,3})?)")
 SSN = re.compile(r"(?!000|666|9)[0-9]{3}([- ]?)(?!00)[0-9]{2}\1(?!0000)[0-9]{4}(?![0-9A-Za-z])")
-PASSPORT = re.compile(r"[A-Z]{0,2}[0-9]{6,9}(?![0-9A-Za-z])")
+PASSPORT = re.compile(r"[A-Za-z]{0,2}[0-9]{6,9}(?![0-9A-Za-z])")
 ACCOUNT = re.compile(r"(?:[0-9]{6,17}|[0-9]{1,4}(?:[ -][0-9]{2,4}){1,7})(?![0-9A-Za-z])")
+LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 #: Lengths of international account numbers by country.
 IBAN_LENGTHS = {
     "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24,
@@ -49,19 +50,23 @@ IBAN_LENGTHS = {
 
 @cache
 def anchors() -> ahocorasick.Automaton:
+    """What to look for in a text whose A-Z are in lower case."""
     found = ahocorasick.Automaton()
     for sign in ("@", "+", *"0123456789"):
         found.add_word(sign, ("digit" if sign.isdigit() else sign, 1))
     for scheme in SCHEMES:
-        for form in (scheme, scheme.upper(), scheme.capitalize()):
-            found.add_word(f"{form}://", ("scheme", len(form) + 3))
+        found.add_word(f"{scheme}://", ("scheme", len(scheme) + 3))
     for cue in CUES:
-        for form in (cue, cue.upper(), cue.capitalize()):
-            found.add_word(form, ("cue", len(form)))
+        found.add_word(cue, ("cue", len(cue)))
     found.make_automaton()
     return found
 
 
+def lower_ascii(text: str) -> str:
+    """A-Z in lower case; every character stays in its place."""
+    return text.lower() if text.isascii() else text.translate(LOWER)
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(reversed(digits)):
@@ -77,7 +82,7 @@ def only_digits(s: str) -> str:
 def iban(text: str, at: int) -> int | None:
     """End of the account number that begins at `at`: as long as its country's are, with the right check digits."""
     m = IBAN.match(text, at)
-    length = m and IBAN_LENGTHS.get(m[0][:2])
+    length = m and IBAN_LENGTHS.get(m[0][:2].upper())
     if not length:
         return None
     compact, end = "", at
@@ -104,7 +109,7 @@ def spans(text: str) -> list[tuple[str, int, int]]:
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     # Where the search for the next one of a kind goes on.
     after = dict.fromkeys(KINDS, 0)
-    for last, (anchor, size) in anchors().iter(text):
+    for last, (anchor, size) in anchors().iter(lower_ascii(text)):
         at = last - size + 1
         if anchor == "digit":
             if at >= after["card"]:
@@ -118,7 +123,7 @@ def spans(text: str) -> list[tuple[str, int, int]]:
             if at >= after["ip"]:
                 if m := IP.match(text, at):
                     after["ip"] = m.end()
-                    if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+                    if all(len(q := p.lstrip("0")) <= 3 and int(q or "0") <= 255 for p in m[0].split(".")):
                         out["ip"].append(m.span())
                 else:
                     after["ip"] = DIGITS.match(text, at).end()
