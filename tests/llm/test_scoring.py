@@ -110,17 +110,27 @@ def test_toxicity_hard_rows(spark):
 
 
 def test_clean_texts_do_not_become_toxic_by_length(spark):
-    """One clean sentence many times, and up to 5,000 different ones from clean documents of the table."""
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    """One clean sentence many times, and whole clean documents one after the other, up to over 5,000 sentences; none of them is filtered."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.train(docs, labels)
-    words = toxicity.WordWeights(model.weights)
-    score = lambda text: toxicity.document_score(model, [toxicity.sentence_sum(words, x) for x in toxicity.sentences(text)])
+    score = toxicity.Scorer(model).document
     assert [score("This is a plain remark. " * n) for n in (1, 50, 5_000)] == [score("")] * 3 == [pytest.approx(model.leak, abs=1e-12)] * 3
-    clean = [r["text"] or "" for r in docs.join(labels.where("toxic = 0"), "doc_id").select("text").orderBy("doc_id").collect()]
-    # Sentences that the model takes for toxic by themselves are its errors, not an effect of length.
-    own = [x for x in toxicity.sentences(".".join(clean)) if toxicity.sentence_score(model, toxicity.sentence_sum(words, x)) < toxicity.LEAST_SCORE]
-    assert len(own) >= 5_000
-    assert all(score(".".join(own[:n])) <= 1 - (1 - toxicity.MOST_LEAK) * (1 - toxicity.LEAST_SCORE) for n in (1, 10, 100, 1_000, 5_000, len(own)))
+    clean = [r["text"] or "" for r in docs.join(labels.where("toxic = 0"), "doc_id").where(toxicity.held_out(F.col("doc_id"))).select("text").orderBy("doc_id").collect()]
+    alone = [score(t) >= 0.3 for t in clean]
+    assert sum(alone) <= 0.015 * len(clean)
+    for least in (10, 100, 1_000, 5_000):
+        joined, wrong, n = [], [], least
+        for t, bad in zip(clean, alone, strict=True):
+            if n >= least:
+                joined, wrong, n = [*joined, ""], [*wrong, False], 0
+            joined[-1] += f"{t}\n"
+            wrong[-1] |= bad
+            n += len(toxicity.sentences(t))
+        assert len(joined) >= 5
+        # Nearly every text that is called toxic holds a document that is by itself; of the others hardly one is, by its length.
+        found = [score(t) >= 0.3 for t in joined]
+        assert all(x for x, bad in zip(found, wrong, strict=True) if bad)
+        assert sum(found) - sum(wrong) <= 1
 
 
 def test_no_telling_word(spark):
@@ -196,11 +206,33 @@ def test_noisy_or_and_its_gradients():
         assert by_weight[k] == pytest.approx(slope((bias, leak, w + step), (bias, leak, w - step)), abs=1e-6)
     assert by_bias == pytest.approx(slope((bias + h, leak, w), (bias - h, leak, w)), abs=1e-6)
     assert by_leak == pytest.approx(slope((bias, leak + h, w), (bias, leak - h, w)), abs=1e-6)
-    model = toxicity.Model(-4.0, {}, 0.02)
-    high, low = [3.0, 5.0], [0.5, 1.0]
-    clean = 0.98 * math.prod(1 - toxicity.sentence_score(model, x) for x in [*high, 1.0])  # of the low ones the highest
-    assert toxicity.document_score(model, high + low) == pytest.approx(1 - clean)
-    assert toxicity.document_score(model, []) == pytest.approx(0.02)
+    # Scores are the same formula: low sentences add up like high ones.
+    weights = {w: x for w, x in zip("abcdefgh", [3.0, 5.0, 0.5, 1.0, 0.01, 0.02, 0.03, 0.04], strict=True)}
+    scorer = toxicity.Scorer(toxicity.Model(-4.0, weights, 0.02))
+    clean = 0.98 * math.prod((1 - chance(-4.0 + x)) / (1 - chance(-4.0)) for x in weights.values())
+    assert scorer.document(". ".join(weights)) == pytest.approx(1 - clean)
+    assert scorer.document("none. of these!") == scorer.document("") == pytest.approx(0.02)
+    assert toxicity.loss(toxicity.Bags.of([(0, np.arange(8, dtype=np.int32).tobytes(), np.arange(8, dtype=np.int32).tobytes())]), -4.0, -math.log(0.98),
+                         np.array(list(weights.values())), 0.0)[0] == pytest.approx(-math.log(clean))
+    many = toxicity.Scorer(toxicity.Model(-4.0, {f"w{'x' * i}": 1.0 for i in range(100)}, 0.0))
+    assert many.document(". ".join(f"w{'x' * i}" for i in range(100))) > 0.9
+
+
+def test_whole_scores_match_brute_force(spark):
+    """Every document of a table, from its raw text to the score, made again without the operator's functions."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    got = {r["doc_id"]: r for r in toxicity.toxicity_scores(docs, labels).collect()}
+    for r in docs.collect():
+        held = set()
+        for sentence in re.split(r"[.!?\n]", (r["text"] or "").lower()):
+            words = re.findall(r"[^\W\d_]+", sentence)
+            held.add(frozenset(f for w in words for f in [w, *[w[:n] + "*" for n in range(4, 10) if n < len(w)]] if f in model.weights))
+        clean = 1 - model.leak
+        for h in held:
+            clean *= (1 + math.exp(model.bias)) / (1 + math.exp(model.bias + sum(model.weights[f] for f in h)))
+        assert got[r["doc_id"]]["score"] == pytest.approx(1 - clean, abs=1e-9)
+        assert got[r["doc_id"]]["predicted"] == (got[r["doc_id"]]["score"] >= 0.3)
 
 
 def test_sample_is_bounded_in_rows_and_bytes(spark, monkeypatch):
@@ -228,8 +260,11 @@ def test_offending_sentences_at_any_threshold(spark, threshold):
     model = toxicity.Model(-4.0, {"bad": 2.0, "worse": 5.0, "worst": 60.0})
     texts = ["fine", "bad", "worse", "worst", "good", "fine. bad. worse", "good. fine", "", None]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    words = toxicity.WordWeights(model.weights)
+    scorer = toxicity.Scorer(model)
     for r in toxicity.with_toxicity(docs, model, threshold=threshold).collect():
         text = r["text"] or ""
-        assert [tuple(x) for x in r["_offending"]] == toxicity.offending(model, words, text, threshold)
-        assert r["_toxicity"] == toxicity.document_score(model, [toxicity.sentence_sum(words, s) for s in toxicity.sentences(text)])
+        want = [(m.start(), m.end(), scorer.sentence(m[0])) for m in re.finditer(r"[^.!?\n]+", text) if scorer.sentence(m[0]) >= threshold]
+        assert [tuple(x) for x in r["_offending"]] == want
+        assert r["_toxicity"] == scorer.document(text)
+    with pytest.raises(ValueError, match="columns of these names"):
+        toxicity.with_toxicity(docs.withColumnRenamed("id", "_Offending"), model)

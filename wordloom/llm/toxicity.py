@@ -1,9 +1,9 @@
 """Toxicity by multiple-instance learning: a document is toxic if one of its sentences is (noisy-or).
 
 The sentence model is trained from document labels only and then locates offending sentences. A document is
-the set of its different sentences. A sentence with none of the model's words adds nothing, whatever their
-number, so that a text does not become toxic by its length; what no sentence explains falls to one small
-chance a document.
+the set of what its sentences hold of the model's words, in training and in scoring alike: sentences that hold
+the same are one, and one without any adds nothing, whatever their number. What no sentence explains falls to
+one small chance a document. Scores are the noisy-or that is trained, over all of these.
 """
 
 from __future__ import annotations
@@ -45,8 +45,6 @@ def sentences(text: str) -> list[str]:
 MOST_LEAK = 0.05
 #: Log-odds of a sentence without telling words are at most this.
 MOST_BIAS = -4.0
-#: Sentences whose own score is below this do not add up: only the highest of them counts.
-LEAST_SCORE = 0.05
 
 
 @dataclass
@@ -58,19 +56,27 @@ class Model:
     leak: float = 0.0
 
 
-class WordWeights(dict):
-    """Word to the sum of its features' weights; forgets all when it holds too many."""
+class Features(dict):
+    """Word to those of its features that have a number; forgets all when it holds too many words."""
 
-    def __init__(self, weights: dict[str, float]):
+    def __init__(self, numbers: dict[str, int]):
         super().__init__()
-        self.of = weights
+        self.numbers = numbers
 
-    def __missing__(self, word: str) -> float:
+    def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) > 500_000:
             self.clear()
-        out = self[word] = sum(self.of.get(f, 0.0) for f in features(word))
+        out = self[word] = tuple(self.numbers[f] for f in features(word) if f in self.numbers)
         return out
 
+    def held(self, sentence: str) -> frozenset[int]:
+        """What a sentence in lower case holds, each feature once."""
+        return frozenset(f for w in set(WORD.findall(sentence)) for f in self[w])
+
+    def bag(self, text: str) -> list[list[int]]:
+        """The different non-empty sets of features that a text's sentences hold, in order."""
+        return sorted(map(sorted, {h for s in sentences(text) if (h := self.held(s))}))
+
 
 def softplus(z):
     return np.maximum(z, 0.0) + np.log1p(np.exp(-np.abs(z)))
@@ -182,13 +188,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     table = docs.sparkSession.sparkContext.broadcast(number)
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = table.value
+        known = Features(table.value)
         for b in batches:
             fs, ss = [], []
             for text in b.column(0):
-                # Sentences with the same features are one, those with none are left out.
-                own = dict.fromkeys(frozenset(number[f] for w in set(WORD.findall(s)) for f in features(w) if f in number) for s in sentences(text.as_py()))
-                pairs = [(f, k) for k, x in enumerate(sorted(sorted(x) for x in own if x)) for f in x]
+                pairs = [(f, k) for k, x in enumerate(known.bag(text.as_py())) for f in x]
                 fs.append(np.array([p[0] for p in pairs], np.int32).tobytes())
                 ss.append(np.array([p[1] for p in pairs], np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(fs, pa.binary()), pa.array(ss, pa.binary())], ["y", "f", "s"])
@@ -198,52 +202,52 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model(bias, {f: float(weights[i]) for f, i in number.items() if weights[i]}, leak)
 
 
-def sentence_sum(words: WordWeights, sentence: str) -> float:
-    """What the words' weights add up to."""
-    return sum(map(words.__getitem__, set(WORD.findall(sentence))))
-
+class Scorer:
+    """A model made ready for scoring; one for each task."""
 
-def sentence_score(model: Model, total: float) -> float:
-    return float(-np.expm1(-hazards(model.bias, np.array(total))))
+    def __init__(self, model: Model):
+        self.model, self.weights = model, np.array(list(model.weights.values()))
+        self.known = Features({f: i for i, f in enumerate(model.weights)})
 
+    def sentence(self, text: str) -> float:
+        """The score of one sentence."""
+        return self.score_of(self.known.held(text.lower()))
 
-def document_score(model: Model, sums: list[float]) -> float:
-    """Noisy-or: 1 minus the product of the chances of the leak and the different sentences to be clean; of sentences below LEAST_SCORE the highest."""
-    found = hazards(model.bias, np.array([x for x in sums if x > 0.0]))
-    low = found[found < -math.log1p(-LEAST_SCORE)]
-    return float(-np.expm1(math.log1p(-model.leak) - found.sum() + low.sum() - low.max(initial=0.0)))
+    def score_of(self, held: frozenset[int]) -> float:
+        return float(-np.expm1(-hazards(self.model.bias, self.weights[list(held)].sum()))) if held else 0.0
 
+    def document(self, text: str) -> float:
+        """Noisy-or: 1 minus the product of the chances of the leak and of the bag's sentences to be clean."""
+        sums = np.array([self.weights[x].sum() for x in self.known.bag(text)])
+        return float(-np.expm1(math.log1p(-self.model.leak) - hazards(self.model.bias, sums).sum()))
 
-def offending(model: Model, words: WordWeights, text: str, threshold: float) -> list[tuple[int, int, float]]:
-    """(start, end, score) of sentences, in code points of the text, whose own score reaches the threshold."""
-    out = []
-    for m in SENTENCE.finditer(text):
-        p = sentence_score(model, sentence_sum(words, m[0].lower()))
-        if p >= threshold:
-            out.append((m.start(), m.end(), p))
-    return out
+    def offending(self, text: str, threshold: float) -> list[tuple[int, int, float]]:
+        """(start, end, score) of sentences, in code points of the text, whose own score reaches the threshold."""
+        found = ((m.start(), m.end(), self.sentence(m[0])) for m in SENTENCE.finditer(text))
+        return [x for x in found if x[2] >= threshold]
 
 
 def with_toxicity(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3, score_col: str = "_toxicity", offending_col: str = "_offending") -> DataFrame:
     """docs with two more columns: a score from 0 to 1, and an array of (start, end, score), the sentences whose own score reaches the threshold.
 
     A null or empty text, or one without sentences, has the model's leak as its score. Each row is scored on
-    its own, whole, however long; ids are not read. The new columns' names must be free.
+    its own, whole, however long; ids are not read. The new columns' names must be free, else a ValueError is raised.
     """
+    if taken := {score_col.lower(), offending_col.lower()} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs has columns of these names: {sorted(taken)}")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # weights of words of a bounded sample
     at = docs.columns.index(text_col)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        words = WordWeights(model.weights)
+        scorer = Scorer(shared.value)
         for b in batches:
             scores, places = [], []
             for t in b.column(at):
                 text = t.as_py() or ""
-                sums = [sentence_sum(words, s) for s in sentences(text)]
-                scores.append(document_score(model, sums))
-                found = offending(model, words, text, threshold) if sums and sentence_score(model, max(sums)) >= threshold else []
+                scores.append(scorer.document(text))
+                # A sentence's score is at most the document's.
+                found = scorer.offending(text, threshold) if scores[-1] >= threshold else []
                 places.append([dict(zip(("start", "end", "score"), x, strict=True)) for x in found])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64()), pa.array(places, kind)], [*b.schema.names, score_col, offending_col])
 
