@@ -35,6 +35,17 @@ def test_pieces_match_the_library(text):
     assert own.decode(ids) == LIBRARY.decode(ids) == decoded.decode()
 
 
+@pytest.mark.parametrize("text", ["plain words here", "one\nwords", "say (words) now", "a  words", "日本words語", "x ▁▁words"])
+def test_a_wrong_chunk_is_found(monkeypatch, text):
+    """Whatever stands before or after it, a chunk with other ids than the library's ends the task."""
+    own = pieces.MergeVocabulary(MODEL)
+    right = own.merge
+    monkeypatch.setattr(own, "merge", lambda part: [5, *right(part)] if "words" in part else right(part))
+    list(own.encode_batch(["a b c", "x one say (now)"]))
+    with pytest.raises(ValueError, match="the library encodes"):
+        list(own.encode_batch([text]))
+
+
 def test_pieces_hard_rows(spark):
     docs = hard_docs(spark)
     encoded = pieces.encode(docs, MODEL)

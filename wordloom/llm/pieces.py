@@ -104,14 +104,21 @@ class MergeVocabulary:
                     out += [self.bytes[b] for b in s.encode()]
         return out
 
-    def learn(self, chunks: set[str]) -> dict[str, tuple[bytes, bytes]]:
-        """Ids and decoded bytes of new chunks, after comparing the ids with the library's in one call.
+    @cached_property
+    def apart(self) -> str:
+        """A character that no piece holds, so that no merge crosses it."""
+        taken = {c for p in self.ids for c in p}
+        return next(c for c in map(chr, range(1, 0x300)) if c not in taken and not c.isprintable())
+
+    def learn(self, chunks: list[str], new: set[str]) -> dict[str, tuple[bytes, bytes]]:
+        """Ids and decoded bytes of the new ones among a text's chunks, after comparing with the library.
 
         A chunk is cut once more where its characters are never neighbours in a piece, so that a word
-        is merged once, whatever marks surround it.
+        is merged once, whatever marks surround it. What is compared is all between the space marks
+        before and after a new chunk, whatever it holds, in one call.
         """
         pairs, parts_of, merged = self.neighbours, {}, {}
-        for c in chunks:
+        for c in new:
             cuts = [i for i, pair in enumerate(pairwise(c), 1) if pair not in pairs]
             parts = [c[i:j] for i, j in pairwise([0, *cuts, len(c)])] if cuts else [c]
             for p in parts:
@@ -121,15 +128,29 @@ class MergeVocabulary:
         if len(self.parts) > REMEMBERED:
             self.parts.clear()
         self.parts.update((p, x) for p, x in merged.items() if len(p) <= REMEMBERED_CHARS)
-        # The library adds the first space mark itself; at the next chunks' marks no merge crosses.
-        leading = [c for c in parts_of if c[0] == SPACE and c[-1] != SPACE]
-        if leading and self.library.encode("".join(leading)[1:]) != [i for c in leading for i in parts_of[c]]:
-            for c in leading:
-                if (theirs := self.library.encode(c[1:])) != parts_of[c]:
-                    raise ValueError(f"the library encodes {c!r} as {theirs}, not {parts_of[c]}")
-            raise ValueError("the library merges across chunks")
         shown, decoded = self.shown, self.decoded
-        return {c: (b" ".join([shown[i] for i in x]), b"".join([decoded[i] for i in x])) for c, x in parts_of.items()}
+        learnt = {c: (b" ".join([shown[i] for i in x]), b"".join([decoded[i] for i in x])) for c, x in parts_of.items()}
+        self.compare(chunks, new, learnt)
+        return learnt
+
+    def compare(self, chunks: list[str], new: set[str], learnt: dict[str, tuple[bytes, bytes]]) -> None:
+        """Raises if the library gives other ids to a stretch between space marks that holds a new chunk. No merge crosses into a space mark."""
+        stretches, end = {}, 0
+        for i in [i for i, c in enumerate(chunks) if c in new]:
+            if i >= end:
+                first, end = i, i + 1
+                while chunks[first][0] != SPACE:
+                    first -= 1
+                while end < len(chunks) and chunks[end][0] != SPACE:
+                    end += 1
+                stretches["".join(chunks[first:end])] = b" ".join([(learnt.get(c) or self.known[c])[0] for c in chunks[first:end]])
+        between = b" ".join([self.shown[self.bytes[b]] for b in self.apart.encode()])
+        # The library adds the first space mark itself.
+        if b" ".join(map(self.shown.__getitem__, self.library.encode(self.apart.join(stretches)[1:]))) != (b" %b " % between).join(stretches.values()):
+            for s, own in stretches.items():
+                if (theirs := self.library.encode(s[1:])) != list(map(int, own.split())):
+                    raise ValueError(f"the library encodes {s!r} as {theirs}, not {own.decode()}")
+            raise ValueError("the library merges across space marks")
 
     def split(self, text: str) -> list[str]:
         return self.chunks.findall(SPACE + text.replace(" ", SPACE)) if text else []
@@ -142,10 +163,10 @@ class MergeVocabulary:
             new = set(chunks).difference(self.known)
             long = {}
             if new:
-                learnt = self.learn(new)
                 if len(self.known) > REMEMBERED:
                     self.known.clear()
-                    learnt |= self.learn(set(chunks).difference(learnt))
+                    new = set(chunks)
+                learnt = self.learn(chunks, new)
                 long = {c: x for c, x in learnt.items() if len(c) > REMEMBERED_CHARS}
                 self.known.update((c, x) for c, x in learnt.items() if c not in long)
             found = [self.known.get(c) or long[c] for c in chunks] if long else list(map(self.known.__getitem__, chunks))
@@ -171,7 +192,8 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     A null or empty text is the end id alone. Ids of rows may be null or repeat; each row is encoded on its
     own, whole. An empty table gives an empty result. Columns other
-    than the two named are not read. A worker raises if the agenda and the library differ on a chunk.
+    than the two named are not read. A worker compares all between two spaces with the library where it holds a
+    chunk that the worker has not met, and raises if the two differ.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
