@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import exact_dedup, line_dedup, lm, packing, pieces, pii, quality, shards, simhash, toxicity, vectors
+from wordloom.llm import exact_dedup, line_dedup, lm, packing, pieces, pii, quality, shards, simhash, toxicity, vectors, whitening
 from wordloom.sources.tables import read_table
 
 
@@ -56,13 +56,17 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
 def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_lm_scoring, op4_line_dedup, op5_toxicity, op6_sentencepiece,
-                            op7_embedding_dedup, op8_packing, op9_simhash, op10_sharding, op12_quality)}
+                            op7_embedding_dedup, op8_packing, op9_simhash, op10_sharding, op11_whitening, op12_quality)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": """
