@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import exact_dedup, line_dedup, lm, packing, pieces, pii, quality, shards, simhash, toxicity, vectors, whitening
+from wordloom.llm import conversations, exact_dedup, line_dedup, lm, packing, pieces, pii, quality, shards, simhash, toxicity, vectors, whitening
 from wordloom.sources.tables import read_table
 
 
@@ -64,9 +64,13 @@ def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_lm_scoring, op4_line_dedup, op5_toxicity, op6_sentencepiece,
-                            op7_embedding_dedup, op8_packing, op9_simhash, op10_sharding, op11_whitening, op12_quality)}
+                            op7_embedding_dedup, op8_packing, op9_simhash, op10_sharding, op11_whitening, op12_quality, op13_conversations)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": """
