@@ -3,7 +3,7 @@
 Dots and colons are looked at from left to right. What a URL may reach is bounded by breaks: white space,
 punctuation that is not ASCII, and NUL, which ends a text. Expressions cannot tell where the next dot or colon
 is looked for, which depends on what became of the one before, so that this is a function on Arrow batches;
-its time is linear in the text.
+its time is linear in the text. Texts in which nothing can make a URL are told by an expression and stay on the JVM.
 """
 
 from __future__ import annotations
@@ -14,14 +14,19 @@ from collections.abc import Iterable
 from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Generic top-level domains, and country domains that are no country codes today.
-GENERIC_DOMAINS = ("aero asia biz cat com coop edu gov info int jobs mil mobi museum name nato net org pro tel travel "
-                   "ac an eu su tp uk yu ру рф нет орг ком").split()
-#: Codes of countries that are not among the domains.
-LATER_COUNTRIES = "ax bl bq cw me mf rs ss sx tl".split()
+#: The known top-level domains.
+TOP_LEVEL_DOMAINS = (
+    "ac ad ae aero af ag ai al am an ao aq ar as asia at au aw az ba bb bd be bf bg bh bi biz bj bm bn bo br bs bt bv bw by bz ca cat cc cd cf cg ch "
+    "ci ck cl cm cn co com coop cr cu cv cx cy cz de dj dk dm do dz ec edu ee eg eh er es et eu fi fj fk fm fo fr ga gb gd ge gf gg gh gi gl gm gn "
+    "gov gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in info int io iq ir is it je jm jo jobs jp ke kg kh ki km kn kp kr kw ky kz la lb lc "
+    "li lk lr ls lt lu lv ly ma mc md mg mh mil mk ml mm mn mo mobi mp mq mr ms mt mu museum mv mw mx my mz na name nato nc ne net nf ng ni nl no np "
+    "nr nu nz om org pa pe pf pg ph pk pl pm pn pr pro ps pt pw py qa re ro ru rw sa sb sc sd se sg sh si sj sk sl sm sn so sr st su sv sy sz tc td "
+    "tel tf tg th tj tk tm tn to tp tr travel tt tv tw tz ua ug uk um us uy uz va vc ve vg vi vn vu wf ws ye yt yu za zm zw "
+    "ру рф нет орг ком"
+).split()
 #: Schemes that can be told by letters and hyphens alone.
 SCHEMES = ("javascript jdbc acap adiumxtra attachment bitcoin chrome chrome-extension com-eventbrite-attendee cvs dns facetime file "
            "finger fish gizmoproject gopher http https iax imap irc ircs jabber jar ldap mailto mms ms-help ms-settings-power snews "
@@ -32,12 +37,6 @@ SCHEME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz-"
 SPAN = "array<struct<value:string,start:int,length:int>>"
 
 
-def top_level_domains() -> frozenset[str]:
-    """The generic domains and two-letter codes of countries (as the JVM knows them), in upper case."""
-    countries = {str(c).lower() for c in SparkSession.active()._jvm.java.util.Locale.getISOCountries()}
-    return frozenset(d.upper() for d in countries.difference(LATER_COUNTRIES).union(GENERIC_DOMAINS))
-
-
 @cache
 def punctuation() -> frozenset[str]:
     return frozenset(c for c in map(chr, range(0x10000)) if unicodedata.category(c)[0] == "P")
@@ -135,7 +134,18 @@ class Detector:
 
 
 def detector(domains: Iterable[str] | None, schemes: Iterable[str] | None) -> Detector:
-    return Detector(top_level_domains() if domains is None else domains, SCHEMES if schemes is None else schemes)
+    return Detector(TOP_LEVEL_DOMAINS if domains is None else domains, SCHEMES if schemes is None else schemes)
+
+
+def candidates(text: Column, find: Detector) -> Column:
+    """The text where a dot or colon in it may make a URL, null elsewhere: only such texts are handed to Python.
+
+    A dot needs `www` before it or a known domain after it, a colon a known scheme before it.
+    """
+    one_of = lambda words: "|".join(map(re.escape, sorted(words))) or r"\P{Any}"
+    dot = rf"\.(?:(?<=[Ww]{{3}}\.)|(?iu:{one_of(find.domains)})(?![\p{{L}}&&[^\x{{10000}}-\x{{10FFFF}}]]))"
+    colon = rf":(?<=(?<![A-Za-z-])(?i:{one_of(find.schemes)}):)"
+    return F.when((F.contains(text, F.lit(".")) & text.rlike(dot)) | (F.contains(text, F.lit(":")) & text.rlike(colon)), text)
 
 
 def as_structs(texts: list[str], spans: list[list[tuple[int, int]]]) -> list[list[dict]]:
@@ -152,7 +162,7 @@ def extract_urls(text: Column, domains: Iterable[str] | None = None, schemes: It
         kind = pa.list_(pa.struct([("value", pa.string()), ("start", pa.int32()), ("length", pa.int32())]))
         return pa.array(as_structs(texts, list(map(find.spans, texts))), kind)
 
-    return urls(text)
+    return urls(candidates(text, find))
 
 
 def url_at(text: Column, position: Column, domains: Iterable[str] | None = None, schemes: Iterable[str] | None = None) -> Column:
@@ -186,4 +196,4 @@ def without_urls(text: Column, domains: Iterable[str] | None = None, schemes: It
     def rest(column: pa.Array) -> pa.Array:
         return pa.array([None if t is None else replaced(find, t) for t in column.to_pylist()], pa.string())
 
-    return rest(text)
+    return F.coalesce(rest(candidates(text, find)), text)

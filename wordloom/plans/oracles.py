@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from wordloom.functions.characters import ENDING_SIGNS, KEPT_MARKS
+from wordloom.functions.urls import SCHEMES, TOP_LEVEL_DOMAINS
 
 #: Marks that do not end a word take private characters while what ends one is looked for.
 STAND_INS = "".join(chr(0xE000 + i) for i in range(len(KEPT_MARKS)))
@@ -33,6 +34,51 @@ def words(source: str, *keys: str) -> str:
 )"""
 
 
+#: Characters that a URL may reach over, and punctuation but the slash.
+REACHED = r"(?:[^\p{Z}\p{P}\t-\r\x{85}]|[!-#%-*,-/:;?@\[-\]_{}])"
+MARKS = r"[^\P{P}/]"
+
+
+def urls(source: str, key: str, text: str) -> str:
+    """CTEs up to found: (key, t, s, e), the URLs of each text from 0, the end not included.
+
+    What each dot or colon makes and where the search goes on after it depends on its surroundings only; a walk over
+    these pointers from the first one tells which of them are looked at.
+    """
+    domain = "(?:" + "|".join(sorted(TOP_LEVEL_DOMAINS, key=len, reverse=True)) + ")"
+    schemes = "[" + ", ".join(quoted(s) for s in SCHEMES) + "]"
+    return f"""tx AS (SELECT {key}, coalesce({text}, '') AS t0, split_part(coalesce({text}, ''), chr(0), 1) AS t FROM {source}),
+tr AS (SELECT {key}, t, pos - 1 AS pos FROM (SELECT {key}, t, unnest([i FOR c, i IN string_split(t, '') IF c = '.' OR c = ':']) AS pos FROM tx)),
+st AS (SELECT *, substr(t, pos + 1, 1) AS sign, substr(t, 1, pos) AS bef, substr(t, pos + 2) AS aft FROM tr),
+ch AS (SELECT *, pos - length(regexp_extract(bef, {quoted(REACHED + "*$")})) AS beg, pos + 1 + length(regexp_extract(aft, {quoted("^" + REACHED + "*")})) AS stop FROM st),
+ed AS (SELECT *, beg + length(regexp_extract(substr(t, beg + 1, stop - beg), {quoted("^" + MARKS + "*")})) AS lo,
+       stop - 1 - length(regexp_extract(substr(t, beg + 1, stop - beg), {quoted(MARKS + "*$")})) AS hi,
+       regexp_extract(aft, {quoted(rf"^((?i:(?:{domain}\.)*{domain}))(?:\P{{L}}|$)")}, 1) AS dom, regexp_extract(bef, '[A-Za-z-]*$') AS sch FROM ch),
+ow AS (SELECT *, CASE WHEN contains(dom, '.') THEN pos + 1 + length(dom) - 1 - strpos(reverse(dom), '.') + 1 ELSE pos END AS own, pos + 1 + length(dom) AS past FROM ed),
+kind AS (SELECT *, CASE
+    WHEN sign = '.' AND upper(right(bef, 3)) = 'WWW' THEN 'www'
+    WHEN sign = '.' AND (dom = '' OR regexp_matches(dom, '[ıſ]')) THEN 'skip'
+    WHEN sign = '.' AND lo >= own THEN 'none'
+    WHEN sign = '.' THEN 'domain'
+    WHEN length(sch) NOT BETWEEN 1 AND {max(map(len, SCHEMES)) + 1} THEN 'none'
+    WHEN NOT list_contains({schemes}, lower(sch)) THEN 'skip' ELSE 'scheme' END AS kind FROM ow),
+sp AS (SELECT {key}, t, pos, kind, CASE kind WHEN 'www' THEN pos - 3 WHEN 'domain' THEN lo ELSE pos - length(sch) END AS s,
+       CASE WHEN kind = 'domain' AND substr(t, past + 1, 1) NOT IN ('/', '\\') THEN past WHEN kind = 'domain' THEN hi + 1 ELSE greatest(hi, pos) + 1 END AS e FROM kind),
+go AS (SELECT *, CASE kind WHEN 'none' THEN pos + 1 WHEN 'skip' THEN pos + 2 ELSE e + 1 END AS on_from FROM sp),
+nx AS (SELECT go.*, n.pos AS following FROM go ASOF LEFT JOIN (SELECT {key}, pos FROM tr) n ON go.{key} = n.{key} AND go.on_from <= n.pos),
+walk AS (SELECT {key}, min(pos) AS pos FROM tr GROUP BY {key} UNION ALL SELECT nx.{key}, nx.following FROM walk JOIN nx ON walk.{key} = nx.{key} AND walk.pos = nx.pos WHERE nx.following IS NOT NULL),
+found AS (SELECT nx.{key}, nx.t, nx.pos, nx.s, nx.e FROM walk JOIN nx ON walk.{key} = nx.{key} AND walk.pos = nx.pos WHERE nx.kind NOT IN ('none', 'skip'))"""
+
+
+def without_urls(source: str, key: str, *more: str) -> str:
+    """CTEs up to clean: the key, further columns and text with a line feed for each URL, overlapping ones together."""
+    columns = "".join(f", d.{c}" for c in more)
+    return f"""{urls(source, key, 'text')},
+runs AS (SELECT *, coalesce(max(e) OVER (PARTITION BY {key} ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM found),
+kept_parts AS (SELECT {key}, string_agg(substr(t, done + 1, s - done) || chr(10), '' ORDER BY s, e) FILTER (s >= done) AS head, max(e) AS last FROM runs GROUP BY {key}),
+clean AS (SELECT d.{key}{columns}, CASE WHEN p.last IS NULL THEN d.text ELSE p.head || substr(d.text, p.last + 1) END AS text FROM {source} d LEFT JOIN kept_parts p ON d.{key} = p.{key})"""
+
+
 def ngrams(n: int) -> str:
     """The n-grams of ws."""
     return f"(CASE WHEN len(ws) >= {n} THEN [array_to_string(ws[i:i + {n - 1}], ' ') FOR i IN range(1, len(ws) - {n} + 2)] ELSE [] END)" if n > 1 else "ws"
@@ -105,7 +151,14 @@ def out(column: str) -> str:
 
 PLACES = f"WITH {SCORES}, p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, lang)::INTEGER AS place FROM q)"
 
+#: CTE r for trigrams of texts without URLs.
+CLEAN_SHARES = (SHARES.replace(class_counts(2), class_counts(3, source="clean")).replace(levels("doc_id", n_max=2, source="dw"), levels("doc_id", n_max=3, source="dw"))
+                .replace("FROM documents\n), dx", "FROM clean\n), dx"))
+
 ORACLE_SQL: dict[str, str] = {
+    "urls_extract": f"WITH RECURSIVE {urls('pages', 'page_id', 'html')} SELECT page_id, substr(t, s + 1, e - s) AS value, s::INTEGER AS start, (e - s)::INTEGER AS length FROM found",
+    "tokens_no_urls": f"WITH RECURSIVE {without_urls('documents', 'doc_id')}, {words('clean', 'doc_id')} SELECT doc_id, unnest(range(len(ws)))::INTEGER AS pos, unnest(ws) AS word FROM w",
+    "classify_report": f"WITH RECURSIVE {without_urls('documents', 'doc_id', 'lang')}, {CLEAN_SHARES} SELECT doc_id, lang, {out('cosine')}, {out('percent')} FROM r WHERE percent >= 10",
     "tokens": positions("documents", "doc_id"),
     "tokens_conversations": positions("conversations", "conv_id", "turn"),
     "tokens_benchmark": positions("benchmark", "item_id"),
