@@ -1,3 +1,4 @@
+import os
 import re
 import time
 from collections import Counter
@@ -11,7 +12,7 @@ from wordloom.plans import queries
 from wordloom.plans.training import Settings, classify, grid, train, train_grid
 from wordloom.sources import corpus, models, scratch, tables
 from wordloom.streaming.classify import classify_stream
-from wordloom.streaming.ratelimit import Limits, rate_limit, request_outcomes, request_windows, step
+from wordloom.streaming.ratelimit import Limits, in_blocks, rate_limit, request_outcomes, request_windows, step
 
 PLAIN = Settings(n_max=1, cut="d0")
 
@@ -100,7 +101,7 @@ def test_classify_with_urls_dropped(spark, sf_dir):
     from tests.test_text import spec, twin
     from wordloom.functions import urls
 
-    domains, schemes = urls.top_level_domains(), {x.upper() for x in urls.SCHEMES}
+    domains, schemes = ({x.upper() for x in v} for v in (urls.TOP_LEVEL_DOMAINS, urls.SCHEMES))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 2 = 0")
     by_doc, by_class = {}, {}
     for r in docs.collect():
@@ -268,6 +269,42 @@ def test_request_bans_match_plain_python(spark, sf_dir):
     assert Counter(map(tuple, got.collect())) == want and {k[2] for k in want} == {"admitted", "banned", "waited"}
 
 
+def test_one_key_in_all_blocks(spark):
+    """A dense key with bursts, rests and ties lies in every block: windows longer than a block and shorter ones, bans that go on across blocks."""
+    rng = np.random.default_rng(3)
+    steps = np.where(rng.random(40_000) < 0.001, 200_000_000, rng.integers(0, 1_500_000, 40_000) * (rng.random(40_000) < 0.7))
+    us = 1_600_000_000_000_000 + np.cumsum(steps)
+    requests = spark.createDataFrame([(None if i % 9_999 == 0 else "k", int(t)) for i, t in enumerate(rng.permutation(us))], "k string, us long").select("k", F.timestamp_micros("us").alias("t"))
+    kept = sorted(r["us"] for r in requests.where("k is not null").select(F.unix_micros("t").alias("us")).collect())
+    for limits in (Limits(10.0, 3, 120.0), Limits(3_600.0, 100, 30.0), Limits(1_000_000.0, 2, 5.0), Limits(0.5, 1, 2.0)):
+        blocks = in_blocks(requests.where("k is not null"), F.col("k"), "t")
+        assert blocks.select("_block").distinct().count() == 8
+        want, opened = Counter(), None
+        for t in kept:
+            opened = t if opened is None or t >= opened + round(limits.interval * 1e6) else opened
+            want[opened] += 1
+        assert {r["us"]: r["requests"] for r in request_windows(requests, "k", "t", limits).withColumn("us", F.unix_micros("opened")).collect()} == want
+        got = request_outcomes(requests, "k", "t", limits=limits).select(F.unix_micros("at").alias("us"), "outcome", "wait").collect()
+        told = plain_outcomes([t / 1e6 for t in kept], limits)
+        assert Counter(map(tuple, got)) == Counter((t, *o) for t, o in zip(kept, told, strict=True))
+
+
+def test_idle_has_to_exceed_the_ban(spark):
+    requests = spark.createDataFrame([], "k string, t timestamp")
+    for limits, idle in ((Limits(ban=7_200.0), 3_600.0), (Limits(interval=600.0), 600.0)):
+        with pytest.raises(ValueError, match="idle"):
+            rate_limit(requests, "k", "t", limits=limits, idle=idle)
+
+
+def test_kept_tables_can_be_dropped(spark):
+    before = len(scratch.KEPT.get(spark.sparkContext.applicationId, []))
+    table = scratch.keep(spark.range(5))
+    path = scratch.KEPT[spark.sparkContext.applicationId][-1]
+    assert table.count() == 5 and os.path.isdir(path)
+    assert scratch.forget(spark, since=before) == 1 and not os.path.exists(path)
+    assert len(scratch.KEPT[spark.sparkContext.applicationId]) == before
+
+
 def test_late_requests_are_judged_too(spark, tmp_path):
     """Files in mixed order, each a micro-batch: every request comes out once, the late ones by their key's entry of then."""
     files = [[100, 101, 102, 103], [500, 501], [90, 91, 92, 502], [10, 600, 100]]
