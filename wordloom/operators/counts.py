@@ -7,21 +7,39 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wordloom.functions.tokens import ngrams, terms, tokenize
+from wordloom.functions.urls import without_urls
 from wordloom.sources.scratch import keep
 
 #: Percent of each n-gram level's mass that is kept, for n = 1 to 4; None keeps all.
 CUT_PERCENTS: dict[str, tuple[float, ...] | None] = {"d0": None, "d1": (95, 50, 15, 5), "d2": (50, 15, 5, 2)}
 
 
+def each(rows: DataFrame, array: Column, name: str) -> DataFrame:
+    """A row for each element of an array. The outer form keeps the optimiser from testing first, by making the array once more below, whether it is empty."""
+    return rows.select("*", F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
+def each_with_place(rows: DataFrame, array: str) -> DataFrame:
+    """The same with the place, as pos and word, in the array's stead."""
+    kept = [c for c in rows.columns if c != array]
+    return rows.select(*kept, F.posexplode_outer(array).alias("pos", "word")).where(F.col("word").isNotNull())
+
+
 def token_table(docs: DataFrame, key: str, text: str = "text", drop_urls: bool = True) -> DataFrame:
     """(key, pos, word): the words of each row in order."""
-    return docs.select(key, F.posexplode(tokenize(F.col(text), drop_urls)).alias("pos", "word"))
+    return each_with_place(docs.select(key, tokenize(F.col(text), drop_urls).alias("_words")), "_words")
 
 
 def document_bags(docs: DataFrame, key: str, text: str = "text", n_max: int = 1, drop_urls: bool = True) -> DataFrame:
-    """(key, term, cnt): words and n-grams up to n_max of each document in one bag."""
-    words = docs.select(key, tokenize(F.col(text), drop_urls).alias("_words"))  # a column of its own, so that each text is split once
-    return (words.select(key, F.explode(terms(F.col("_words"), n_max)).alias("term"))
+    """(key, term, cnt): words and n-grams up to n_max of each document in one bag.
+
+    Texts are dealt out by document before they are cut, so that the many n-grams made of them are counted where they are
+    and exchanged no more: neither here nor where they are joined with a model that is broadcast, or summed by document.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    plain = without_urls(F.col(text)) if drop_urls else F.col(text)  # before they are dealt: what follows is on the JVM, which keeps the dealing
+    words = docs.select(key, plain.alias("_text")).repartition(parts, key).select(key, tokenize(F.col("_text"), False).alias("_words"))  # a column of its own, so that each text is split once
+    return (each(words, terms(F.col("_words"), n_max), "term")
             .groupBy(key, "term").agg(F.count(F.lit(1)).alias("cnt")))
 
 
@@ -29,7 +47,7 @@ def class_counts(docs: DataFrame, key: str, text: str = "text", n_max: int = 1,
     """(key, n, term, cnt) of each class; n-grams do not cross documents."""
     words = docs.select(key, tokenize(F.col(text), drop_urls).alias("_words"))
     levels = F.array(*[F.struct(F.lit(n).alias("n"), ngrams(F.col("_words"), n).alias("terms")) for n in range(1, n_max + 1)])
-    return (words.select(key, F.explode(levels).alias("_level")).select(key, "_level.n", F.explode("_level.terms").alias("term"))
+    return (each(each(words, levels, "_level").select(key, "_level"), F.col("_level.terms"), "term").select(key, "_level.n", "term")
             .groupBy(key, "n", "term").agg(F.count(F.lit(1)).alias("cnt")))
 
 

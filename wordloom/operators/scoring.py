@@ -8,6 +8,14 @@ from pyspark.sql.window import Window
 
 from wordloom.functions.tokens import class_label
 
+#: Models of up to so many weights are broadcast, some 200 MB; larger ones are joined by an exchange.
+MOST_SENT = 2_000_000
+
+
+def sent(weights: DataFrame) -> DataFrame:
+    """The weights, marked for a broadcast if they are few enough. A stored model is counted from its files' footers."""
+    return F.broadcast(weights) if weights.count() <= MOST_SENT else weights
+
 
 def class_norms(weights: DataFrame, key: str) -> DataFrame:
     """(key, sq_len): squared length of each class's vector; products in single, the sum in double precision."""
@@ -15,9 +23,9 @@ def class_norms(weights: DataFrame, key: str) -> DataFrame:
 
 
 def dot_products(bags: DataFrame, weights: DataFrame, doc: str, key: str) -> DataFrame:
-    """(doc, key, dot) for documents that share a term with the model."""
+    """(doc, key, dot) for documents that share a term with the model. Only the model moves if it is small enough to be sent to all tasks."""
     product = (F.col("weight") * F.col("cnt").cast("float")).cast("double")
-    return bags.join(weights, "term").groupBy(doc, key).agg(F.sum(product).alias("dot"))
+    return bags.join(sent(weights), "term").groupBy(doc, key).agg(F.sum(product).alias("dot"))
 
 
 def cosine_scores(bags: DataFrame, weights: DataFrame, doc: str, key: str) -> DataFrame:
@@ -35,7 +43,7 @@ def cosine_scores(bags: DataFrame, weights: DataFrame, doc: str, key: str) -> Da
     text = F.sum("_own").over(Window.partitionBy(doc))
     dots = sums.withColumn("_text", text).where(F.col("_class").isNotNull()).withColumnRenamed("_class", key)
     cosine = F.try_divide(F.col("dot"), F.sqrt(F.col("sq_len") * F.col("_text")))
-    return dots.join(class_norms(weights, key), key).select(doc, key, cosine.alias("cosine")).where(F.col("cosine").isNotNull() & ~F.isnan("cosine") & (F.col("cosine") != 0))
+    return dots.join(F.broadcast(class_norms(weights, key)), key).select(doc, key, cosine.alias("cosine")).where(F.col("cosine").isNotNull() & ~F.isnan("cosine") & (F.col("cosine") != 0))
 
 
 def percents(scores: DataFrame, doc: str) -> DataFrame:

@@ -39,7 +39,7 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def words_of(docs: DataFrame, *keys: str, drop_urls: bool = False) -> DataFrame:
-    return docs.select(*keys, F.posexplode(text.tokenize(F.col("text"), drop_urls)).alias("pos", "word"))
+    return counts.each_with_place(docs.select(*keys, text.tokenize(F.col("text"), drop_urls).alias("_words")), "_words")
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
