@@ -64,7 +64,7 @@ class Features(dict):
         self.numbers = numbers
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         out = self[word] = tuple(self.numbers[f] for f in features(word) if f in self.numbers)
         return out
