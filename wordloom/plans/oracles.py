@@ -238,3 +238,12 @@ FROM o JOIN e ON e.user_id = o.user_id AND us >= opened AND us < opened + 600000
                       FROM s JOIN e ON e.key = s.key AND e.k = s.k + 1)))
 ) SELECT key, ts AS at, outcome, wait FROM s""",
 }
+LONG_BANS = ORACLE_SQL["request_bans"].replace("1200", "259200").replace("600", "604800")
+BANNED = f"""(SELECT DISTINCT key, epoch_us("at") AS since FROM ({LONG_BANS}) WHERE outcome = 'banned')"""
+ORACLE_SQL |= {
+    "requests_in_bans": f"""SELECT e.event_id, count(*) AS bans FROM events e
+JOIN (SELECT key, epoch_us("at") AS since FROM ({LONG_BANS}) WHERE outcome = 'banned') b
+    ON b.key = e.user_id::VARCHAR AND epoch_us(e.ts) > b.since AND epoch_us(e.ts) < b.since + 259201000000 GROUP BY e.event_id""",
+    "last_ban": f"""SELECT e.event_id, b.since FROM (SELECT event_id, user_id::VARCHAR AS key, epoch_us(ts) AS us FROM events) e
+ASOF LEFT JOIN {BANNED} b ON e.key = b.key AND e.us >= b.since""",
+}

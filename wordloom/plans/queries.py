@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import tokens as text
 from wordloom.functions.urls import extract_urls
-from wordloom.operators import counts, scoring, weights
+from wordloom.operators import counts, intervals, scoring, weights
 from wordloom.plans.training import Settings, classify, train, weigh
 from wordloom.sources import models
 from wordloom.sources.corpus import distinct_classes, with_class_id
@@ -233,7 +233,36 @@ def request_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def request_bans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the rate limiter makes of the whole table."""
-    return request_outcomes(table(spark, sf_dir, "events"), "user_id", "ts", limits=Limits(interval=600.0, requests=3, ban=1200.0))
+    return request_outcomes(table(spark, sf_dir, "events"), "user_id", "ts", limits=BAN)
+
+
+BAN = Limits(interval=600.0, requests=3, ban=1200.0)
+#: A week and three days, so that keys of the table are banned.
+LONG_BAN = Limits(interval=604_800.0, requests=3, ban=259_200.0)
+
+
+def banned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, since): the times at which a request was answered with a ban, in microseconds."""
+    found = request_outcomes(table(spark, sf_dir, "events"), "user_id", "ts", limits=LONG_BAN).where("outcome = 'banned'")
+    return keep(found.select("key", F.unix_micros(F.col("at").cast("timestamp")).alias("since")))
+
+
+def keyed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("string").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+
+
+def requests_in_bans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many bans of its key, the time of each until its own end, a later request falls into."""
+    span = int(LONG_BAN.ban + 1) * 1_000_000
+    bans = banned(spark, sf_dir).select("key", (F.col("since") + 1).alias("begin"), (F.col("since") + span).alias("end"))
+    found = intervals.covering(keyed_events(spark, sf_dir), "us", bans, "begin", "end", ["key"], span)
+    return found.groupBy("event_id").agg(F.count(F.lit(1)).alias("bans"))
+
+
+def last_ban(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each request with the last ban of its key up to then."""
+    found = intervals.valid_at(keyed_events(spark, sf_dir), "us", banned(spark, sf_dir), "since", ["key"])
+    return found.select("event_id", "since")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -241,5 +270,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         classify_report, tokens, tokens_conversations, tokens_benchmark, tokens_no_urls, urls_extract, tf_by_class, tf_merged, class_lengths, average_length,
         tf_cut_in_order, vocabulary, term_frequencies, weights_tfidf, weights_bm25, weights_r_tfidf, weights_informative, weights_dense, weights_by_quality,
         one_dimension_tfidf, class_norms, dot_products, cosine_scores, score_report, score_rank, top_class, residual_share, evaluation,
-        class_names, json_result, text_preview, percent_text, model_round_trip, request_counts, request_bans)
+        class_names, json_result, text_preview, percent_text, model_round_trip, request_counts, request_bans, requests_in_bans, last_ban)
 } | {"tf_unigram": bags(1), "tf_ngram_2": bags(2), "tf_ngram_3": bags(3), "tf_ngram_4": bags(4), "tf_cut_d1": cut_counts("d1"), "tf_cut_d2": cut_counts("d2")}
