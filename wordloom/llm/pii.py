@@ -38,7 +38,6 @@ IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[0-9A-Za-z]{11,30}|(?:[ -][0-9A-Za-z]{
 SSN = re.compile(r"(?!000|666|9)[0-9]{3}([- ]?)(?!00)[0-9]{2}\1(?!0000)[0-9]{4}(?![0-9A-Za-z])")
 PASSPORT = re.compile(r"[A-Za-z]{0,2}[0-9]{6,9}(?![0-9A-Za-z])")
 ACCOUNT = re.compile(r"(?:[0-9]{6,17}|[0-9]{1,4}(?:[ -][0-9]{2,4}){1,7})(?![0-9A-Za-z])")
-LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 #: Lengths of international account numbers by country.
 IBAN_LENGTHS = {
     "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24,
@@ -64,7 +63,7 @@ def anchors() -> ahocorasick.Automaton:
 
 def lower_ascii(text: str) -> str:
     """A-Z in lower case; every character stays in its place."""
-    return text.lower() if text.isascii() else text.translate(LOWER)
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")  # of bytes, only those letters have another case
 
 
 def luhn(digits: str) -> bool:
