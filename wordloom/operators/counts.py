@@ -47,7 +47,8 @@ def class_counts(docs: DataFrame, key: str, text: str = "text", n_max: int = 1,
     """(key, n, term, cnt) of each class; n-grams do not cross documents."""
     words = docs.select(key, tokenize(F.col(text), drop_urls).alias("_words"))
     levels = F.array(*[F.struct(F.lit(n).alias("n"), ngrams(F.col("_words"), n).alias("terms")) for n in range(1, n_max + 1)])
-    return (each(each(words, levels, "_level").select(key, "_level"), F.col("_level.terms"), "term").select(key, "_level.n", "term")
+    parts = each(words, levels, "_level").select(key, "_level.n", "_level.terms")  # so that no row of a term carries all of them
+    return (each(parts, F.col("terms"), "term").select(key, "n", "term")
             .groupBy(key, "n", "term").agg(F.count(F.lit(1)).alias("cnt")))
 
 
