@@ -43,13 +43,18 @@ def document_bags(docs: DataFrame, key: str, text: str = "text", n_max: int = 1,
             .groupBy(key, "term").agg(F.count(F.lit(1)).alias("cnt")))
 
 
-def class_counts(docs: DataFrame, key: str, text: str = "text", n_max: int = 1, drop_urls: bool = True) -> DataFrame:
-    """(key, n, term, cnt) of each class; n-grams do not cross documents."""
+def class_terms(docs: DataFrame, key: str, text: str = "text", n_max: int = 1, drop_urls: bool = True, marks: bool = False) -> DataFrame:
+    """(key, n, term): a row for each n-gram as it stands; n-grams do not cross documents. With `marks`, an empty term of n = 0 for each document too."""
     words = docs.select(key, tokenize(F.col(text), drop_urls).alias("_words"))
-    levels = F.array(*[F.struct(F.lit(n).alias("n"), ngrams(F.col("_words"), n).alias("terms")) for n in range(1, n_max + 1)])
+    mark = [F.struct(F.lit(0).alias("n"), F.array(F.lit("")).alias("terms"))] if marks else []
+    levels = F.array(*mark, *[F.struct(F.lit(n).alias("n"), ngrams(F.col("_words"), n).alias("terms")) for n in range(1, n_max + 1)])
     parts = each(words, levels, "_level").select(key, "_level.n", "_level.terms")  # so that no row of a term carries all of them
-    return (each(parts, F.col("terms"), "term").select(key, "n", "term")
-            .groupBy(key, "n", "term").agg(F.count(F.lit(1)).alias("cnt")))
+    return each(parts, F.col("terms"), "term").select(key, "n", "term")
+
+
+def class_counts(docs: DataFrame, key: str, text: str = "text", n_max: int = 1, drop_urls: bool = True, marks: bool = False) -> DataFrame:
+    """(key, n, term, cnt) of each class, of a table or a stream. With `marks`, n = 0 and an empty term count the documents of a class."""
+    return class_terms(docs, key, text, n_max, drop_urls, marks).groupBy(key, "n", "term").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def merge_counts(*tables: DataFrame, key: str) -> DataFrame:

@@ -12,9 +12,12 @@ from wordloom.functions.tokens import class_label
 MOST_SENT = 2_000_000
 
 
-def sent(weights: DataFrame) -> DataFrame:
-    """The weights, marked for a broadcast if they are few enough. A stored model is counted from its files' footers."""
-    return F.broadcast(weights) if weights.count() <= MOST_SENT else weights
+def sent(weights: DataFrame, rows: DataFrame | None = None, most: int = MOST_SENT) -> DataFrame:
+    """The weights, or rows made of each of them, marked for a broadcast if there are few enough, and for a merge by term if `most` is 0. A stored model is counted from its files' footers."""
+    rows = weights if rows is None else rows
+    if not most:
+        return rows.hint("merge")
+    return F.broadcast(rows) if weights.count() <= most else rows
 
 
 def class_norms(weights: DataFrame, key: str) -> DataFrame:
@@ -28,16 +31,17 @@ def dot_products(bags: DataFrame, weights: DataFrame, doc: str, key: str) -> Dat
     return bags.join(sent(weights), "term").groupBy(doc, key).agg(F.sum(product).alias("dot"))
 
 
-def cosine_scores(bags: DataFrame, weights: DataFrame, doc: str, key: str) -> DataFrame:
+def cosine_scores(bags: DataFrame, weights: DataFrame, doc: str, key: str, most_sent: int = MOST_SENT) -> DataFrame:
     """(doc, key, cosine) that are numbers other than 0. A text's length counts all its terms, known to the model or not.
 
     Bags are read once: a term's row gives a product for each class that weighs it, and counts for the text's own
-    length with the first of these classes, or with none.
+    length with the first of these classes, or with none. A model of more than `most_sent` weights meets the bags
+    by term; one that is stored in buckets (sources.models.write_buckets) stays where it is, and only the bags move.
     """
     first = F.col(key) == F.min(key).over(Window.partitionBy("term"))
     model = weights.select("term", F.col(key).alias("_class"), "weight", first.alias("_first"))
     cnt = F.col("cnt")
-    sums = bags.join(model, "term", "left").groupBy(doc, "_class").agg(
+    sums = bags.join(sent(weights, model, most_sent), "term", "left").groupBy(doc, "_class").agg(
         F.sum((F.col("weight") * cnt.cast("float")).cast("double")).alias("dot"),
         F.sum(F.when(F.coalesce("_first", F.lit(True)), cnt * cnt)).alias("_own"))
     text = F.sum("_own").over(Window.partitionBy(doc))

@@ -246,4 +246,13 @@ JOIN (SELECT key, epoch_us("at") AS since FROM ({LONG_BANS}) WHERE outcome = 'ba
     ON b.key = e.user_id::VARCHAR AND epoch_us(e.ts) > b.since AND epoch_us(e.ts) < b.since + 259201000000 GROUP BY e.event_id""",
     "last_ban": f"""SELECT e.event_id, b.since FROM (SELECT event_id, user_id::VARCHAR AS key, epoch_us(ts) AS us FROM events) e
 ASOF LEFT JOIN {BANNED} b ON e.key = b.key AND e.us >= b.since""",
+    "request_sessions": """WITH e AS (SELECT user_id, epoch_us(ts) AS us FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+g AS (SELECT *, us - lag(us) OVER (PARTITION BY user_id ORDER BY us) AS since FROM e),
+s AS (SELECT *, count(*) FILTER (since > 21600000000) OVER (PARTITION BY user_id ORDER BY us RANGE UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, make_timestamp(min(us)) AS begin, make_timestamp(max(us) + 21600000000) AS "end", count(*) AS requests FROM s GROUP BY user_id, k""",
+    "request_answers": """SELECT c.user_id AS key, c.event_id AS request, c.ts AS "at", coalesce(p.event_id, -1) AS answer
+FROM (SELECT * FROM events WHERE event_type = 'click') c LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p
+    ON c.user_id = p.user_id AND p.ts >= c.ts AND p.ts <= c.ts + INTERVAL 1 DAY""",
+    "model_streamed": ORACLE_SQL["weights_informative"],
+    "cosine_scores_stored": ORACLE_SQL["cosine_scores"],
 }

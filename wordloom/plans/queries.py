@@ -6,6 +6,8 @@ Documents are the training corpus, their language is the class. URLs are dropped
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,8 @@ from wordloom.sources import models
 from wordloom.sources.corpus import distinct_classes, with_class_id
 from wordloom.sources.scratch import keep, scratch_folder
 from wordloom.sources.tables import read_table
+from wordloom.streaming import ingest, sessions
+from wordloom.streaming.bans import PROVIDER
 from wordloom.streaming.ratelimit import Limits, request_outcomes, request_windows
 
 MODEL = Settings(n_max=2, cut="d1", drop_urls=False)
@@ -167,6 +171,26 @@ def cosine_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scores(spark, sf_dir), "cosine")
 
 
+def cosine_scores_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a model stored in buckets by term, which does not move."""
+    name = f"wordloom_model_{uuid.uuid4().hex}"
+    models.write_buckets(model(spark, sf_dir), name, path=scratch_folder(spark))
+    return rounded(scoring.cosine_scores(texts(spark, sf_dir), models.read_buckets(spark, name), "doc_id", "lang", most_sent=0), "cosine")
+
+
+def model_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model made of counts that a stream of all documents, in some four micro-batches, has left."""
+    dealt = keep(documents(spark, sf_dir).select("lang", "text"))
+    files, folder = dealt.inputFiles(), scratch_folder(spark)
+    own = spark.newSession()  # whose state store leaves the caller's settings alone
+    for name, value in {"spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions"), "spark.sql.streaming.stateStore.providerClass": PROVIDER,
+                        "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}.items():
+        own.conf.set(name, value)
+    stream = own.readStream.schema(dealt.schema).option("maxFilesPerTrigger", max(1, math.ceil(len(files) / 4))).parquet(files[0].rsplit("/", 1)[0])
+    ingest.ingest(stream, "lang", folder, f"{folder}-state", n_max=MODEL.n_max, drop_urls=MODEL.drop_urls).awaitTermination()
+    return rounded(ingest.train_at(spark, folder, "lang", settings=MODEL), "weight")
+
+
 def score_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scoring.report(scores(spark, sf_dir), "doc_id", "lang"), "cosine", "percent")
 
@@ -265,10 +289,24 @@ def last_ban(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", "since")
 
 
+def request_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of a user's requests with less than six hours between two of them."""
+    return sessions.sessions(table(spark, sf_dir, "events"), "user_id", "ts", 21_600)
+
+
+def request_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each click with all purchases of its user in the day after it, or with -1."""
+    events = table(spark, sf_dir, "events")
+    clicks, bought = events.where("event_type = 'click'"), events.where("event_type = 'purchase'")
+    found = sessions.answered(clicks, bought, ("user_id", "user_id"), ("event_id", "event_id"), ("ts", "ts"), 86_400)
+    return found.select("key", "request", "at", F.coalesce("answer", F.lit(-1)).alias("answer"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         classify_report, tokens, tokens_conversations, tokens_benchmark, tokens_no_urls, urls_extract, tf_by_class, tf_merged, class_lengths, average_length,
         tf_cut_in_order, vocabulary, term_frequencies, weights_tfidf, weights_bm25, weights_r_tfidf, weights_informative, weights_dense, weights_by_quality,
         one_dimension_tfidf, class_norms, dot_products, cosine_scores, score_report, score_rank, top_class, residual_share, evaluation,
-        class_names, json_result, text_preview, percent_text, model_round_trip, request_counts, request_bans, requests_in_bans, last_ban)
+        class_names, json_result, text_preview, percent_text, model_round_trip, request_counts, request_bans, requests_in_bans, last_ban,
+        request_sessions, request_answers, model_streamed, cosine_scores_stored)
 } | {"tf_unigram": bags(1), "tf_ngram_2": bags(2), "tf_ngram_3": bags(3), "tf_ngram_4": bags(4), "tf_cut_d1": cut_counts("d1"), "tf_cut_d2": cut_counts("d2")}

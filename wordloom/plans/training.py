@@ -47,7 +47,11 @@ def train(docs: DataFrame, key: str, text: str = "text", settings: Settings = Se
     """
     docs = docs.where(F.col(key).isNotNull())
     classes = distinct_classes(docs, key)
-    counted = keep(counts.class_counts(docs, key, text, settings.n_max, settings.drop_urls))
+    return train_from_counts(keep(counts.class_counts(docs, key, text, settings.n_max, settings.drop_urls)), classes, key, settings)
+
+
+def train_from_counts(counted: DataFrame, classes: list, key: str, settings: Settings = Settings()) -> DataFrame:
+    """The same from stored counts of n-grams that are not cut yet, and all classes, those without words too."""
     bags = keep(counts.bags_of_classes(counts.cut_by_mass(counted, key, settings.cut), key))
     return keep(weigh(bags, counts.lengths_of(counted, classes, key), classes, key, settings.method))
 

@@ -79,3 +79,19 @@ def write_parquet(weights: DataFrame, path: str) -> None:
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def write_buckets(weights: DataFrame, table: str, buckets: int | None = None, path: str | None = None) -> None:
+    """Stores a model as a table of the catalog, in buckets by term, one sorted file each.
+
+    Scoring with it moves only the texts' bags, however large the model is: each bucket is read by the task that has
+    its terms. `buckets` should not be below spark.sql.shuffle.partitions, which is the default, or Spark moves both sides.
+    Without a path, the files lie in the warehouse.
+    """
+    buckets = buckets or int(weights.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    writer = weights.repartition(buckets, "term").write.mode("overwrite").format("parquet").bucketBy(buckets, "term").sortBy("term")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
+def read_buckets(spark: SparkSession, table: str) -> DataFrame:
+    return spark.table(table)
