@@ -244,7 +244,7 @@ ORACLE_SQL |= {
     "requests_in_bans": f"""SELECT e.event_id, count(*) AS bans FROM events e
 JOIN (SELECT key, epoch_us("at") AS since FROM ({LONG_BANS}) WHERE outcome = 'banned') b
     ON b.key = e.user_id::VARCHAR AND epoch_us(e.ts) > b.since AND epoch_us(e.ts) < b.since + 259201000000 GROUP BY e.event_id""",
-    "last_ban": f"""SELECT e.event_id, b.since FROM (SELECT event_id, user_id::VARCHAR AS key, epoch_us(ts) AS us FROM events) e
+    "last_ban": f"""SELECT e.event_id, coalesce(b.since, -1) AS since FROM (SELECT event_id, user_id::VARCHAR AS key, epoch_us(ts) AS us FROM events) e
 ASOF LEFT JOIN {BANNED} b ON e.key = b.key AND e.us >= b.since""",
     "request_sessions": """WITH e AS (SELECT user_id, epoch_us(ts) AS us FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
 g AS (SELECT *, us - lag(us) OVER (PARTITION BY user_id ORDER BY us) AS since FROM e),

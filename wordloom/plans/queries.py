@@ -284,9 +284,9 @@ def requests_in_bans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def last_ban(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each request with the last ban of its key up to then."""
+    """Each request with the last ban of its key up to then, or with -1."""
     found = intervals.valid_at(keyed_events(spark, sf_dir), "us", banned(spark, sf_dir), "since", ["key"])
-    return found.select("event_id", "since")
+    return found.select("event_id", F.coalesce("since", F.lit(-1)).alias("since"))
 
 
 def request_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
