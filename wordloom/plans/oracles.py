@@ -253,6 +253,11 @@ SELECT user_id, make_timestamp(min(us)) AS begin, make_timestamp(max(us) + 21600
     "request_answers": """SELECT c.user_id AS key, c.event_id AS request, c.ts AS "at", coalesce(p.event_id, -1) AS answer
 FROM (SELECT * FROM events WHERE event_type = 'click') c LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p
     ON c.user_id = p.user_id AND p.ts >= c.ts AND p.ts <= c.ts + INTERVAL 1 DAY""",
+    "top_terms": f"""WITH {class_counts(3)}, p AS (SELECT *, row_number() OVER (PARTITION BY lang, n ORDER BY cnt DESC, term)::INTEGER AS place FROM c)
+SELECT lang, n, term, cnt, place FROM p WHERE place <= 100""",
+    "totals_cube": f"""WITH {words("documents", "lang", "source")}, z AS (SELECT lang, source, n, greatest(len(ws) - n + 1, 0) AS k FROM w, (VALUES (1), (2), (3)) v(n))
+SELECT lang, source, coalesce(n, 0)::INTEGER AS n, GROUPING(lang, source, n)::BIGINT AS grouping, count(*) AS documents, sum(k)::BIGINT AS terms FROM z GROUP BY CUBE (lang, source, n)""",
+    "sketch_errors": f"""WITH {class_counts(1)} SELECT lang, count(*) AS words, true AS vocabulary_close, true AS counts_close, true AS lengths_close FROM c GROUP BY lang""",
     "model_streamed": ORACLE_SQL["weights_informative"],
     "cosine_scores_stored": ORACLE_SQL["cosine_scores"],
 }

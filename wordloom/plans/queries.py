@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import tokens as text
 from wordloom.functions.urls import extract_urls
-from wordloom.operators import counts, intervals, scoring, weights
+from wordloom.operators import counts, intervals, scoring, summaries, weights
 from wordloom.plans.training import Settings, classify, train, weigh
 from wordloom.sources import models
 from wordloom.sources.corpus import distinct_classes, with_class_id
@@ -88,6 +88,37 @@ def tf_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.merge_counts(*parts, key="lang")
 
 
+def top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hundred most frequent n-grams of each language and level."""
+    return summaries.top_terms(keep(tf_by_class(spark, sf_dir)), ["lang", "n"], 100)
+
+
+def totals_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and n-grams by all sets of language, source and level, all levels together as n = 0."""
+    return summaries.totals(documents(spark, sf_dir), ["lang", "source"], drop_urls=False).withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def sketch_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's vocabulary with whether the estimates of sketches, made by language and source and united, keep to their bounds.
+
+    Of different words, four standard errors; of each of the ten most frequent words, the bound of its count; of the middle length, 2 % of the ranks.
+    """
+    docs = documents(spark, sf_dir).select("lang", "source", "text")
+    words = words_of(docs, "lang", "source")
+    found = keep(words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("cnt")))
+    estimates = summaries.term_estimates(summaries.unite_terms(keep(summaries.term_sketches(words, ["lang", "source"], "word")), ["lang"]), ["lang"])
+    exact = found.groupBy("lang").agg(F.count(F.lit(1)).alias("words"), F.sum("cnt").alias("_all"))
+    both = exact.withColumnRenamed("words", "_words").join(estimates, "lang")
+    frequent = both.select("lang", "_all", F.explode("frequent").alias("_f")).select("lang", "_all", F.col("_f.item").alias("word"), F.col("_f.count").alias("_about")).join(found, ["lang", "word"])
+    bounds = frequent.groupBy("lang").agg(F.bool_and(F.col("_about").between(F.col("cnt"), F.col("cnt") + F.col("_all") * 3.5 / 16_384)).alias("counts_close"))
+    middle = summaries.length_quantiles(summaries.unite_lengths(keep(summaries.length_sketches(docs, ["lang", "source"], drop_urls=False)), ["lang"]), ["lang"], [0.5])
+    ranks = (docs.select("lang", F.size(text.tokenize(F.col("text"), False)).alias("_size")).join(F.broadcast(middle), "lang").groupBy("lang")
+             .agg(F.avg((F.col("_size") < F.col("words")).cast("double")).alias("_below"), F.avg((F.col("_size") <= F.col("words")).cast("double")).alias("_upto")))
+    vocabulary_close = F.abs(F.col("vocabulary") - F.col("_words")) <= F.col("_words") * 4 * 0.83 / 2 ** (summaries.DISTINCT_BITS / 2)
+    lengths_close = (F.col("_below") <= 0.52) & (F.col("_upto") >= 0.48)
+    return both.join(bounds, "lang").join(ranks, "lang").select("lang", F.col("_words").alias("words"), vocabulary_close.alias("vocabulary_close"), "counts_close", lengths_close.alias("lengths_close"))
+
+
 def cut_counts(cut: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: counts.cut_by_mass(keep(tf_by_class(spark, sf_dir)), "lang", cut)
 
@@ -308,5 +339,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         tf_cut_in_order, vocabulary, term_frequencies, weights_tfidf, weights_bm25, weights_r_tfidf, weights_informative, weights_dense, weights_by_quality,
         one_dimension_tfidf, class_norms, dot_products, cosine_scores, score_report, score_rank, top_class, residual_share, evaluation,
         class_names, json_result, text_preview, percent_text, model_round_trip, request_counts, request_bans, requests_in_bans, last_ban,
-        request_sessions, request_answers, model_streamed, cosine_scores_stored)
+        request_sessions, request_answers, model_streamed, cosine_scores_stored, top_terms, totals_cube, sketch_errors)
 } | {"tf_unigram": bags(1), "tf_ngram_2": bags(2), "tf_ngram_3": bags(3), "tf_ngram_4": bags(4), "tf_cut_d1": cut_counts("d1"), "tf_cut_d2": cut_counts("d2")}
