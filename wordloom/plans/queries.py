@@ -22,7 +22,6 @@ from wordloom.sources.corpus import distinct_classes, with_class_id
 from wordloom.sources.scratch import keep, scratch_folder
 from wordloom.sources.tables import read_table
 from wordloom.streaming import ingest, sessions
-from wordloom.streaming.bans import PROVIDER
 from wordloom.streaming.ratelimit import Limits, request_outcomes, request_windows
 
 MODEL = Settings(n_max=2, cut="d1", drop_urls=False)
@@ -210,14 +209,11 @@ def cosine_scores_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The model made of counts that a stream of all documents, in some four micro-batches, has left."""
-    dealt = keep(documents(spark, sf_dir).select("lang", "text"))
-    files, folder = dealt.inputFiles(), scratch_folder(spark)
-    own = spark.newSession()  # whose state store leaves the caller's settings alone
-    for name, value in {"spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions"), "spark.sql.streaming.stateStore.providerClass": PROVIDER,
-                        "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}.items():
-        own.conf.set(name, value)
-    stream = own.readStream.schema(dealt.schema).option("maxFilesPerTrigger", max(1, math.ceil(len(files) / 4))).parquet(files[0].rsplit("/", 1)[0])
+    """The model made of counts that a stream of all documents has left, in up to four micro-batches of whole files."""
+    path, folder = f"{sf_dir}/documents.parquet", scratch_folder(spark)
+    stored = spark.read.parquet(path)
+    # A pattern, as a stream takes a plain path for a folder, and a table may be one file.
+    stream = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", math.ceil(len(stored.inputFiles()) / 4) or 1).parquet(f"{path[:-1]}[t]")
     ingest.ingest(stream, "lang", folder, f"{folder}-state", n_max=MODEL.n_max, drop_urls=MODEL.drop_urls).awaitTermination()
     return rounded(ingest.train_at(spark, folder, "lang", settings=MODEL), "weight")
 

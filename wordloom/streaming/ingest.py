@@ -14,17 +14,15 @@ from wordloom.sources.scratch import keep
 def ingest(docs: DataFrame, key: str, path: str, checkpoint: str, text: str = "text", n_max: int = 3, drop_urls: bool = True) -> StreamingQuery:
     """Starts a query that adds documents to the counts of their classes and ends when the input does.
 
-    The state store holds each n-gram's count. What a micro-batch changes is written as a version of its own, numbered as the
-    batch; a batch that is repeated after a failure writes the same rows over its version. Rows without a class are left
-    out, a null text counts as empty, a repeated row counts again. Counts are of all time, so there is no watermark and no
-    row is late. For more n-grams than fit into memory, set spark.sql.streaming.stateStore.providerClass to that of RocksDB.
+    The counts that a micro-batch adds are written as a version of its own, numbered as the batch; a batch that is repeated after
+    a failure writes the same rows over its version, so that each document counts once. What was counted before is not read
+    or written again: these versions are the state, and a state store would hold all n-grams of all time a second time.
+    Rows without a class are left out, a null text counts as empty, a repeated row counts again. No row is late.
     """
-    counted = class_counts(docs.where(F.col(key).isNotNull()), key, text, n_max, drop_urls, marks=True)
+    def store(batch: DataFrame, number: int) -> None:
+        class_counts(batch, key, text, n_max, drop_urls, marks=True).write.mode("overwrite").parquet(f"{path}/changes/version={number}")
 
-    def store(changed: DataFrame, number: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{path}/changes/version={number}")
-
-    return counted.writeStream.foreachBatch(store).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return docs.where(F.col(key).isNotNull()).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stored(spark: SparkSession, folder: str) -> list[int]:
@@ -41,7 +39,7 @@ def versions(spark: SparkSession, path: str) -> list[int]:
 def counts_at(spark: SparkSession, path: str, key: str, version: int | None = None) -> DataFrame:
     """(key, n, term, cnt) as they were after a version, the last one if none is given; rows of n = 0 count documents.
 
-    Counts only grow, so the largest up to the version is the one that holds. The last compacted version before stands for all before it.
+    They are the sums of what each version has added; the last compacted version before stands for all before it.
     """
     known = versions(spark, path)
     version = known[-1] if version is None and known else version
@@ -49,7 +47,7 @@ def counts_at(spark: SparkSession, path: str, key: str, version: int | None = No
         raise ValueError(f"no version {version} in {path}: {known}")
     base = max((v for v in stored(spark, f"{path}/whole") if v <= version), default=-1)
     folders = [f"{path}/changes/version={v}" for v in known if base < v <= version] + ([f"{path}/whole/version={base}"] if base >= 0 else [])
-    return spark.read.parquet(*folders).groupBy(key, "n", "term").agg(F.max("cnt").alias("cnt"))
+    return spark.read.parquet(*folders).groupBy(key, "n", "term").agg(F.sum("cnt").alias("cnt"))
 
 
 def compact(spark: SparkSession, path: str, key: str, version: int | None = None) -> int:
