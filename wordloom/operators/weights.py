@@ -25,11 +25,16 @@ def ratio(a: Column, b: Column | int) -> Column:
     return single(single(a) / single(F.lit(b) if isinstance(b, int) else b))
 
 
+def with_df(bags: DataFrame, key: str) -> DataFrame:
+    """Adds df, the classes that hold a term. Bags have one row for each class and term, so one exchange, which brings at most all classes of a term together, serves all that is asked of terms."""
+    return bags.where(F.col("term").isNotNull()).withColumn("df", F.count(key).over(Window.partitionBy("term")))
+
+
 def tfidf(bags: DataFrame, key: str, n_classes: int) -> DataFrame:
     """(term, key, weight) of the terms a class holds; the share is of the class's different terms. Absent terms weigh 0."""
-    sizes = bags.groupBy(key).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = F.broadcast(bags.groupBy(key).agg(F.count(F.lit(1)).alias("_size")))
     weight = single(-ratio(F.col("cnt"), F.col("_size")) * single(F.ln(ratio(F.col("df"), n_classes))))
-    return bags.join(frequencies(bags, key), "term").join(sizes, key).select("term", key, (weight + single(F.lit(0.0))).alias("weight"))
+    return with_df(bags, key).join(sizes, key).select("term", key, (weight + single(F.lit(0.0))).alias("weight"))
 
 
 def bm25(bags: DataFrame, lengths: DataFrame, key: str, n_classes: int) -> DataFrame:
@@ -38,7 +43,7 @@ def bm25(bags: DataFrame, lengths: DataFrame, key: str, n_classes: int) -> DataF
     spread = lengths.select(key, (F.lit(0.25) + F.lit(0.75) * F.col("length") / mean).alias("_spread"))
     part = single(3 * F.col("cnt") / (2 * F.col("_spread") + F.col("cnt")))
     idf = single(F.ln(single((F.lit(n_classes) - F.col("df") + 0.5) / (F.col("df") + 0.5))))
-    return (bags.join(frequencies(bags, key), "term").join(spread, key)
+    return (with_df(bags, key).join(F.broadcast(spread), key)
             .select("term", key, (single(part * idf) + single(F.lit(0.0))).alias("weight")))
 
 
@@ -64,10 +69,10 @@ def dense(weights: DataFrame, class_ids: Sequence, key: str) -> DataFrame:
 
 def informative(weights: DataFrame, key: str, n_classes: int) -> DataFrame:
     """Drops terms that weigh the same in every class; classes without a row count as 0."""
-    bounds = weights.groupBy("term").agg(F.min("weight").alias("_lo"), F.max("weight").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    of_term = Window.partitionBy("term")
+    bounds = weights.withColumns({"_lo": F.min("weight").over(of_term), "_hi": F.max("weight").over(of_term), "_n": F.count(F.lit(1)).over(of_term)})
     zero = F.when(F.col("_n") < n_classes, single(F.lit(0.0)))
-    different = bounds.where(F.least("_lo", zero) < F.greatest("_hi", zero)).select("term")
-    return weights.join(different, "term", "left_semi")
+    return bounds.where(F.col("term").isNotNull() & (F.least("_lo", zero) < F.greatest("_hi", zero))).select(*weights.columns)
 
 
 def one_dimension(bags: DataFrame, key: str, n_documents: int, class_id) -> DataFrame:
