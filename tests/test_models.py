@@ -358,3 +358,43 @@ def test_absent_terms_are_zero(spark):
     w = spark.createDataFrame([("A", 0, 1.0), ("B", 0, 2.0), ("B", 1, 2.0)], "term string, c int, weight float")
     assert table(weights.dense(w, [0, 1], "c"), "term", "c")["A", 1] == 0
     assert {r["term"] for r in weights.informative(w, "c", 2).collect()} == {"A"}
+
+
+@pytest.fixture
+def no_broadcast_by_size(spark):
+    """As with tables that are too large: only what is marked is broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_cut_exchanges_no_counts(spark, no_broadcast_by_size):
+    """One row for each class and n says what is reached: all counts of 1 are no key of a join."""
+    rows = spark.createDataFrame([(0, 1, "A", 3), (0, 1, "B", 2), (0, 1, "C", 2), (0, 1, "D", 1), (1, 2, "A B", 1), (1, 2, "C D", 1)], "c int, n int, term string, cnt long")
+    kept = counts.cut_by_mass(rows, "c", "d1")
+    assert sorted(map(tuple, kept.collect())) == [(0, 1, "A", 3), (0, 1, "B", 2), (0, 1, "C", 2), (1, 2, "A B", 1)]
+    assert "SortMergeJoin" not in plan_of(kept)
+
+
+def test_weights_exchange_bags_once(spark, no_broadcast_by_size):
+    """Sizes of classes are sent; terms meet by one exchange for all that is asked of them."""
+    bags = spark.createDataFrame([(0, "A", 3), (0, "B", 1), (1, "B", 2)], "c int, term string, cnt long")
+    lengths = spark.createDataFrame([(0, 4), (1, 2)], "c int, length long")
+    for found in (weights.tfidf(bags, "c", 2), weights.bm25(bags, lengths, "c", 2)):
+        left = weights.informative(found, "c", 2)
+        assert {r["term"] for r in left.collect()} <= {"A", "B"}
+        assert plan_of(left).split("== Initial Plan ==")[0].count("hashpartitioning(term") == 1 and "SortMergeJoin" not in plan_of(left)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4])
+def test_grams_are_compiled(spark, n):
+    """All n-grams of short and longer texts, made without a lambda for each of them."""
+    docs = spark.createDataFrame([(0, "a b c d e"), (0, "a b"), (1, ""), (1, None), (0, "- a")], "c int, text string")
+    found = counts.class_counts(docs, "c", n_max=n, drop_urls=False)
+    want = Counter((0, m, " ".join(words[i:i + m])) for words in ("ABCDE", "AB", "A") for m in range(1, n + 1) for i in range(len(words) - m + 1))
+    assert {tuple(r)[:3]: r["cnt"] for r in found.collect()} == want
+    assert "array_join(slice" not in plan_of(found) and "array_join(slice" not in plan_of(counts.document_bags(docs, "c", n_max=n, drop_urls=False))

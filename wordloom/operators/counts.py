@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wordloom.functions.tokens import ngrams, terms, tokenize
+from wordloom.functions.tokens import tokenize
 from wordloom.functions.urls import without_urls
 from wordloom.sources.scratch import keep
 
@@ -39,22 +39,38 @@ def document_bags(docs: DataFrame, key: str, text: str = "text", n_max: int = 1,
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     plain = without_urls(F.col(text)) if drop_urls else F.col(text)  # before they are dealt: what follows is on the JVM, which keeps the dealing
     words = docs.select(key, plain.alias("_text")).repartition(parts, key).select(key, tokenize(F.col("_text"), False).alias("_words"))  # a column of its own, so that each text is split once
-    return (each(words, terms(F.col("_words"), n_max), "term")
-            .groupBy(key, "term").agg(F.count(F.lit(1)).alias("cnt")))
+    return grams(words, key, n_max).groupBy(key, "term").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def class_terms(docs: DataFrame, key: str, text: str = "text", n_max: int = 1, drop_urls: bool = True, marks: bool = False) -> DataFrame:
-    """(key, n, term): a row for each n-gram as it stands; n-grams do not cross documents. With `marks`, an empty term of n = 0 for each document too."""
-    words = docs.select(key, tokenize(F.col(text), drop_urls).alias("_words"))
-    mark = [F.struct(F.lit(0).alias("n"), F.array(F.lit("")).alias("terms"))] if marks else []
-    levels = F.array(*mark, *[F.struct(F.lit(n).alias("n"), ngrams(F.col("_words"), n).alias("terms")) for n in range(1, n_max + 1)])
-    parts = each(words, levels, "_level").select(key, "_level.n", "_level.terms")  # so that no row of a term carries all of them
-    return each(parts, F.col("terms"), "term").select(key, "n", "term")
+def places(words: DataFrame) -> DataFrame:
+    """A row for each word, with pos, word and all words of its text; what is made of these is compiled with the loop over them, and no row carries the array on."""
+    return words.select("*", F.posexplode_outer("_words").alias("pos", "word")).where(F.col("word").isNotNull())
+
+
+def following(n: int) -> list[Column]:
+    """The n - 1 words after a place; null beyond the end."""
+    return [F.get("_words", F.col("pos") + i) for i in range(1, n)]
+
+
+def grams(words: DataFrame, key: str, n_max: int) -> DataFrame:
+    """(key, term): a row for each word and n-gram up to n_max of the texts' words (_words) as it stands."""
+    if n_max == 1:
+        return places(words).select(key, F.col("word").alias("term"))
+    longer = [F.concat("word", *[x for w in following(n) for x in (F.lit(" "), w)]) for n in range(2, n_max + 1)]  # null beyond the end
+    return each(places(words).select(key, F.array("word", *longer).alias("_terms")), F.col("_terms"), "term").select(key, "term")
 
 
 def class_counts(docs: DataFrame, key: str, text: str = "text", n_max: int = 1, drop_urls: bool = True, marks: bool = False) -> DataFrame:
-    """(key, n, term, cnt) of each class, of a table or a stream. With `marks`, n = 0 and an empty term count the documents of a class."""
-    return class_terms(docs, key, text, n_max, drop_urls, marks).groupBy(key, "n", "term").agg(F.count(F.lit(1)).alias("cnt"))
+    """(key, n, term, cnt) of each class; n-grams do not cross documents. With `marks`, n = 0 and an empty term count the documents of a class.
+
+    A term tells its n, so that n is not exchanged with it.
+    """
+    rows = grams(docs.select(key, tokenize(F.col(text), drop_urls).alias("_words")), key, n_max)
+    if marks:
+        rows = rows.unionByName(docs.select(key, F.lit("").alias("term")))
+    size = F.char_length("term") - F.char_length(F.replace("term", F.lit(" "), F.lit(""))) + 1  # no word holds a space
+    counted = rows.groupBy(key, "term").agg(F.count(F.lit(1)).alias("cnt"))
+    return counted.select(key, F.when(F.col("term") == "", F.lit(0)).otherwise(size).alias("n"), "term", "cnt")
 
 
 def merge_counts(*tables: DataFrame, key: str) -> DataFrame:
@@ -91,6 +107,7 @@ def cut_by_mass(counts: DataFrame, key: str, cut: str) -> DataFrame:
     groups of equal counts are decided by a histogram of counts. Only the group that the threshold cuts is
     ranked: it is dealt by ranges of terms, each of which is sorted on its own and begins at the number of
     terms in the ranges before it, so that no class's vocabulary is sorted in one task, whatever its terms begin with.
+    All counts are read twice and never exchanged: for the histogram, and for the terms reached, which are kept.
     """
     percents = CUT_PERCENTS[cut]
     if percents is None:
@@ -104,18 +121,20 @@ def cut_by_mass(counts: DataFrame, key: str, cut: str) -> DataFrame:
               .withColumn("_limit", mass_threshold(F.sum(mass).over(Window.partitionBy(*group)),
                                                    F.element_at(F.array(*[F.lit(float(p)) for p in percents]), F.col("n"))))
               .where((F.col("_before") + F.col("cnt")).cast("float") <= F.col("_limit"))
-              .withColumn("_whole", (F.col("_before") + mass).cast("float") <= F.col("_limit"))
-              .select(*group, "cnt", "_before", "_limit", "_whole"))
-    reached = counts.join(levels, [*group, "cnt"])
+              .withColumn("_whole", (F.col("_before") + mass).cast("float") <= F.col("_limit")))
+    # Groups before the last one reached are whole, so that one row tells all of a class and n; there are few.
+    last = levels.groupBy(*group).agg(F.min("cnt").alias("_least"), *[F.min_by(c, "cnt").alias(c) for c in ("_before", "_limit", "_whole")])
+    reached = keep(counts.join(F.broadcast(keep(last)), group).where(F.col("cnt") >= F.col("_least")))
+    whole = F.col("_whole") | (F.col("cnt") > F.col("_least"))
     parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = keep(reached.where("not _whole").repartitionByRange(parts, *group, "term").withColumn("_part", F.spark_partition_id()))
+    ranged = keep(reached.where(~whole).repartitionByRange(parts, *group, "term").withColumn("_part", F.spark_partition_id()))
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = ranged.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_p")).select(*group, "_part", F.coalesce(F.sum("_p").over(before), F.lit(0)).alias("_first"))
     within = Window.partitionBy(*group, "_part").orderBy("term")
-    ranked = ranged.withColumn("_within", F.row_number().over(within)).join(firsts, [*group, "_part"])
+    ranked = ranged.withColumn("_within", F.row_number().over(within)).join(F.broadcast(firsts), [*group, "_part"])
     fits = ranked.where((F.col("_before") + (F.col("_first") + F.col("_within")) * F.col("cnt")).cast("float") <= F.col("_limit"))
     columns = [*group, "term", "cnt"]
-    return reached.where("_whole").select(*columns).unionByName(fits.select(*columns))
+    return reached.where(whole).select(*columns).unionByName(fits.select(*columns))
 
 
 def cut_in_order(counts: DataFrame, key: str, cut: str, order: str) -> DataFrame:
