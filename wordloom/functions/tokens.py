@@ -63,13 +63,6 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<string>"))
 
 
-def terms(words: Column, n_max: int) -> Column:
-    """Words and all their n-grams up to n_max in one bag."""
-    if not 1 <= n_max <= 4:
-        raise ValueError("n-grams have 1 to 4 words")
-    return words if n_max == 1 else F.concat(*[ngrams(words, n) for n in range(1, n_max + 1)])
-
-
 def preview(text: Column, length: int = 150) -> Column:
     """The beginning of a text on one line: line ends and tabs become spaces, then each pair of spaces one."""
     short = F.when(F.char_length(text) > length, F.concat(F.substring(text, 1, length), F.lit("..."))).otherwise(text)
