@@ -219,3 +219,13 @@ def test_small_functions(spark):
     assert column(spark, ["a\n\tb" + "x" * 200], tokens.preview(F.col("text"))) == ["a bx" + "x" * 145 + "..."]
     assert column(spark, ["0.125"], tokens.percent_text(F.col("text").cast("double"))) == ["0.13"]
     assert column(spark, ["7", "0"], tokens.class_label(F.col("text").cast("int"), {0: "zero"})) == ["[class-index: 7]", "zero"]
+
+
+def test_words_without_a_lambda(spark):
+    """Plain words, with signs and spaces around them, by one expression: no lambda over the words, no array of them made twice."""
+    rng = random.Random(11)
+    parts = ["ab", "Cd", "A", "zz", "7", "12.", "ß", "ё", "éa", "xͅy", ".", "..", ",", ", ", ",.", "\n", " ", "  ", "\t", "-", "(", "©", "'", "_"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(5000)]
+    assert column(spark, texts, tokens.tokenize(F.col("text"), drop_urls=False)) == list(map(spec, texts))
+    plan = spark.createDataFrame([("a b",)], "text string").select(tokens.tokenize(F.col("text"), drop_urls=False).alias("w"))._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and plan.count("regexp") == 1

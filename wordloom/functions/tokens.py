@@ -10,13 +10,15 @@ from wordloom.functions.urls import without_urls
 
 #: Matches one after the other, each with the spaces or the ending sign, marks and spaces after it, the word in the group: a
 #: number before a plain space; a run with a word of two characters at least, or of one that is the whole run; an ending sign;
-#: any other run. Loops are possessive, and the plain word comes before rarer ones, so that a character is looked at about once.
+#: any other run; spaces. Together they leave no character over. Loops are possessive, and the plain word comes before rarer ones, so that a character is looked at about once.
 LETTER = f"[{WORD_CHAR}]"
 AFTER = rf"(?:[{SPACE}]++|{ENDING}[\p{{P}}{SPACE}]*+)?+"
 WORDS = (rf"[{NUMBER}]++(?= )[{SPACE}]*+"
          rf"|(?:(?={LETTER}{LETTER})|{OTHER}*+(?={LETTER}{RUN}*?{LETTER})|(?={LETTER}(?!{RUN})))({LETTER}++(?:{OTHER}++{LETTER}++)*+){OTHER}*+{AFTER}"
          rf"|{ENDING}[\p{{P}}{SPACE}]*+"
-         rf"|{RUN}++")
+         rf"|{RUN}++|[{SPACE}]++")
+#: Before them, a plain word with the plain sign and space after it; most words are such, and need no look ahead.
+PLAIN = rf"([A-Z][A-Z]+)(?:\.?+[ \n]|,[\p{{P}}{SPACE}]*+)"
 
 
 def upper_but(text: Column, kept: str = "") -> Column:
@@ -24,7 +26,11 @@ def upper_but(text: Column, kept: str = "") -> Column:
     plain, shield = expanding_characters()
     plain, shield = plain + kept, shield + "\ue0ff"[:len(kept)]
     careful = F.translate(F.upper(F.translate(text, plain, shield)), shield + "Ё", plain + "Е")
-    return F.when(F.octet_length(text) == F.char_length(text), F.upper(text)).otherwise(careful)
+    short = F.char_length(F.upper(text)) == F.char_length(text)  # what becomes several characters makes a text longer
+    for c in kept:
+        short = short & ~F.contains(text, F.lit(c))
+    return (F.when(F.octet_length(text) == F.char_length(text), F.upper(text))
+            .when(short, F.replace(F.upper(text), F.lit("Ё"), F.lit("Е"))).otherwise(careful))
 
 
 def upper_invariant(text: Column) -> Column:
@@ -38,21 +44,29 @@ def lower_invariant(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, lower))
 
 
-def tokenize(text: Column, drop_urls: bool = True) -> Column:
-    """Words of a text in order. A null text has none; what follows a NUL is not read.
+def joined_words(text: Column, drop_urls: bool = True) -> Column:
+    """The words of a text in order with plain spaces between them, one or more, also at the ends. A null text has none; what follows a NUL is not read.
 
     A word runs to white space or an ending sign and is cut to its first and last letter or digit. A word of
     one character is kept only if nothing was cut off. Runs of digits and number signs before a plain space are dropped.
-    The whole text is put in upper case and read once, by one expression.
+    The whole text is put in upper case and read once, by one expression, without a lambda. No word holds a space.
     """
     if drop_urls:
         text = without_urls(text)
     text = F.coalesce(F.substring_index(text, "\x00", 1), F.lit(""))
     # The subscript is no letter, but its upper case is: it gets it when words are cut.
-    found = F.filter(F.regexp_extract_all(upper_but(text, SUBSCRIPT), F.lit(WORDS), F.lit(1)), lambda x: x != "")
-    marked = lambda words: F.contains(F.array_join(words, ""), F.lit(SUBSCRIPT))
-    finished = lambda words: F.when(marked(words), F.transform(words, lambda x: F.translate(x, SUBSCRIPT, "Ι"))).otherwise(words)
-    return F.transform(F.array(found), finished)[0]  # so that the words are cut once, not in each branch
+    found = F.regexp_replace(upper_but(text, SUBSCRIPT), F.lit(f"{PLAIN}|{WORDS}"), F.lit("$1$2 "))
+    return F.replace(found, F.lit(SUBSCRIPT), F.lit("Ι"))
+
+
+def words_in(joined: Column) -> Column:
+    """The words that joined_words has left, as an array."""
+    return F.array_remove(F.split(joined, " "), "")
+
+
+def tokenize(text: Column, drop_urls: bool = True) -> Column:
+    """Words of a text in order, by the rules of joined_words."""
+    return words_in(joined_words(text, drop_urls))
 
 
 def ngrams(words: Column, n: int) -> Column:
