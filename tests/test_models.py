@@ -398,3 +398,39 @@ def test_grams_are_compiled(spark, n):
     want = Counter((0, m, " ".join(words[i:i + m])) for words in ("ABCDE", "AB", "A") for m in range(1, n + 1) for i in range(len(words) - m + 1))
     assert {tuple(r)[:3]: r["cnt"] for r in found.collect()} == want
     assert "array_join(slice" not in plan_of(found) and "array_join(slice" not in plan_of(counts.document_bags(docs, "c", n_max=n, drop_urls=False))
+
+
+def test_words_are_cut_once_for_model_and_scores(spark, sf_dir):
+    """Training and scoring read the same joined words, with and without URLs; results are those of texts that are cut twice."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 4 = 0")
+    for drop_urls in (True, False):
+        settings = Settings(n_max=2, drop_urls=drop_urls)
+        ready = counts.joined_texts(docs, "doc_id", "lang", drop_urls=drop_urls)
+        once = classify(ready, train(ready, "lang", settings=settings, joined=True), "doc_id", "lang", settings=settings, joined=True)
+        twice = classify(docs, train(docs, "lang", settings=settings), "doc_id", "lang", settings=settings)
+        got, want = (table(x.select("doc_id", "lang", "percent"), "doc_id", "lang") for x in (once, twice))
+        assert got == pytest.approx(want) and got
+    for query in (queries.classify_report, queries.cosine_scores, queries.json_result):
+        assert "regexp_replace" not in plan_of(query(spark, sf_dir)) and "regexp_extract_all" not in plan_of(query(spark, sf_dir))
+
+
+def test_model_is_sent_by_numbers(spark, toy):
+    """The broadcast has a long for its key, which takes less room than the term; equal numbers of unlike terms would not join."""
+    model = train(toy, "c", settings=PLAIN)
+    bags = counts.document_bags(spark.createDataFrame([(1, "cat fish"), (2, "bird")], "d int, text string"), "d")
+    met = scoring.meet(bags, model, "left")
+    assert sorted((r["d"], r["term"], r["c"]) for r in met.collect()) == [(1, "CAT", 0), (1, "FISH", 1), (2, "BIRD", None)]
+    assert re.search(r"BroadcastHashJoin \[term_number#\d+L?\], \[_number#\d+L?\]", plan_of(met))
+    assert scoring.MOST_SENT <= scoring.most_weights(spark) <= scoring.MOST_EVER
+
+
+def test_unknown_terms_are_not_exchanged(spark):
+    """Where bags meet the model by an exchange, a document's unknown terms are one row; scores are those of a broadcast."""
+    model = train(spark.createDataFrame([(0, "cat cat dog"), (1, "dog fish")], "c int, text string"), "c", settings=PLAIN)
+    texts = [(i, " ".join(["cat"] * (i % 3) + ["fish"] * (i % 2) + [f"w{k}" for k in range(i % 7)] * 2)) for i in range(60)] + [(60, None), (None, "cat w1")]
+    bags = counts.document_bags(spark.createDataFrame(texts, "d int, text string"), "d")
+    a, b = (table(scoring.cosine_scores(bags, model, "d", "c", most_sent=m), "d", "c") for m in (None, 0))
+    assert a == pytest.approx(b) and len(a) > 40
+    rows = scoring.met_by_exchange(bags, model, "d", 100)
+    assert rows.groupBy("d").agg(F.count_if(F.startswith("term", F.lit(" "))).alias("n")).agg(F.max("n")).collect()[0][0] == 1
+    assert table(scoring.met_by_exchange(bags, model, "d", 0).groupBy("d").agg(F.sum("_own")), "d") == table(rows.groupBy("d").agg(F.sum("_own")), "d")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wordloom.functions.tokens import tokenize
+from wordloom.functions.tokens import joined_words, tokenize, words_in
 from wordloom.functions.urls import without_urls
 from wordloom.sources.scratch import keep
 
@@ -30,15 +30,27 @@ def token_table(docs: DataFrame, key: str, text: str = "text", drop_urls: bool =
     return each_with_place(docs.select(key, tokenize(F.col(text), drop_urls).alias("_words")), "_words")
 
 
-def document_bags(docs: DataFrame, key: str, text: str = "text", n_max: int = 1, drop_urls: bool = True) -> DataFrame:
-    """(key, term, cnt): words and n-grams up to n_max of each document in one bag.
+def joined_texts(docs: DataFrame, *kept: str, text: str = "text", drop_urls: bool = True) -> DataFrame:
+    """(kept, text) with the words of each text in its stead, joined by spaces, in the shared folder: what trains and is scored has its words cut once.
+
+    Counts, bags and models are made of it with `joined`, which drops no URLs, as that is done.
+    """
+    return keep(docs.select(*kept, joined_words(F.col(text), drop_urls).alias(text)))
+
+
+def words_column(text: str, drop_urls: bool, joined: bool) -> Column:
+    return words_in(F.col(text)) if joined else tokenize(F.col(text), drop_urls)
+
+
+def document_bags(docs: DataFrame, key: str, text: str = "text", n_max: int = 1, drop_urls: bool = True, joined: bool = False) -> DataFrame:
+    """(key, term, cnt): words and n-grams up to n_max of each document in one bag. With `joined`, texts are those of joined_texts.
 
     Texts are dealt out by document before they are cut, so that the many n-grams made of them are counted where they are
     and exchanged no more: neither here nor where they are joined with a model that is broadcast, or summed by document.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    plain = without_urls(F.col(text)) if drop_urls else F.col(text)  # before they are dealt: what follows is on the JVM, which keeps the dealing
-    words = docs.select(key, plain.alias("_text")).repartition(parts, key).select(key, tokenize(F.col("_text"), False).alias("_words"))  # a column of its own, so that each text is split once
+    plain = without_urls(F.col(text)) if drop_urls and not joined else F.col(text)  # before they are dealt: what follows is on the JVM, which keeps the dealing
+    words = docs.select(key, plain.alias("_text")).repartition(parts, key).select(key, words_column("_text", False, joined).alias("_words"))  # a column of its own, so that each text is split once
     return grams(words, key, n_max).groupBy(key, "term").agg(F.count(F.lit(1)).alias("cnt"))
 
 
@@ -62,12 +74,13 @@ def grams(words: DataFrame, key: str, n_max: int) -> DataFrame:
     return each(places(words).select(key, F.array("word", *longer).alias("_terms")), F.col("_terms"), "term").select(key, "term")
 
 
-def class_counts(docs: DataFrame, key: str, text: str = "text", n_max: int = 1, drop_urls: bool = True, marks: bool = False) -> DataFrame:
+def class_counts(docs: DataFrame, key: str, text: str = "text", n_max: int = 1, drop_urls: bool = True, marks: bool = False, joined: bool = False) -> DataFrame:
     """(key, n, term, cnt) of each class; n-grams do not cross documents. With `marks`, n = 0 and an empty term count the documents of a class.
+    With `joined`, texts are those of joined_texts.
 
     A term tells its n, so that n is not exchanged with it.
     """
-    rows = grams(docs.select(key, tokenize(F.col(text), drop_urls).alias("_words")), key, n_max)
+    rows = grams(docs.select(key, words_column(text, drop_urls, joined).alias("_words")), key, n_max)
     if marks:
         rows = rows.unionByName(docs.select(key, F.lit("").alias("term")))
     size = F.char_length("term") - F.char_length(F.replace("term", F.lit(" "), F.lit(""))) + 1  # no word holds a space

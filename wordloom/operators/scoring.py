@@ -2,22 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wordloom.functions.tokens import class_label
 
-#: Models of up to so many weights are broadcast, some 200 MB; larger ones are joined by an exchange.
-MOST_SENT = 2_000_000
+#: Models of up to so many weights are broadcast at least, and at most; between them as many as fit into a fifth of the smaller heap, at so
+#: many bytes each; larger ones are joined by an exchange.
+MOST_SENT, MOST_EVER, WEIGHT_BYTES = 2_000_000, 8_000_000, 110
 
 
-def sent(weights: DataFrame, rows: DataFrame | None = None, most: int = MOST_SENT) -> DataFrame:
-    """The weights, or rows made of each of them, marked for a broadcast if there are few enough, and for a merge by term if `most` is 0. A stored model is counted from its files' footers."""
-    rows = weights if rows is None else rows
-    if not most:
-        return rows.hint("merge")
-    return F.broadcast(rows) if weights.count() <= most else rows
+def most_weights(spark: SparkSession) -> int:
+    """How many weights may be broadcast with the memory that driver and executors have."""
+    sc = spark.sparkContext
+    heap = sc._jvm.java.lang.Runtime.getRuntime().maxMemory()
+    if not sc.master.startswith("local["):
+        heap = min(heap, sc._jsc.sc().executorMemory() << 20)
+    return min(max(MOST_SENT, heap // 5 // WEIGHT_BYTES), MOST_EVER)
+
+
+def meet(bags: DataFrame, rows: DataFrame, how: str = "inner") -> DataFrame:
+    """Bags with the rows of their terms, which are broadcast by a number of the term, as this takes less room than by the term; the terms are compared too."""
+    rows = rows.withColumnRenamed("term", "_term").withColumn("_number", F.xxhash64("_term"))
+    bags = bags.withColumn("term_number", F.xxhash64("term"))
+    same = F.col("term").between(F.col("_term"), F.col("_term"))  # equal, in a form that makes no second key of it
+    return bags.join(F.broadcast(rows), (F.col("term_number") == F.col("_number")) & same, how).drop("_term", "_number", "term_number")
+
+
+def met_by_exchange(bags: DataFrame, rows: DataFrame, doc: str, most: int) -> DataFrame:
+    """(doc, term, cnt, _own) left-joined with a model's rows, where bags are exchanged by term.
+
+    Of a document's terms that the model does not know, one row with the sum of their squares is exchanged, if numbers of the model's
+    terms can be broadcast, which tell most of them; a term with the number of another one is exchanged like a known one.
+    """
+    square = F.col("cnt") * F.col("cnt")
+    numbers = rows.select(F.xxhash64("term").alias("_number")).distinct()
+    if most and numbers.count() <= most:
+        told = bags.withColumn("_at", F.xxhash64("term")).join(F.broadcast(numbers), F.col("_at") == F.col("_number"), "left")
+        # What stands for unknown terms begins with a space, as no term does, and differs by document, so that these rows are spread.
+        other = F.concat(F.lit(" "), F.xxhash64(doc).cast("string"))
+        bags = (told.select(doc, F.when(F.col("_number").isNotNull(), F.col("term")).otherwise(other).alias("term"), "cnt")
+                .groupBy(doc, "term").agg(F.sum("cnt").alias("cnt"), F.sum(square).alias("_own")))
+    else:
+        bags = bags.withColumn("_own", square)
+    return bags.join(rows.hint("merge"), "term", "left")
 
 
 def class_norms(weights: DataFrame, key: str) -> DataFrame:
@@ -28,22 +57,27 @@ def class_norms(weights: DataFrame, key: str) -> DataFrame:
 def dot_products(bags: DataFrame, weights: DataFrame, doc: str, key: str) -> DataFrame:
     """(doc, key, dot) for documents that share a term with the model. Only the model moves if it is small enough to be sent to all tasks."""
     product = (F.col("weight") * F.col("cnt").cast("float")).cast("double")
-    return bags.join(sent(weights), "term").groupBy(doc, key).agg(F.sum(product).alias("dot"))
+    small = weights.count() <= most_weights(bags.sparkSession)
+    return (meet(bags, weights) if small else bags.join(weights, "term")).groupBy(doc, key).agg(F.sum(product).alias("dot"))
 
 
-def cosine_scores(bags: DataFrame, weights: DataFrame, doc: str, key: str, most_sent: int = MOST_SENT) -> DataFrame:
+def cosine_scores(bags: DataFrame, weights: DataFrame, doc: str, key: str, most_sent: int | None = None) -> DataFrame:
     """(doc, key, cosine) that are numbers other than 0. A text's length counts all its terms, known to the model or not.
 
     Bags are read once: a term's row gives a product for each class that weighs it, and counts for the text's own
-    length with the first of these classes, or with none. A model of more than `most_sent` weights meets the bags
+    length with the first of these classes, or with none. A model of more than `most_sent` weights, by default what memory allows, meets the bags
     by term; one that is stored in buckets (sources.models.write_buckets) stays where it is, and only the bags move.
     """
     first = F.col(key) == F.min(key).over(Window.partitionBy("term"))
     model = weights.select("term", F.col(key).alias("_class"), "weight", first.alias("_first"))
-    cnt = F.col("cnt")
-    sums = bags.join(sent(weights, model, most_sent), "term", "left").groupBy(doc, "_class").agg(
+    cnt, most = F.col("cnt"), most_weights(bags.sparkSession)
+    if weights.count() <= (most if most_sent is None else most_sent):
+        both = meet(bags.withColumn("_own", cnt * cnt), model, "left")
+    else:
+        both = met_by_exchange(bags, model, doc, 2 * most)
+    sums = both.groupBy(doc, "_class").agg(
         F.sum((F.col("weight") * cnt.cast("float")).cast("double")).alias("dot"),
-        F.sum(F.when(F.coalesce("_first", F.lit(True)), cnt * cnt)).alias("_own"))
+        F.sum(F.when(F.coalesce("_first", F.lit(True)), F.col("_own"))).alias("_own"))
     text = F.sum("_own").over(Window.partitionBy(doc))
     dots = sums.withColumn("_text", text).where(F.col("_class").isNotNull()).withColumnRenamed("_class", key)
     cosine = F.try_divide(F.col("dot"), F.sqrt(F.col("sq_len") * F.col("_text")))

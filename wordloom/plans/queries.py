@@ -185,16 +185,21 @@ def class_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scoring.class_norms(model(spark, sf_dir), "lang"), "sq_len")
 
 
-def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts.document_bags(documents(spark, sf_dir), "doc_id", n_max=MODEL.n_max, drop_urls=False)
+def joined(docs: DataFrame, *keys: str) -> DataFrame:
+    return counts.joined_texts(docs, "doc_id", *keys, drop_urls=False)
+
+
+def bags_and_model(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """What is scored and what it is scored with, of the same joined texts."""
+    return counts.document_bags(docs, "doc_id", n_max=MODEL.n_max, joined=True), train(docs, key, settings=MODEL, joined=True)
 
 
 def dot_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(scoring.dot_products(texts(spark, sf_dir), model(spark, sf_dir), "doc_id", "lang"), "dot")
+    return rounded(scoring.dot_products(*bags_and_model(joined(documents(spark, sf_dir), "lang"), "lang"), "doc_id", "lang"), "dot")
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.cosine_scores(texts(spark, sf_dir), model(spark, sf_dir), "doc_id", "lang")
+    return scoring.cosine_scores(*bags_and_model(joined(documents(spark, sf_dir), "lang"), "lang"), "doc_id", "lang")
 
 
 def cosine_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,8 +209,9 @@ def cosine_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cosine_scores_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with a model stored in buckets by term, which does not move."""
     name = f"wordloom_model_{uuid.uuid4().hex}"
-    models.write_buckets(model(spark, sf_dir), name, path=scratch_folder(spark))
-    return rounded(scoring.cosine_scores(texts(spark, sf_dir), models.read_buckets(spark, name), "doc_id", "lang", most_sent=0), "cosine")
+    bags, trained = bags_and_model(joined(documents(spark, sf_dir), "lang"), "lang")
+    models.write_buckets(trained, name, path=scratch_folder(spark))
+    return rounded(scoring.cosine_scores(bags, models.read_buckets(spark, name), "doc_id", "lang", most_sent=0), "cosine")
 
 
 def model_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,8 +247,9 @@ def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numbered_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = with_class_id(documents(spark, sf_dir), "lang")
-    found = scoring.cosine_scores(texts(spark, sf_dir), train(docs, "class_id", settings=MODEL), "doc_id", "class_id")
+    docs = joined(documents(spark, sf_dir), "lang")
+    bags = counts.document_bags(docs, "doc_id", n_max=MODEL.n_max, joined=True)
+    found = scoring.cosine_scores(bags, train(with_class_id(docs, "lang"), "class_id", settings=MODEL, joined=True), "doc_id", "class_id")
     return scoring.report(found, "doc_id", "class_id", names=NAMES)
 
 
@@ -257,8 +264,8 @@ def json_result(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def classify_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: trains by language with trigrams and URLs dropped, and reports each document's shares."""
-    docs = documents(spark, sf_dir)
-    return rounded(classify(docs, train(docs, "lang"), "doc_id", "lang"), "cosine", "percent")
+    docs = counts.joined_texts(documents(spark, sf_dir), "doc_id", "lang")
+    return rounded(classify(docs, train(docs, "lang", joined=True), "doc_id", "lang", joined=True), "cosine", "percent")
 
 
 def text_preview(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,14 +40,14 @@ def weigh(bags: DataFrame, lengths: DataFrame, classes: list, key: str, method:
     return weights.informative(out, key, len(classes))
 
 
-def train(docs: DataFrame, key: str, text: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """(term, key, weight) from documents of classes. Rows without a class are left out.
+def train(docs: DataFrame, key: str, text: str = "text", settings: Settings = Settings(), joined: bool = False) -> DataFrame:
+    """(term, key, weight) from documents of classes. Rows without a class are left out. With `joined`, texts are those of counts.joined_texts.
 
     Texts are read once, for the counts; these, the bags cut from them and the model are kept in the shared folder.
     """
     docs = docs.where(F.col(key).isNotNull())
     classes = distinct_classes(docs, key)
-    return train_from_counts(keep(counts.class_counts(docs, key, text, settings.n_max, settings.drop_urls)), classes, key, settings)
+    return train_from_counts(keep(counts.class_counts(docs, key, text, settings.n_max, settings.drop_urls, joined=joined)), classes, key, settings)
 
 
 def train_from_counts(counted: DataFrame, classes: list, key: str, settings: Settings = Settings()) -> DataFrame:
@@ -73,7 +73,7 @@ def train_grid(docs: DataFrame, key: str, text: str = "text", settings: list[Set
         yield s, weigh(bags[s.n_max, s.cut], lengths, classes, key, s.method)
 
 
-def classify(docs: DataFrame, model: DataFrame, doc: str, key: str, text: str = "text", settings: Settings = Settings(), names: dict | None = None) -> DataFrame:
+def classify(docs: DataFrame, model: DataFrame, doc: str, key: str, text: str = "text", settings: Settings = Settings(), names: dict | None = None, joined: bool = False) -> DataFrame:
     """(doc, key, cosine, percent[, class_name]) of classes at or above the threshold; a text without known terms has no rows."""
-    bags = counts.document_bags(docs, doc, text, settings.n_max, settings.drop_urls)
+    bags = counts.document_bags(docs, doc, text, settings.n_max, settings.drop_urls, joined)
     return scoring.report(scoring.cosine_scores(bags, model, doc, key), doc, key, settings.threshold, names)
