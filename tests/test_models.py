@@ -434,3 +434,37 @@ def test_unknown_terms_are_not_exchanged(spark):
     rows = scoring.met_by_exchange(bags, model, "d", 100)
     assert rows.groupBy("d").agg(F.count_if(F.startswith("term", F.lit(" "))).alias("n")).agg(F.max("n")).collect()[0][0] == 1
     assert table(scoring.met_by_exchange(bags, model, "d", 0).groupBy("d").agg(F.sum("_own")), "d") == table(rows.groupBy("d").agg(F.sum("_own")), "d")
+
+
+@pytest.mark.parametrize("repeats", [3, 1])
+def test_single_counts_are_stored_only_if_asked_for(spark, monkeypatch, repeats):
+    """Models and first terms are the same with and without counts of 1; where the cut reaches these, all are stored."""
+    texts = [(c, " ".join(f"w{k * k % (7 + len(c))}" for k in range(90)) + " " + " ".join(f"x{c}y{k}" for k in range(30))) for c in ("a", "bb") for _ in range(repeats)]
+    texts += [(c, f"{c} once only here") for c in ("a", "bb")] + [("c", None), ("d", " ".join(f"z{k}" for k in range(6))), (None, "not read")]
+    docs = counts.joined_texts(spark.createDataFrame(texts, "lang string, text string"), "lang")
+    settings, stored = Settings(n_max=3, cut="d2"), []
+    want = table(train(docs, "lang", settings=settings, joined=True), "term", "lang")
+    monkeypatch.setattr(counts, "MANY_GRAMS", 1)
+    monkeypatch.setattr(counts, "repeated_counts", lambda *a, f=counts.repeated_counts: stored.append(f(*a)) or stored[-1])
+    assert table(train(docs, "lang", settings=settings, joined=True), "term", "lang") == want and want
+    rest, singles = stored[0]
+    assert rest.where("n > 1 and cnt = 1").count() == 0
+    whole = counts.class_counts(docs.where("lang is not null"), "lang", n_max=3, joined=True)
+    ones = {(r["lang"], r["n"]): r["count"] for r in whole.where("n > 1 and cnt = 1").groupBy("lang", "n").count().collect()}
+    assert {(r["lang"], r["n"]): r["_k"] for r in singles.collect()} == ones
+    cut = counts.cut_by_mass(rest.where("lang = 'a'"), "lang", "d2", singles.where("lang = 'a'"))
+    assert cut is not None and cut.count() == counts.cut_by_mass(whole.where("lang = 'a'"), "lang", "d2").count()
+    assert counts.cut_by_mass(rest, "lang", "d0") is rest and counts.cut_by_mass(rest, "lang", "d1", singles) is None  # class d has nothing else
+
+
+def test_joined_texts_are_counted_in_small_parts(spark, sf_dir, monkeypatch):
+    """Larger tables are dealt to more tasks than there are shuffle partitions, by their stored size, so that a task's counts fit into memory."""
+    docs = counts.joined_texts(spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 8 = 0"), "doc_id", "lang", drop_urls=False)
+    few = counts.class_counts(docs, "lang", joined=True), counts.document_bags(docs, "doc_id", joined=True)
+    want = [table(x, *x.columns[:-1]) for x in few]
+    monkeypatch.setattr(counts, "PART_BYTES", 2_000)
+    parts = counts.parts_of(docs, 1)
+    many = counts.class_counts(docs, "lang", joined=True), counts.document_bags(docs, "doc_id", joined=True)
+    assert [table(x, *x.columns[:-1]) for x in many] == want and parts > 8 and counts.parts_of(docs, 3) > 2 * parts
+    dealt = rf"artitioning\(([^()]*, )?{parts}\)"
+    assert all(re.search(dealt, plan_of(x)) for x in many) and not any(re.search(dealt, plan_of(x)) for x in few)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from wordloom.functions.tokens import joined_words, tokenize, words_in
@@ -38,6 +41,15 @@ def joined_texts(docs: DataFrame, *kept: str, text: str = "text", drop_urls: boo
     return keep(docs.select(*kept, joined_words(F.col(text), drop_urls).alias(text)))
 
 
+#: Stored bytes of joined texts, times the n-grams of each word, that one task counts: some 2,000,000 n-grams, whose counts fit into its memory, so that none are spilled and sorted.
+PART_BYTES = 6 << 20
+
+
+def parts_of(docs: DataFrame, n_max: int) -> int:
+    """In how many parts joined texts are counted, by the planner's size of the stored table, known without reading rows."""
+    return math.ceil(int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) * n_max / PART_BYTES)
+
+
 def words_column(text: str, drop_urls: bool, joined: bool) -> Column:
     return words_in(F.col(text)) if joined else tokenize(F.col(text), drop_urls)
 
@@ -49,6 +61,7 @@ def document_bags(docs: DataFrame, key: str, text: str = "text", n_max: int = 1,
     and exchanged no more: neither here nor where they are joined with a model that is broadcast, or summed by document.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(parts, parts_of(docs, n_max)) if joined else parts
     plain = without_urls(F.col(text)) if drop_urls and not joined else F.col(text)  # before they are dealt: what follows is on the JVM, which keeps the dealing
     words = docs.select(key, plain.alias("_text")).repartition(parts, key).select(key, words_column("_text", False, joined).alias("_words"))  # a column of its own, so that each text is split once
     return grams(words, key, n_max).groupBy(key, "term").agg(F.count(F.lit(1)).alias("cnt"))
@@ -80,6 +93,7 @@ def class_counts(docs: DataFrame, key: str, text: str = "text", n_max: int = 1,
 
     A term tells its n, so that n is not exchanged with it.
     """
+    docs = docs.repartition(parts_of(docs, n_max)) if joined and parts_of(docs, n_max) > docs.sparkSession.sparkContext.defaultParallelism else docs
     rows = grams(docs.select(key, words_column(text, drop_urls, joined).alias("_words")), key, n_max)
     if marks:
         rows = rows.unionByName(docs.select(key, F.lit("").alias("term")))
@@ -88,6 +102,26 @@ def class_counts(docs: DataFrame, key: str, text: str = "text", n_max: int = 1,
     return counted.select(key, F.when(F.col("term") == "", F.lit(0)).otherwise(size).alias("n"), "term", "cnt")
 
 
+#: From so many n-grams of two words and more on, counts of 1 are not stored before they are asked for. In smaller tables, cuts do ask for them.
+MANY_GRAMS = 20_000_000
+
+
+def gram_totals(docs: DataFrame, key: str, text: str = "text", n_max: int = 1) -> dict[tuple, int]:
+    """How many n-grams of each (class, n) joined texts hold, repeats included; they are told by the numbers of words and not made."""
+    sizes = docs.select(key, F.size(words_in(F.col(text))).cast("long").alias("_size"))
+    sums = [F.sum(F.greatest(F.col("_size") - (n - 1), F.lit(0).cast("long"))).alias(f"_{n}") for n in range(1, n_max + 1)]
+    return {(r[0], n): r[n] for r in sizes.groupBy(key).agg(*sums).collect() for n in range(1, n_max + 1) if r[n]}  # there are few classes
+
+
+def repeated_counts(counted: DataFrame, key: str, totals: dict[tuple, int]) -> tuple[DataFrame, DataFrame]:
+    """Counts without those of 1 for n above 1, stored, and (key, n, cnt, _k), how many were left out: what the totals of all have above the sums of the rest."""
+    rest = keep(counted.where((F.col("n") == 1) | (F.col("cnt") > 1)))
+    sums = {(r[0], r[1]): r[2] for r in rest.groupBy(key, "n").agg(F.sum("cnt")).collect()}
+    left = [(*group, 1, total - sums.get(group, 0)) for group, total in totals.items() if group[1] > 1 and total > sums.get(group, 0)]
+    schema = StructType([counted.schema[key], StructField("n", IntegerType()), StructField("cnt", LongType()), StructField("_k", LongType())])
+    return rest, counted.sparkSession.createDataFrame(left, schema)
+
+
 def merge_counts(*tables: DataFrame, key: str) -> DataFrame:
     """Sums of tables of counts, as from separate runs or pre-aggregated input."""
     out = tables[0].select(key, "n", "term", "cnt")
@@ -115,7 +149,7 @@ def mass_threshold(total: Column, percent: Column | float) -> Column:
     return ((total.cast("float") * percent.cast("float")).cast("float") / F.lit(100).cast("float")).cast("float")
 
 
-def cut_by_mass(counts: DataFrame, key: str, cut: str) -> DataFrame:
+def cut_by_mass(counts: DataFrame, key: str, cut: str, singles: DataFrame | None = None) -> DataFrame | None:
     """Keeps, of each class and n, the most frequent terms while their running count is within the level's percent.
 
     Terms go by count, then in binary order; the first that exceeds the mass goes, with all after it. Whole
@@ -123,6 +157,7 @@ def cut_by_mass(counts: DataFrame, key: str, cut: str) -> DataFrame:
     ranked: it is dealt by ranges of terms, each of which is sorted on its own and begins at the number of
     terms in the ranges before it, so that no class's vocabulary is sorted in one task, whatever its terms begin with.
     All counts are read twice and never exchanged: for the histogram, and for the terms reached, which are kept.
+    With `singles`, counts are those of repeated_counts; the result is None if the cut reaches what they lack.
     """
     percents = CUT_PERCENTS[cut]
     if percents is None:
@@ -130,6 +165,7 @@ def cut_by_mass(counts: DataFrame, key: str, cut: str) -> DataFrame:
     group = [key, "n"]
     by_count = Window.partitionBy(*group).orderBy(F.desc("cnt")).rowsBetween(Window.unboundedPreceding, -1)
     histogram = counts.groupBy(*group, "cnt").agg(F.count(F.lit(1)).alias("_k"))
+    histogram = histogram if singles is None else histogram.unionByName(singles)
     mass = F.col("_k") * F.col("cnt")
     levels = (histogram
               .withColumn("_before", F.coalesce(F.sum(mass).over(by_count), F.lit(0)))
@@ -139,7 +175,10 @@ def cut_by_mass(counts: DataFrame, key: str, cut: str) -> DataFrame:
               .withColumn("_whole", (F.col("_before") + mass).cast("float") <= F.col("_limit")))
     # Groups before the last one reached are whole, so that one row tells all of a class and n; there are few.
     last = levels.groupBy(*group).agg(F.min("cnt").alias("_least"), *[F.min_by(c, "cnt").alias(c) for c in ("_before", "_limit", "_whole")])
-    reached = keep(counts.join(F.broadcast(keep(last)), group).where(F.col("cnt") >= F.col("_least")))
+    last = keep(last)
+    if singles is not None and last.join(F.broadcast(singles.select(*group)), group).where("_least = 1").count():
+        return None
+    reached = keep(counts.join(F.broadcast(last), group).where(F.col("cnt") >= F.col("_least")))
     whole = F.col("_whole") | (F.col("cnt") > F.col("_least"))
     parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = keep(reached.where(~whole).repartitionByRange(parts, *group, "term").withColumn("_part", F.spark_partition_id()))

@@ -89,7 +89,13 @@ def tf_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hundred most frequent n-grams of each language and level."""
-    return summaries.top_terms(keep(tf_by_class(spark, sf_dir)), ["lang", "n"], 100)
+    docs = counts.joined_texts(documents(spark, sf_dir), "lang", drop_urls=False)
+    counted, totals = counts.class_counts(docs, "lang", n_max=3, joined=True), counts.gram_totals(docs, "lang", n_max=3)
+    if sum(totals.values()) >= counts.MANY_GRAMS:
+        repeated = keep(counted.where("cnt > 1"))  # n-grams that occur once come last, and are asked for only where there are too few others
+        if {tuple(r) for r in repeated.groupBy("lang", "n").count().where("count >= 100").select("lang", "n").collect()} >= set(totals):
+            return summaries.top_terms(repeated, ["lang", "n"], 100)
+    return summaries.top_terms(keep(counted), ["lang", "n"], 100)
 
 
 def totals_cube(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,17 +43,27 @@ def weigh(bags: DataFrame, lengths: DataFrame, classes: list, key: str, method:
 def train(docs: DataFrame, key: str, text: str = "text", settings: Settings = Settings(), joined: bool = False) -> DataFrame:
     """(term, key, weight) from documents of classes. Rows without a class are left out. With `joined`, texts are those of counts.joined_texts.
 
-    Texts are read once, for the counts; these, the bags cut from them and the model are kept in the shared folder.
+    Of many joined texts, n-grams that occur once are stored only if the cut reaches one. Texts are read once, for the counts; these, the bags cut from them and the model are kept in the shared folder.
     """
     docs = docs.where(F.col(key).isNotNull())
     classes = distinct_classes(docs, key)
-    return train_from_counts(keep(counts.class_counts(docs, key, text, settings.n_max, settings.drop_urls, joined=joined)), classes, key, settings)
+    counted = counts.class_counts(docs, key, text, settings.n_max, settings.drop_urls, joined=joined)
+    totals = counts.gram_totals(docs, key, text, settings.n_max) if joined and counts.CUT_PERCENTS[settings.cut] else {}
+    if sum(k for (_, n), k in totals.items() if n > 1) >= counts.MANY_GRAMS:
+        rest, singles = counts.repeated_counts(counted, key, totals)
+        cut = counts.cut_by_mass(rest, key, settings.cut, singles)
+        if cut is not None:
+            return train_from_cut(cut, counts.lengths_of(rest, classes, key), classes, key, settings)
+    return train_from_counts(keep(counted), classes, key, settings)
+
+
+def train_from_cut(cut: DataFrame, lengths: DataFrame, classes: list, key: str, settings: Settings = Settings()) -> DataFrame:
+    return keep(weigh(keep(counts.bags_of_classes(cut, key)), lengths, classes, key, settings.method))
 
 
 def train_from_counts(counted: DataFrame, classes: list, key: str, settings: Settings = Settings()) -> DataFrame:
     """The same from stored counts of n-grams that are not cut yet, and all classes, those without words too."""
-    bags = keep(counts.bags_of_classes(counts.cut_by_mass(counted, key, settings.cut), key))
-    return keep(weigh(bags, counts.lengths_of(counted, classes, key), classes, key, settings.method))
+    return train_from_cut(counts.cut_by_mass(counted, key, settings.cut), counts.lengths_of(counted, classes, key), classes, key, settings)
 
 
 def grid(methods=weights.METHODS, levels=(1, 2, 3, 4), cuts=tuple(counts.CUT_PERCENTS)) -> list[Settings]:
