@@ -468,3 +468,14 @@ def test_joined_texts_are_counted_in_small_parts(spark, sf_dir, monkeypatch):
     assert [table(x, *x.columns[:-1]) for x in many] == want and parts > 8 and counts.parts_of(docs, 3) > 2 * parts
     dealt = rf"artitioning\(([^()]*, )?{parts}\)"
     assert all(re.search(dealt, plan_of(x)) for x in many) and not any(re.search(dealt, plan_of(x)) for x in few)
+
+
+def test_numbers_of_classes_leave_the_parts(spark, sf_dir, monkeypatch):
+    """Texts joined with the numbers of their classes are dealt to as many tasks as without, not to the product of both sizes; the model is that of texts as they are."""
+    plain = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 8 = 0")
+    docs = counts.joined_texts(plain, "doc_id", "lang", drop_urls=False)
+    monkeypatch.setattr(counts, "PART_BYTES", 2_000)
+    numbered = corpus.with_class_id(docs, "lang")
+    assert 8 < counts.parts_of(docs, 2) == counts.parts_of(numbered, 2) == counts.parts_of(numbered.where("class_id is not null"), 2) < 1_000
+    got = table(train(numbered, "class_id", settings=queries.MODEL, joined=True), "term", "class_id")
+    assert got == table(train(corpus.with_class_id(plain, "lang"), "class_id", settings=queries.MODEL), "term", "class_id") and got

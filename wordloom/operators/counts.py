@@ -45,9 +45,18 @@ def joined_texts(docs: DataFrame, *kept: str, text: str = "text", drop_urls: boo
 PART_BYTES = 6 << 20
 
 
+#: The planner's size of what it knows nothing of, as of rows that come from Python.
+UNKNOWN_SIZE = (1 << 63) - 1
+
+
 def parts_of(docs: DataFrame, n_max: int) -> int:
-    """In how many parts joined texts are counted, by the planner's size of the stored table, known without reading rows."""
-    return math.ceil(int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) * n_max / PART_BYTES)
+    """In how many parts joined texts are counted, by the planner's size of the stored tables, known without reading rows.
+
+    Sizes are those of the tables read, since the planner takes a join, as with the numbers of classes, for the product of its sides.
+    """
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return math.ceil(sum(s for s in sizes if s < UNKNOWN_SIZE) * n_max / PART_BYTES)
 
 
 def words_column(text: str, drop_urls: bool, joined: bool) -> Column:
