@@ -479,3 +479,10 @@ def test_numbers_of_classes_leave_the_parts(spark, sf_dir, monkeypatch):
     assert 8 < counts.parts_of(docs, 2) == counts.parts_of(numbered, 2) == counts.parts_of(numbered.where("class_id is not null"), 2) < 1_000
     got = table(train(numbered, "class_id", settings=queries.MODEL, joined=True), "term", "class_id")
     assert got == table(train(corpus.with_class_id(plain, "lang"), "class_id", settings=queries.MODEL), "term", "class_id") and got
+
+
+def test_json_has_the_classes_of_the_report(spark, sf_dir):
+    """Both queries number the classes of stored texts; the array of a document holds its rows of the other."""
+    arrays = queries.json_result(spark, sf_dir).select("doc_id", F.explode(F.from_json("json", "array<struct<i int, n string, p string>>")).alias("x"))
+    got = sorted(map(tuple, arrays.select("doc_id", "x.i", "x.n").collect()))
+    assert got == sorted(map(tuple, queries.class_names(spark, sf_dir).collect())) and got
