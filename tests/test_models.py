@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wordloom.operators import counts, scoring, weights
-from wordloom.plans import queries
+from wordloom.operators import counts, frequent, scoring, weights
+from wordloom.plans import queries, training
 from wordloom.plans.training import Settings, classify, grid, train, train_grid
 from wordloom.sources import corpus, models, scratch, tables
 from wordloom.streaming.classify import classify_stream
@@ -486,3 +486,44 @@ def test_json_has_the_classes_of_the_report(spark, sf_dir):
     arrays = queries.json_result(spark, sf_dir).select("doc_id", F.explode(F.from_json("json", "array<struct<i int, n string, p string>>")).alias("x"))
     got = sorted(map(tuple, arrays.select("doc_id", "x.i", "x.n").collect()))
     assert got == sorted(map(tuple, queries.class_names(spark, sf_dir).collect())) and got
+
+
+@pytest.mark.parametrize(("method", "cut", "n_max"), [("tfidf", "d1", 3), ("bm25", "d2", 4), ("bm25", "d1", 1)])
+def test_rare_grams_are_not_exchanged(spark, monkeypatch, method, cut, n_max):
+    """Models are the same if only what the cut may reach is counted one by one; of the others, packed numbers are exchanged and no terms."""
+    texts = [(c, " ".join(f"w{k * k % (7 + len(c))}" for k in range(90)) + " " + " ".join(f"x{c}{i}y{k}" for k in range(30))) for c in ("a", "bb") for i in range(6)]
+    texts += [("c", None), ("d", " ".join(f"z{k}" for k in range(6))), ("d", "z"), (None, "not read")]
+    docs = counts.joined_texts(spark.createDataFrame(texts, "lang string, text string"), "lang")
+    settings, stored = Settings(method, n_max, cut), []
+    want = table(train(docs, "lang", settings=settings, joined=True), "term", "lang")
+    monkeypatch.setattr(training, "VAST_GRAMS", 1)
+    monkeypatch.setattr(frequent, "AT_ONCE", 200)
+    monkeypatch.setattr(frequent, "keep", lambda df, f=frequent.keep: stored.append(f(df)) or stored[-1])
+    monkeypatch.setattr(counts, "MANY_GRAMS", 1 << 60)
+    monkeypatch.setattr(training, "train_from_counts", None)  # fails where all n-grams are counted one by one
+    assert table(train(docs, "lang", settings=settings, joined=True), "term", "lang") == want and want
+    rest = stored[2]
+    assert rest.where("cnt > 1").count() and not rest.where("lang = 'a' and n > 1 and cnt = 1").count()
+
+
+def test_frequent_counts_go_on_to_rarer_grams(spark, monkeypatch):
+    """Counts above the level are exact, whatever shares a number; the mass left out makes up the total; the next ones reach further, the last hold all."""
+    texts = [("a", "p q r " * 40 + "s t " * 10 + " ".join(f"u{k}" for k in range(50))), ("b", "p q " * 9)]
+    docs = counts.joined_texts(spark.createDataFrame(texts, "lang string, text string"), "lang")
+    whole = table(counts.class_counts(docs, "lang", n_max=2, joined=True), "lang", "n", "term")
+    totals = counts.gram_totals(docs, "lang", n_max=2)
+    monkeypatch.setattr(frequent, "number", lambda n, n_max, groups, f=frequent.number: F.when(f(n, n_max, groups).isNotNull(), F.pmod(F.hash("word"), F.lit(16)).cast("long") * groups + F.col("_class") * n_max + (n - 1)))
+    before = 0
+    for rest, left in frequent.frequent_counts(docs, "lang", ["a", "b"], totals, "text", 2, "d2"):
+        got = table(rest, "lang", "n", "term")
+        assert got.items() <= whole.items() and len(got) >= before
+        sums = Counter({(r["lang"], r["n"]): r["_k"] for r in left.collect()})
+        sums.update({g: sum(v for k, v in got.items() if k[:2] == g) for g in totals})
+        assert sums == totals
+        before = len(got)
+        if got == whole:
+            break
+    assert counts.cut_by_mass(rest, "lang", "d2", left) is not None
+    keys = np.array([-5, -1, 3, 1 << 40], np.int64)
+    assert [x.tolist() for x in frequent.unpacked(frequent.packed(keys, np.arange(4)))] == [keys.tolist(), [0, 1, 2, 3]]
+    assert all(len(x) == 0 for x in frequent.unpacked(frequent.packed(keys[:0], keys[:0])))

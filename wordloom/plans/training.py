@@ -8,12 +8,17 @@ from itertools import product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from wordloom.operators import counts, scoring, weights
+from wordloom.operators import counts, frequent, scoring, weights
 from wordloom.sources.corpus import distinct_classes
 from wordloom.sources.scratch import keep
 
 
+#: From so many n-grams of joined texts on, only those that the cut may reach are counted one by one.
+VAST_GRAMS = 40_000_000
+
+
 @dataclass(frozen=True)
 class Settings:
     """How a model is built and texts are scored."""
@@ -43,12 +48,18 @@ def weigh(bags: DataFrame, lengths: DataFrame, classes: list, key: str, method:
 def train(docs: DataFrame, key: str, text: str = "text", settings: Settings = Settings(), joined: bool = False) -> DataFrame:
     """(term, key, weight) from documents of classes. Rows without a class are left out. With `joined`, texts are those of counts.joined_texts.
 
-    Of many joined texts, n-grams that occur once are stored only if the cut reaches one. Texts are read once, for the counts; these, the bags cut from them and the model are kept in the shared folder.
+    Of many joined texts, n-grams that occur once are stored only if the cut reaches one. Texts are read once, for the counts, or twice from VAST_GRAMS n-grams on; these, the bags cut from them and the model are kept in the shared folder.
     """
     docs = docs.where(F.col(key).isNotNull())
     classes = distinct_classes(docs, key)
     counted = counts.class_counts(docs, key, text, settings.n_max, settings.drop_urls, joined=joined)
     totals = counts.gram_totals(docs, key, text, settings.n_max) if joined and counts.CUT_PERCENTS[settings.cut] else {}
+    if sum(totals.values()) >= VAST_GRAMS:
+        for rest, left in frequent.frequent_counts(docs, key, classes, totals, text, settings.n_max, settings.cut):
+            cut = counts.cut_by_mass(rest, key, settings.cut, left)
+            if cut is not None:
+                lengths = docs.sparkSession.createDataFrame([(c, totals.get((c, 1), 0)) for c in classes], StructType([docs.schema[key], StructField("length", LongType())]))
+                return train_from_cut(cut, lengths, classes, key, settings)
     if sum(k for (_, n), k in totals.items() if n > 1) >= counts.MANY_GRAMS:
         rest, singles = counts.repeated_counts(counted, key, totals)
         cut = counts.cut_by_mass(rest, key, settings.cut, singles)
